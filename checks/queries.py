@@ -17,7 +17,7 @@ from venuematch.functions import parsing
 from venuematch.functions.numbers import round_exact
 from venuematch.functions.text import strip, title_case
 from venuematch.operators import diagnose, envelope, facets, predicates, preferences, prompts, replies
-from venuematch.operators.batch import COUNTS, MatchIndex, candidate_rows, match_batch
+from venuematch.operators.batch import COUNTS, MatchIndex, build_match_index, candidate_rows, match_batch
 from venuematch.operators.dedupe import quality_counters
 from venuematch.operators.normalize import annotate_listings, map_raw_columns, normalize_listings
 from venuematch.operators.single import funnel_counts, top_candidates
@@ -44,7 +44,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> MatchIndex:
-    return _shared("index", spark, sf_dir, lambda: recommend.stored_index(catalog(spark, sf_dir)))
+    return _shared("index", spark, sf_dir, lambda: build_match_index(catalog(spark, sf_dir)))
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +180,16 @@ def _raw(**columns) -> Query:
     return query
 
 
+def parse_rating(spark, sf_dir):
+    raw = map_raw_columns(inputs.listings(spark, sf_dir))
+    return parsing.with_rating(raw, F.col("rate")).select("row_index", "rating")
+
+
+def parse_cost(spark, sf_dir):
+    raw = map_raw_columns(inputs.listings(spark, sf_dir))
+    return parsing.with_cost(raw, F.col("cost")).select("row_index", "cost_for_two")
+
+
 def alias_location(spark, sf_dir):
     location = parsing.normalize_location(F.col("location"))
     return inputs.preferences(spark, sf_dir).select("pref_id", location.alias("normalized_location"))
@@ -397,9 +407,9 @@ QUERIES: dict[str, Query] = {
     "source_fallback": source_fallback,
     "stale_exports": stale_exports,
     "strip_text": strip_text,
-    "parse_rating": _raw(rating=lambda: parsing.parse_rating(F.col("rate"))),
-    "parse_cost": _raw(cost_for_two=lambda: parsing.parse_cost(F.col("cost"))),
-    "extract_city": _raw(city=lambda: parsing.extract_city(strip(F.col("address")))),
+    "parse_rating": parse_rating,
+    "parse_cost": parse_cost,
+    "extract_city": _raw(city=lambda: parsing.extract_city(F.lower("address"))),
     "alias_location": alias_location,
     "budget_band": _annotated("budget_band"),
     "normalize_cuisine": _raw(cuisine=lambda: parsing.normalize_cuisine(F.col("cuisines"))),

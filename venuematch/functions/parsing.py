@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from venuematch.config import (
     ANY_CUISINE_TOKENS,
@@ -18,10 +20,13 @@ from venuematch.functions.numbers import round_exact
 from venuematch.functions.text import blank_to_null, strip, title_case
 
 
-def rating_number(rate: Column) -> Column:
-    """First unsigned number in the text. Markers such as NEW or - hold no digit and give null."""
-    digits = F.regexp_extract(rate.cast("string"), r"([0-9]+(?:\.[0-9]+)?)", 1)
-    return F.nullif(digits, F.lit("")).try_cast("double")
+def number_text(rate: Column) -> Column:
+    """First unsigned number in the text, empty when there is none, as in NEW or -."""
+    return F.regexp_extract(rate.cast("string"), r"([0-9]+(?:\.[0-9]+)?)", 1)
+
+
+def digits_only(cost: Column) -> Column:
+    return F.regexp_replace(cost.cast("string"), "[^0-9]", "")
 
 
 def rating_on_five(number: Column) -> Column:
@@ -29,15 +34,26 @@ def rating_on_five(number: Column) -> Column:
     return F.when(number <= 5.0, number).when(number <= 10.0, number / 2.0)
 
 
-def parse_rating(rate: Column) -> Column:
-    return round_exact(rating_on_five(rating_number(rate)), 2)
+def with_rating(rows: DataFrame, rate: Column, name: str = "rating") -> DataFrame:
+    """Add the parsed rating. The steps are separate projections so that each runs once per row: as one
+    expression the pattern would be matched again for every mention of its result."""
+    steps = [
+        number_text(rate),
+        F.col(name).try_cast("double"),
+        rating_on_five(F.col(name)),
+        round_exact(F.col(name), 2),
+    ]
+    return reduce(lambda frame, step: frame.withColumn(name, step), steps, rows)
 
 
-def parse_cost(cost: Column) -> Column:
-    """All digits of the text as one number; null when there is none or it exceeds the ceiling."""
-    digits = F.regexp_replace(cost.cast("string"), "[^0-9]", "")
-    number = F.nullif(digits, F.lit("")).try_cast("bigint")
-    return F.when(number <= MAX_COST, number.cast("int"))
+def with_cost(rows: DataFrame, cost: Column, name: str = "cost_for_two") -> DataFrame:
+    """Add the cost: all digits of the text as one number, null when none or above the ceiling."""
+    steps = [
+        digits_only(cost),
+        F.col(name).try_cast("bigint"),
+        F.when(F.col(name) <= MAX_COST, F.col(name).cast("int")),
+    ]
+    return reduce(lambda frame, step: frame.withColumn(name, step), steps, rows)
 
 
 def budget_band(cost: Column, settings: Settings = DEFAULTS) -> Column:
@@ -60,12 +76,12 @@ def normalize_location(location: Column) -> Column:
     return F.coalesce(alias_lookup(F.lower(stripped)), title_case(stripped))
 
 
-def extract_city(address: Column) -> Column:
-    """Canonical name of the first known city inside the address: longer names first, then list order."""
-    text = F.lower(address)
+def extract_city(address_lc: Column) -> Column:
+    """Canonical name of the first known city inside the lower-cased address: longer names first, then
+    list order."""
     ranked = sorted(KNOWN_CITIES, key=len, reverse=True)
     hits = [
-        F.when(F.contains(text, F.lit(city.lower())), LOCATION_ALIASES.get(city.lower(), city))
+        F.when(F.contains(address_lc, F.lit(city.lower())), LOCATION_ALIASES.get(city.lower(), city))
         for city in ranked
     ]
     return F.coalesce(*hits)

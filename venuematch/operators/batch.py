@@ -9,6 +9,10 @@ and rating, and candidate order starts with the rating, so two summaries of the
 A top-N over a union of groups is the top-N over the groups' own top-N, and a minimum rating cuts a prefix
 of an ordered list, so rolling ``heads`` up level by level, never keeping more than N rows per group, is
 exact. Preferences meet the result by an equi-join on (target, needle, budget).
+
+The index and the small tables that several branches share (distinct requests, resolved texts) are written
+to the shared folder: every branch then reads them instead of planning and running them again, and Spark
+knows their size when it decides between a broadcast and a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from venuematch.config import BUDGETS, CATALOG_COLUMNS, DEFAULTS, Settings
 from venuematch.operators import predicates
-from venuematch.operators.substring_join import substring_matches
+from venuematch.operators.substring_join import gram_index, substring_matches
+from venuematch.storage import materialize
 
 PLACE = ["city_lc", "location_lc"]
 AREA = ["whole_city", "area_city", "area_location"]
@@ -35,10 +40,13 @@ COUNTS = [
 
 @dataclass(frozen=True)
 class MatchIndex:
-    """The two catalog summaries. ``depth`` is the largest top-N they can answer."""
+    """Stored summaries of a catalog. ``depth`` is the largest top-N they can answer."""
 
     cells: DataFrame
     heads: DataFrame
+    places: DataFrame
+    cuisines: DataFrame
+    grams: DataFrame
     depth: int
 
 
@@ -52,20 +60,39 @@ def first_n(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= n)
 
 
+def catalog_cells(catalog: DataFrame) -> DataFrame:
+    rows = catalog.withColumn("cuisine_lc", F.lower("cuisine"))
+    return rows.groupBy(*PLACE, "cuisine_lc", "budget_band", "rating").agg(F.count("*").alias("n"))
+
+
+def catalog_heads(catalog: DataFrame, n: int) -> DataFrame:
+    """Rows of an unknown band never match, so they have no head."""
+    rows = catalog.withColumn("cuisine_lc", F.lower("cuisine")).where(F.col("budget_band").isin(BUDGETS))
+    return first_n(rows, [*PLACE, "cuisine_lc", "budget_band"], n).select(
+        *PLACE, "cuisine_lc", "budget_band", "name_lc", "id", "rating", F.struct(*CATALOG_COLUMNS).alias("card")
+    )
+
+
 def build_match_index(catalog: DataFrame, depth: int | None = None, settings: Settings = DEFAULTS) -> MatchIndex:
     """Summarise the catalog once; any number of preference batches can then be answered from it."""
     n = settings.effective_top_n(depth)
-    rows = catalog.withColumn("cuisine_lc", F.lower("cuisine"))
-    cells = rows.groupBy(*PLACE, "cuisine_lc", "budget_band", "rating").agg(F.count("*").alias("n"))
-    sellable = rows.where(F.col("budget_band").isin(BUDGETS))
-    heads = first_n(sellable, [*PLACE, "cuisine_lc", "budget_band"], n)
+    cells = materialize(catalog_cells(catalog), "cells")
+    places = materialize(cells.select(*PLACE).distinct(), "places")
+    cuisines = materialize(cells.select("cuisine_lc").distinct(), "cuisines")
+    names = places.select(_kind("place"), F.col("location_lc").alias("text")).distinct()
+    texts = names.unionByName(cuisines.select(_kind("cuisine"), F.col("cuisine_lc").alias("text")))
     return MatchIndex(
-        cells, heads.select(*PLACE, "cuisine_lc", "budget_band", "name_lc", "id", "rating", _card()), n
+        cells=cells,
+        heads=materialize(catalog_heads(catalog, n), "heads"),
+        places=places,
+        cuisines=cuisines,
+        grams=materialize(gram_index(texts), "grams"),
+        depth=n,
     )
 
 
-def _card() -> Column:
-    return F.struct(*CATALOG_COLUMNS).alias("card")
+def _kind(name: str) -> Column:
+    return F.lit(name).alias("kind")
 
 
 def _area(whole_city: bool, city: str) -> list[Column]:
@@ -78,22 +105,30 @@ def _area(whole_city: bool, city: str) -> list[Column]:
     ]
 
 
-def resolve_areas(cells: DataFrame, targets: DataFrame) -> DataFrame:
+def resolve_texts(index: MatchIndex, targets: DataFrame, needles: DataFrame) -> DataFrame:
+    """Location texts that contain a target and cuisine texts that contain a needle, in one join."""
+    sought = targets.select(_kind("place"), F.col("target").alias("needle")).unionByName(
+        needles.select(_kind("cuisine"), "needle")
+    )
+    return substring_matches(index.grams, sought)
+
+
+def resolve_areas(index: MatchIndex, targets: DataFrame, texts: DataFrame) -> DataFrame:
     """Areas each target stands for: the city of that name as a whole, and single places elsewhere whose
     location text contains the target. The two never overlap, so no row is counted twice."""
     cities = targets.select("target", *_area(True, "target"))
-    places = cells.select(*PLACE).distinct()
-    names = places.select("location_lc").distinct()
-    named = substring_matches(names, targets, "location_lc", "target")
-    elsewhere = places.join(named, "location_lc").where(F.col("city_lc") != F.col("target"))
+    named = texts.where(F.col("kind") == "place").select(
+        F.col("text").alias("location_lc"), F.col("needle").alias("target")
+    )
+    elsewhere = index.places.join(named, "location_lc").where(F.col("city_lc") != F.col("target"))
     return cities.unionByName(elsewhere.select("target", *_area(False, "city_lc")))
 
 
-def resolve_cuisines(cells: DataFrame, needles: DataFrame) -> DataFrame:
+def resolve_cuisines(index: MatchIndex, texts: DataFrame) -> DataFrame:
     """Cuisine texts each needle stands for; the empty needle stands for all of them."""
-    texts = cells.select("cuisine_lc").distinct()
-    everything = texts.select("cuisine_lc", F.lit("").alias("needle"))
-    return everything.unionByName(substring_matches(texts, needles, "cuisine_lc", "needle"))
+    everything = index.cuisines.select("cuisine_lc", F.lit("").alias("needle"))
+    named = texts.where(F.col("kind") == "cuisine")
+    return everything.unionByName(named.select(F.col("text").alias("cuisine_lc"), "needle"))
 
 
 def _by_area(rows: DataFrame) -> DataFrame:
@@ -103,30 +138,34 @@ def _by_area(rows: DataFrame) -> DataFrame:
     return rows.select(both.alias("area"), *kept).select("area.*", *kept)
 
 
-def _asked(requests: DataFrame, areas: DataFrame) -> DataFrame:
-    """(needle, area) groups the requests ask for, with the target each one answers."""
-    return requests.join(areas, "target").select("target", "needle", *AREA)
+def location_counts(index: MatchIndex, areas: DataFrame) -> DataFrame:
+    """Rows at each target."""
+    counted = _by_area(index.cells.select(*PLACE, "n")).groupBy(*AREA).agg(F.sum("n").alias("n"))
+    return counted.join(areas, AREA).groupBy("target").agg(F.sum("n").alias("after_location"))
 
 
-def funnel_histograms(index: MatchIndex, pairs: DataFrame, areas: DataFrame, cuisines: DataFrame) -> DataFrame:
-    """Rows per (target, needle, band, rating) for the requested pairs."""
+def funnel_histograms(index: MatchIndex, asked: DataFrame, cuisines: DataFrame) -> DataFrame:
+    """Rows per band and rating for each requested (target, needle), as one array per pair.
+
+    There is at most one entry per band and two-digit rating, whatever the catalog's size.
+    """
     group = ["needle", *AREA, "budget_band", "rating"]
     counted = (
         _by_area(index.cells.join(cuisines, "cuisine_lc")).groupBy(*group).agg(F.sum("n").alias("n"))
     )
-    asked = _asked(pairs, areas)
     wanted = ["target", "needle", "budget_band", "rating"]
-    return counted.join(asked, ["needle", *AREA]).groupBy(*wanted).agg(F.sum("n").alias("n"))
+    buckets = counted.join(asked, ["needle", *AREA]).groupBy(*wanted).agg(F.sum("n").alias("n"))
+    return buckets.groupBy("target", "needle").agg(
+        F.collect_list(F.struct("budget_band", "rating", "n")).alias("buckets")
+    )
 
 
-def ranked_heads(
-    index: MatchIndex, pairs: DataFrame, areas: DataFrame, cuisines: DataFrame, n: int
-) -> DataFrame:
+def ranked_heads(index: MatchIndex, asked: DataFrame, cuisines: DataFrame, n: int) -> DataFrame:
     """The first n rows per (target, needle, band) for the requested pairs, as an ordered array."""
     by_area = first_n(
         _by_area(index.heads.join(cuisines, "cuisine_lc")), ["needle", *AREA, "budget_band"], n
     )
-    matched = by_area.join(_asked(pairs, areas), ["needle", *AREA])
+    matched = by_area.join(asked, ["needle", *AREA])
     merged = first_n(matched, ["target", "needle", "budget_band"], n)
     listed = F.sort_array(F.collect_list(F.struct("position", "card")))
     return merged.groupBy("target", "needle", F.col("budget_band").alias("budget")).agg(
@@ -145,30 +184,18 @@ def _rated(entries: Column, floor: Column) -> Column:
 
 
 def match_lookup(index: MatchIndex, requests: DataFrame, n: int) -> DataFrame:
-    """One row per distinct (target, needle, budget): its ordered candidates and its rating histogram.
-
-    A histogram holds at most one entry per band and two-digit rating, so a row stays small whatever the
-    catalog's size.
-    """
+    """One row per distinct (target, needle, budget): its ordered candidates and its rating histogram."""
     targets = requests.select("target").distinct()
     needles = requests.select("needle").distinct()
-    areas = resolve_areas(index.cells, targets)
-    cuisines = resolve_cuisines(index.cells, needles)
     pairs = requests.select("target", "needle").distinct()
-    with_any = pairs.unionByName(targets.withColumn("needle", F.lit(""))).distinct()
-
-    buckets = funnel_histograms(index, with_any, areas, cuisines)
-    per_pair = buckets.groupBy("target", "needle").agg(
-        F.collect_list(F.struct("budget_band", "rating", "n")).alias("buckets")
-    )
-    at_place = per_pair.where(F.col("needle") == "").select(
-        "target", _total(F.col("buckets")).alias("after_location")
-    )
-    heads = ranked_heads(index, pairs, areas, cuisines, n)
+    texts = materialize(resolve_texts(index, targets, needles), "texts")
+    areas = resolve_areas(index, targets, texts)
+    cuisines = resolve_cuisines(index, texts)
+    asked = pairs.join(areas, "target")
     return (
-        requests.join(at_place, "target", "left")
-        .join(per_pair, ["target", "needle"], "left")
-        .join(heads, ["target", "needle", "budget"], "left")
+        requests.join(location_counts(index, areas), "target", "left")
+        .join(funnel_histograms(index, asked, cuisines), ["target", "needle"], "left")
+        .join(ranked_heads(index, asked, cuisines, n), ["target", "needle", "budget"], "left")
     )
 
 
@@ -185,7 +212,7 @@ def match_batch(
     if n > index.depth:
         raise ValueError(f"the match index answers up to {index.depth} candidates, not {n}")
     keys = ["target", "needle", "budget"]
-    lookup = match_lookup(index, prefs.select(*keys).distinct(), n)
+    lookup = match_lookup(index, materialize(prefs.select(*keys).distinct(), "requests"), n)
     considered = index.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     joined = prefs.join(lookup, keys, "left")
 

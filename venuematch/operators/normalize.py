@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from venuematch.config import CATALOG_COLUMNS, DEFAULT_CITY, DEFAULTS, RAW_COLUMNS, Settings
 from venuematch.functions import parsing
-from venuematch.functions.numbers import round_exact
-from venuematch.functions.text import blank_to_null, strip
+from venuematch.functions.text import blank_to_null
 
 MATCH_KEYS = ["name_lc", "city_lc", "location_lc"]
 CLEAN_COLUMNS = ["row_index", *CATALOG_COLUMNS, *MATCH_KEYS]
@@ -28,33 +27,29 @@ def annotate_listings(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
     Written as a chain of projections so that each parser runs once although its result is used often.
     """
-    parsed = map_raw_columns(raw).select(
+    stripped = map_raw_columns(raw).select(
         "row_index",
         blank_to_null(F.col("name")).alias("name"),
         blank_to_null(F.col("location")).alias("area"),
-        parsing.extract_city(strip(F.col("address"))).alias("found_city"),
+        F.lower("address").alias("address_lc"),
         parsing.normalize_cuisine(F.col("cuisines")).alias("cuisine"),
-        parsing.rating_number(F.col("rate")).alias("rating_number"),
-        parsing.parse_cost(F.col("cost")).alias("cost_for_two"),
+        "rate",
+        "cost",
     )
-    located = parsed.select(
-        "row_index",
-        "name",
-        F.coalesce("found_city", F.lit(DEFAULT_CITY)).alias("city"),
-        F.col("found_city").isNull().alias("city_defaulted"),
-        "area",
-        "cuisine",
-        parsing.rating_on_five(F.col("rating_number")).alias("on_five"),
-        "cost_for_two",
-    )
-    return located.select(
+    parsed = parsing.with_cost(parsing.with_rating(stripped, F.col("rate")), F.col("cost"))
+    located = parsed.withColumn("found_city", parsing.extract_city(F.col("address_lc")))
+    settled = located.withColumns({
+        "city": F.coalesce("found_city", F.lit(DEFAULT_CITY)),
+        "city_defaulted": F.col("found_city").isNull(),
+    })
+    return settled.select(
         "row_index",
         "name",
         F.coalesce("area", "city").alias("location"),
         "city",
         "city_defaulted",
         "cuisine",
-        round_exact(F.col("on_five"), 2).alias("rating"),
+        "rating",
         "cost_for_two",
         parsing.budget_band(F.col("cost_for_two"), settings).alias("budget_band"),
     )

@@ -1,8 +1,9 @@
-"""Which dictionary values contain which needles, as an equi-join on n-grams.
+"""Which dictionary texts contain which needles, as an equi-join on n-grams.
 
-A value that contains a needle also contains every n-gram of it. Each needle is therefore looked up by one
-of its own grams, the one that the fewest values share, and the hits are verified with a literal test. No
-pair is formed between a needle and a value that does not share that gram.
+A text that contains a needle also contains every n-gram of it. Each needle is therefore looked up by one of
+its own grams, the one that the fewest texts share, and the hits are verified with a literal test. No pair
+is formed between a needle and a text that does not share that gram. ``kind`` keeps several dictionaries
+apart so that one join serves them all.
 """
 
 from __future__ import annotations
@@ -21,27 +22,24 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))
 
 
-def substring_matches(values: DataFrame, needles: DataFrame, value: str, needle: str) -> DataFrame:
-    """All ``(value, needle)`` pairs where the value contains the non-empty needle.
+def gram_index(texts: DataFrame) -> DataFrame:
+    """``(kind, text, gram)`` for all grams of up to three characters; shorter ones serve short needles."""
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("size")
+    sized = texts.select("kind", "text", sizes)
+    return sized.select("kind", "text", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
 
-    Both inputs hold distinct values in one column. Needles shorter than a trigram are looked up by a gram
-    of their own length.
-    """
-    size = F.least(F.length(needle), F.lit(GRAM))
-    sought = needles.where(F.length(needle) > 0).select(
-        needle, size.alias("size"), F.explode(_grams(F.col(needle), size)).alias("gram")
-    )
-    sizes = F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)])).alias("size")
-    indexed = (
-        values.select(value, sizes)
-        .join(sought.select("size").distinct(), "size", "left_semi")
-        .select(value, F.explode(_grams(F.col(value), F.col("size"))).alias("gram"))
+
+def substring_matches(grams: DataFrame, needles: DataFrame) -> DataFrame:
+    """All ``(kind, text, needle)`` where the text contains the non-empty needle of the same kind."""
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    sought = needles.where(F.length("needle") > 0).select(
+        "kind", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram")
     )
-    frequency = indexed.groupBy("gram").agg(F.count("*").alias("frequency"))
+    frequency = grams.groupBy("kind", "gram").agg(F.count("*").alias("frequency"))
     rarest = (
-        sought.join(frequency, "gram")
-        .groupBy(needle)
+        sought.join(frequency, ["kind", "gram"])
+        .groupBy("kind", "needle")
         .agg(F.min_by("gram", F.struct("frequency", "gram")).alias("gram"))
     )
-    hits = indexed.join(rarest, "gram").where(contains_literal(F.col(value), F.col(needle)))
-    return hits.select(value, needle)
+    hits = grams.join(rarest, ["kind", "gram"])
+    return hits.where(contains_literal(F.col("text"), F.col("needle"))).select("kind", "text", "needle")

@@ -16,18 +16,12 @@ from venuematch.storage import materialize
 Ranker = Callable[[DataFrame], DataFrame]
 
 
-def stored_index(catalog: DataFrame, depth: int | None = None, settings: Settings = DEFAULTS) -> MatchIndex:
-    """The match index as two tables in the shared folder, to be reused by every batch."""
-    index = build_match_index(catalog, depth, settings)
-    return MatchIndex(materialize(index.cells, "cells"), materialize(index.heads, "heads"), index.depth)
-
-
 def match_preferences(
     catalog: DataFrame, prefs: DataFrame, top_n: int | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Validate a preference table and match it; rows that break a rule are left out."""
     valid = valid_preferences(check_preferences(prefs))
-    return match_batch(stored_index(catalog, top_n, settings), valid, top_n, settings)
+    return match_batch(build_match_index(catalog, top_n, settings), valid, top_n, settings)
 
 
 def recommend_batch(
