@@ -71,6 +71,12 @@ def alias_lookup(key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def location_target(location: str) -> str:
+    """What a single requested place is compared with: its lower-cased canonical name, as a literal."""
+    stripped = location.strip()
+    return LOCATION_ALIASES.get(stripped.lower(), stripped.title()).lower()
+
+
 def normalize_location(location: Column) -> Column:
     stripped = strip(location)
     return F.coalesce(alias_lookup(F.lower(stripped)), title_case(stripped))

@@ -25,8 +25,3 @@ def title_case(c: Column) -> Column:
         F.lit(0),
     )
     return F.array_join(F.transform(runs, F.initcap), "")
-
-
-def contains_literal(text: Column, needle: Column) -> Column:
-    """Two-valued literal substring test."""
-    return F.coalesce(F.contains(text, needle), F.lit(False))

@@ -41,7 +41,7 @@ def default_facet(locations: DataFrame) -> DataFrame:
 
 def by_city(catalog: DataFrame, city: str) -> DataFrame:
     """Rows of one city; aliases and letter case of the request do not matter."""
-    return catalog.where(F.col("city_lc") == F.lower(parsing.normalize_location(F.lit(city))))
+    return catalog.where(F.col("city_lc") == parsing.location_target(city))
 
 
 def lookup_cities(catalog: DataFrame, requests: DataFrame) -> DataFrame:

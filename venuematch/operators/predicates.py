@@ -1,6 +1,8 @@
-"""The four match predicates, all two-valued, for literals and joined columns alike.
+"""The four match predicates, for literals and joined columns alike.
 
-Catalog side columns are ``city_lc``, ``location_lc``, ``cuisine``, ``rating`` and ``budget_band``.
+Catalog side columns are ``city_lc``, ``location_lc``, ``cuisine``, ``rating`` and ``budget_band``. A null
+value gives null, which a filter and ``count_if`` both treat as no match; left plain like this, comparisons
+with literals reach the Parquet scan.
 """
 
 from __future__ import annotations
@@ -8,22 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from venuematch.config import UNKNOWN
-from venuematch.functions.text import contains_literal
 
 
 def location_match(target: Column) -> Column:
-    same_city = F.coalesce(F.col("city_lc") == target, F.lit(False))
-    return same_city | contains_literal(F.col("location_lc"), target)
+    return (F.col("city_lc") == target) | F.contains("location_lc", target)
 
 
 def cuisine_match(needle: Column) -> Column:
     """Literal substring of the whole cuisine text; the empty needle of "any" matches everything."""
-    return contains_literal(F.lower("cuisine"), needle)
+    return F.contains(F.lower("cuisine"), needle)
 
 
 def rating_match(min_rating: Column) -> Column:
     """A floor of zero or less keeps unrated rows, any other floor drops them."""
-    return (min_rating <= 0.0) | F.coalesce(F.col("rating") >= min_rating, F.lit(False))
+    return (min_rating <= 0.0) | (F.col("rating") >= min_rating)
 
 
 def budget_match(budget: Column) -> Column:

@@ -13,7 +13,7 @@ STAGES = ["after_location", "after_cuisine", "after_rating", "after_budget"]
 
 def stage_predicates(location: str, budget: str, cuisine: str, min_rating: float) -> list[Column]:
     """Location, cuisine, rating and budget tests, in funnel order."""
-    target = F.lower(parsing.normalize_location(F.lit(location)))
+    target = F.lit(parsing.location_target(location))
     needle = cuisine.strip().lower()
     return [
         predicates.location_match(target),

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from venuematch.functions.text import contains_literal
-
 GRAM = 3
 
 
@@ -42,4 +40,4 @@ def substring_matches(grams: DataFrame, needles: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct("frequency", "gram")).alias("gram"))
     )
     hits = grams.join(rarest, ["kind", "gram"])
-    return hits.where(contains_literal(F.col("text"), F.col("needle"))).select("kind", "text", "needle")
+    return hits.where(F.contains("text", "needle")).select("kind", "text", "needle")

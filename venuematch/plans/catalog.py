@@ -12,7 +12,7 @@ from venuematch.operators.dedupe import dedupe_listings, quality_counters
 from venuematch.operators.facets import by_city
 from venuematch.operators.normalize import normalize_listings
 from venuematch.sources import exports, snapshot
-from venuematch.sources.listings import require_rows
+from venuematch.sources.listings import ListingsError, require_rows
 from venuematch.storage import scratch_path
 
 logger = logging.getLogger(__name__)
@@ -34,7 +34,8 @@ def store_catalog(raw: DataFrame, root: str | None = None, settings: Settings =
     stats = quality_counters(raw, settings)
     snapshot.write_snapshot(build_catalog(raw, settings), stats, root)
     stored = snapshot.read_snapshot(spark, root)
-    require_rows(stored, "no listing is left after normalisation")
+    if stored is None or stored.isEmpty():
+        raise ListingsError("no listing is left after normalisation")
     rate = snapshot.read_snapshot_stats(spark, root).first()["success_rate"]
     if rate < SUCCESS_RATE_FLOOR:
         logger.warning("only %.1f%% of the listings could be normalised", rate * 100)
