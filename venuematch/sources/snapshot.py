@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from venuematch.config import CATALOG_COLUMNS, SNAPSHOT_VERSION, UNKNOWN
@@ -13,6 +14,9 @@ from venuematch.storage import modified_at
 
 logger = logging.getLogger(__name__)
 
+# A missing path is an analysis error, a damaged file a failure inside the JVM.
+UNREADABLE = (PySparkException, Py4JJavaError)
+
 
 def write_snapshot(catalog: DataFrame, stats: DataFrame | None, root: str, version: int = SNAPSHOT_VERSION) -> str:
     """Store catalog and counters under ``root/version=N``.
@@ -41,8 +45,8 @@ def read_snapshot(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSIO
         stored = spark.read.parquet(f"{root}/version={version}/catalog")
         keys = [c for c in stored.columns if c not in CATALOG_COLUMNS]
         return stored.select(*CATALOG_COLUMNS, *keys)
-    except AnalysisException as error:
-        logger.warning("unreadable snapshot under %s: %s", root, error)
+    except UNREADABLE as error:
+        logger.warning("unreadable snapshot under %s: %s", root, type(error).__name__)
         return None
 
 
@@ -83,7 +87,7 @@ def read_clean_parquet(spark: SparkSession, path: str) -> DataFrame | None:
     """Clean rows from a seed file; null when it is missing, unreadable or empty."""
     try:
         rows = spark.read.parquet(path)
-    except AnalysisException as error:
-        logger.warning("no seed under %s: %s", path, error)
+    except UNREADABLE as error:
+        logger.warning("no readable seed under %s: %s", path, type(error).__name__)
         return None
     return None if rows.isEmpty() else repair_clean_rows(rows)
