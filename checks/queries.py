@@ -18,7 +18,7 @@ from venuematch.functions.numbers import round_exact
 from venuematch.functions.text import strip, title_case
 from venuematch.operators import diagnose, envelope, facets, predicates, preferences, prompts, replies
 from venuematch.operators.batch import COUNTS, MatchIndex, build_match_index, candidate_rows, match_batch
-from venuematch.operators.dedupe import quality_counters
+from venuematch.operators.dedupe import catalog_counters, quality_counters
 from venuematch.operators.normalize import annotate_listings, map_raw_columns, normalize_listings
 from venuematch.operators.single import funnel_counts, top_candidates
 from venuematch.plans import catalog as catalog_plan, recommend
@@ -118,14 +118,14 @@ def export_preview(spark, sf_dir):
 
 def snapshot_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "snapshot")
-    snapshot.write_snapshot(catalog_plan.build_catalog(inputs.listings(spark, sf_dir)), None, root)
+    snapshot.write_snapshot(catalog_plan.build_catalog(inputs.listings(spark, sf_dir)), root)
     return _cards(snapshot.read_snapshot(spark, root))
 
 
 def snapshot_stats(spark, sf_dir):
     root = scratch_path(spark, "snapshot")
-    raw = inputs.listings(spark, sf_dir)
-    snapshot.write_snapshot(catalog(spark, sf_dir), quality_counters(raw), root)
+    counters = catalog_counters(catalog(spark, sf_dir), inputs.listings(spark, sf_dir))
+    snapshot.write_snapshot_stats(counters, root)
     return snapshot.read_snapshot_stats(spark, root)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests import samples
 from venuematch.config import CATALOG_COLUMNS
 from venuematch.operators import facets
-from venuematch.operators.dedupe import dedupe_listings, quality_counters
+from venuematch.operators.dedupe import catalog_counters, dedupe_listings, quality_counters
 from venuematch.operators.normalize import normalize_listings
 from venuematch.plans.catalog import build_catalog, data_summary, preview, store_catalog
 from venuematch.sources.listings import ListingsError
@@ -57,6 +57,7 @@ def test_counters(spark):
         "input_rows": 5, "rows_normalized": 3, "dropped_missing_name": 2, "collapsed_duplicates": 1,
         "defaulted_city": 1, "output_rows": 2, "success_rate": 0.6,
     }
+    assert catalog_counters(build_catalog(raw), raw).first().asDict() == counters
     assert quality_counters(raw.limit(0)).first().asDict()["success_rate"] == 0.0
 
 
@@ -73,7 +74,7 @@ def test_result_does_not_depend_on_partitions(spark):
 def test_dedupe_is_idempotent(spark):
     raw = samples.listings(spark, [listing(f"V{i % 5}", f"{i % 6}/5") for i in range(40)])
     once = dedupe_listings(normalize_listings(raw))
-    again = dedupe_listings(once.withColumnRenamed("position", "row_index"))
+    again = dedupe_listings(once.withColumnRenamed("position", "row_index").withColumn("city_defaulted", F.lit(False)))
     assert sorted(map(tuple, once.select(*CATALOG_COLUMNS).collect())) == sorted(
         map(tuple, again.select(*CATALOG_COLUMNS).collect())
     )

@@ -46,7 +46,7 @@ def test_catalog_takes_one_shuffle_after_partial_aggregation(spark):
 
 
 def test_single_preference_reads_one_band_and_takes_top_n(spark, tmp_path):
-    snapshot.write_snapshot(samples.catalog(spark, samples.VENUES), None, str(tmp_path))
+    snapshot.write_snapshot(samples.catalog(spark, samples.VENUES), str(tmp_path))
     text = plan(top_candidates(snapshot.read_snapshot(spark, str(tmp_path)), "Pune", "low", "thai", 3.0))
     assert "TakeOrderedAndProject" in text and exchanges(text) == 0
     assert re.search(r"PartitionFilters: .*budget_band#\d+ = low", text)

@@ -64,7 +64,9 @@ def test_snapshot_versions(spark, tmp_path):
     catalog = samples.catalog(spark, samples.VENUES)
     root = str(tmp_path / "store")
     assert snapshot.read_snapshot(spark, root) is None
-    snapshot.write_snapshot(catalog, spark.range(1), root)
+    snapshot.write_snapshot(catalog, root)
+    assert snapshot.read_snapshot_stats(spark, root) is None
+    snapshot.write_snapshot_stats(spark.range(1), root)
     assert rows_of(snapshot.read_snapshot(spark, root)) == rows_of(catalog)
     assert snapshot.read_snapshot(spark, root, version=2) is None
     assert snapshot.read_snapshot_stats(spark, root).count() == 1

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from venuematch.config import CATALOG_COLUMNS, DEFAULTS, Settings
-from venuematch.operators.normalize import MATCH_KEYS, annotate_listings, with_match_keys
+from venuematch.functions.text import blank_to_null
+from venuematch.operators.normalize import MATCH_KEYS, annotate_listings, map_raw_columns, with_match_keys
 
 QUALITY_COLUMNS = [
     "input_rows",
@@ -23,7 +24,8 @@ def dedupe_listings(clean: DataFrame) -> DataFrame:
 
     ``max_by`` is aggregated on the map side, so a key that owns a third of all rows still sends only one
     row per map task through the single shuffle. ``position`` is the first appearance of the venue, which
-    is its place in catalog order even when a later duplicate replaces the row.
+    is its place in catalog order even when a later duplicate replaces the row; ``n_rows`` and
+    ``n_defaulted`` let the counters be read off the result.
     """
     best = F.max_by(
         F.struct(*CATALOG_COLUMNS),
@@ -31,32 +33,62 @@ def dedupe_listings(clean: DataFrame) -> DataFrame:
     )
     return (
         clean.groupBy(*MATCH_KEYS)
-        .agg(best.alias("best"), F.min("row_index").alias("position"))
-        .select("position", "best.*", *MATCH_KEYS)
+        .agg(
+            best.alias("best"),
+            F.min("row_index").alias("position"),
+            F.count("*").alias("n_rows"),
+            F.count_if("city_defaulted").alias("n_defaulted"),
+        )
+        .select("best.*", *MATCH_KEYS, "position", "n_rows", "n_defaulted")
     )
 
 
-def quality_counters(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row of counters. Unnamed rows share one null key; only keys and counts are shuffled."""
-    per_venue = (
-        with_match_keys(annotate_listings(raw, settings))
-        .groupBy(F.col("name").isNotNull().alias("named"), *[
-            F.when(F.col("name").isNotNull(), F.col(key)).alias(key) for key in MATCH_KEYS
-        ])
-        .agg(F.count("*").alias("n"), F.count_if("city_defaulted").alias("n_defaulted"))
-    )
-    named = F.col("named")
-    totals = per_venue.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"),
-        F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("rows_normalized"),
-        F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("dropped_missing_name"),
-        F.coalesce(F.sum(F.when(named, F.col("n_defaulted"))), F.lit(0)).alias("defaulted_city"),
-        F.count_if(named).alias("output_rows"),
-    )
+def _report(totals: DataFrame) -> DataFrame:
+    """The counter row from its five independent numbers."""
     return totals.select(
         "*",
+        (F.col("rows_normalized") + F.col("dropped_missing_name")).alias("input_rows"),
         (F.col("rows_normalized") - F.col("output_rows")).alias("collapsed_duplicates"),
+    ).select(
+        "*",
         F.when(F.col("input_rows") > 0, F.col("rows_normalized") / F.col("input_rows"))
         .otherwise(0.0)
         .alias("success_rate"),
     ).select(*QUALITY_COLUMNS)
+
+
+def _sum(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
+def quality_counters(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row of counters straight from the listings. Unnamed rows share one null key; only keys and
+    counts are shuffled."""
+    named = F.col("name").isNotNull()
+    per_venue = (
+        with_match_keys(annotate_listings(raw, settings))
+        .groupBy(named.alias("named"), *[F.when(named, F.col(key)).alias(key) for key in MATCH_KEYS])
+        .agg(F.count("*").alias("n"), F.count_if("city_defaulted").alias("n_defaulted"))
+    )
+    venue = F.col("named")
+    return _report(
+        per_venue.agg(
+            _sum(F.when(venue, F.col("n"))).alias("rows_normalized"),
+            _sum(F.when(~venue, F.col("n"))).alias("dropped_missing_name"),
+            _sum(F.when(venue, F.col("n_defaulted"))).alias("defaulted_city"),
+            F.count_if(venue).alias("output_rows"),
+        )
+    )
+
+
+def catalog_counters(catalog: DataFrame, raw: DataFrame) -> DataFrame:
+    """The same row from a stored catalog: of the listings only the name column is read again."""
+    unnamed = map_raw_columns(raw).where(blank_to_null(F.col("name")).isNull())
+    return _report(
+        catalog.agg(
+            _sum(F.col("n_rows")).alias("rows_normalized"),
+            unnamed.agg(F.count("*")).scalar().alias("dropped_missing_name"),
+            _sum(F.col("n_defaulted")).alias("defaulted_city"),
+            F.count("*").alias("output_rows"),
+        )
+    )

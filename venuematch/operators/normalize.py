@@ -9,7 +9,7 @@ from venuematch.functions import parsing
 from venuematch.functions.text import blank_to_null
 
 MATCH_KEYS = ["name_lc", "city_lc", "location_lc"]
-CLEAN_COLUMNS = ["row_index", *CATALOG_COLUMNS, *MATCH_KEYS]
+CLEAN_COLUMNS = ["row_index", *CATALOG_COLUMNS, *MATCH_KEYS, "city_defaulted"]
 
 
 def map_raw_columns(raw: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuematch.config import DEFAULTS, SUCCESS_RATE_FLOOR, Settings
-from venuematch.operators.dedupe import dedupe_listings, quality_counters
+from venuematch.operators.dedupe import catalog_counters, dedupe_listings
 from venuematch.operators.facets import by_city
 from venuematch.operators.normalize import normalize_listings
 from venuematch.sources import exports, snapshot
@@ -31,11 +31,11 @@ def store_catalog(raw: DataFrame, root: str | None = None, settings: Settings =
     spark = raw.sparkSession
     require_rows(raw, "the source has no rows")
     root = root or scratch_path(spark, "catalog")
-    stats = quality_counters(raw, settings)
-    snapshot.write_snapshot(build_catalog(raw, settings), stats, root)
+    snapshot.write_snapshot(build_catalog(raw, settings), root)
     stored = snapshot.read_snapshot(spark, root)
     if stored is None or stored.isEmpty():
         raise ListingsError("no listing is left after normalisation")
+    snapshot.write_snapshot_stats(catalog_counters(stored, raw), root)
     rate = snapshot.read_snapshot_stats(spark, root).first()["success_rate"]
     if rate < SUCCESS_RATE_FLOOR:
         logger.warning("only %.1f%% of the listings could be normalised", rate * 100)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from venuematch import schemas
+from venuematch.storage import materialize
 
 # A row of the offset table is a path and a number; this many stay well below 50 MB when broadcast.
 MAX_BROADCAST_FILES = 100_000
@@ -40,19 +41,20 @@ def read_listings(
 
 
 def _with_positions(frame: DataFrame) -> DataFrame:
-    """Place in the file plus the number of rows in all files before it."""
+    """Place in the file plus the number of rows in all files before it.
+
+    The row counts come from a scan without columns and are stored, so that their number is known before
+    they are broadcast. The running sum goes over one row per file, never over listings.
+    """
     columns = [f"`{c}`" for c in frame.columns]
-    in_file = F.col("_metadata.row_index")
-    files = len(frame.inputFiles())
-    if files <= 1:
-        return frame.select(in_file.alias("row_index"), *columns)
-    # The window runs over one row per file, never over listings.
-    counted = frame.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("n"))
+    path = F.col("_metadata.file_path").alias("file_path")
     before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
-    if files <= MAX_BROADCAST_FILES:
+    counted = frame.groupBy(path).agg(F.count("*").alias("n"))
+    skipped = counted.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
+    offsets = materialize(skipped, "offsets")
+    if offsets.count() <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    placed = frame.select(F.col("_metadata.file_path").alias("file_path"), in_file.alias("in_file"), *columns)
+    placed = frame.select(path, F.col("_metadata.row_index").alias("in_file"), *columns)
     return placed.join(offsets, "file_path").select(
         (F.col("in_file") + F.col("skipped")).alias("row_index"), *columns
     )

@@ -18,19 +18,24 @@ logger = logging.getLogger(__name__)
 UNREADABLE = (PySparkException, Py4JJavaError)
 
 
-def write_snapshot(catalog: DataFrame, stats: DataFrame | None, root: str, version: int = SNAPSHOT_VERSION) -> str:
-    """Store catalog and counters under ``root/version=N``.
+def write_snapshot(catalog: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
+    """Store the catalog under ``root/version=N``.
 
-    One folder per budget band, because every full match asks for one band. The rebalance hint lets AQE
-    cut a big band into files of the advisory size and merge small ones; rows are sorted by city inside a
-    file so that row group statistics can skip other cities.
+    One folder per budget band, because every full match asks for one band. Range partitioning keeps each
+    city in neighbouring files, so that file statistics skip the others; the id among its keys lets a place
+    that holds most of the rows spread over many files.
     """
-    base = f"{root}/version={version}"
-    laid_out = catalog.hint("rebalance", "budget_band").sortWithinPartitions("budget_band", "city_lc", "location_lc")
-    laid_out.write.mode("overwrite").partitionBy("budget_band").parquet(f"{base}/catalog")
-    if stats is not None:
-        stats.write.mode("overwrite").parquet(f"{base}/stats")
-    return base
+    path = f"{root}/version={version}/catalog"
+    keys = ["budget_band", "city_lc", "location_lc", "id"]
+    laid_out = catalog.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid_out.write.mode("overwrite").partitionBy("budget_band").parquet(path)
+    return path
+
+
+def write_snapshot_stats(stats: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
+    path = f"{root}/version={version}/stats"
+    stats.write.mode("overwrite").parquet(path)
+    return path
 
 
 def snapshot_time(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSION) -> int | None:
