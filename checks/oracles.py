@@ -7,6 +7,7 @@ functions and ordered string aggregation for replies.
 from __future__ import annotations
 
 from checks import inputs
+from venuematch.operators.prompts import SYSTEM_TEMPLATE
 
 TABLES = {name: name for name in ["orders", "customer", "nation"]}
 
@@ -200,6 +201,8 @@ ORACLES = {
         FROM catalog WHERE lower(city) = 'bangalore' AND location <> ''"""),
     "catalog_count": using("catalog", "SELECT count(*) AS n FROM catalog"),
     "preview_rows": using("catalog", f"SELECT {CARD} FROM catalog WHERE city = 'Mumbai' ORDER BY first_index LIMIT 5"),
+    "preview_lines": using("catalog", """SELECT id, name || ' | ' || cuisine || ' | ★' || coalesce(CAST(rating AS VARCHAR), 'N/A') || ' | ' ||
+        CASE WHEN coalesce(cost_for_two, 0) = 0 THEN 'N/A' ELSE '₹' || cost_for_two END || ' | ' || budget_band AS line FROM catalog"""),
     "data_summary": using("catalog", f"""SELECT q.*, (SELECT count(*) FROM catalog) AS total,
         (SELECT string_agg(DISTINCT city, ',' ORDER BY city) FROM catalog) AS cities,
         (SELECT count(*) FROM catalog WHERE city = 'Mumbai') AS in_city FROM (SELECT {QUALITY}) q"""),
@@ -239,6 +242,8 @@ ORACLES = {
         FROM valid v JOIN ranked r USING (pref_id) GROUP BY ALL"""),
     "effective_top_k": using("ranked", """SELECT pref_id, CAST(greatest(1, least(5, count(*))) AS INTEGER) AS top_k
         FROM ranked GROUP BY pref_id"""),
+    "system_text": using("ranked", f"""SELECT pref_id, replace('{SYSTEM_TEMPLATE.replace("'", "''")}', '%d',
+        CAST(least(5, count(*)) AS VARCHAR)) AS system FROM ranked GROUP BY pref_id"""),
     # replies
     "strip_fences": using("unfenced", "SELECT pref_id, body FROM unfenced"),
     "parse_responses": using("parsed_replies", "SELECT pref_id, parse_error, summary FROM parsed_replies"),

@@ -16,7 +16,7 @@ from venuematch.config import CATALOG_COLUMNS
 from venuematch.functions import parsing
 from venuematch.functions.numbers import round_exact
 from venuematch.functions.text import strip, title_case
-from venuematch.operators import diagnose, envelope, facets, predicates, preferences, prompts, replies
+from venuematch.operators import diagnose, display, envelope, facets, predicates, preferences, prompts, replies
 from venuematch.operators.batch import COUNTS, MatchIndex, build_match_index, candidate_rows, match_batch
 from venuematch.operators.dedupe import catalog_counters, quality_counters
 from venuematch.operators.normalize import annotate_listings, map_raw_columns, normalize_listings
@@ -373,7 +373,7 @@ def recommend_batch(spark, sf_dir):
     answers = recommend.recommend_batch(
         index(spark, sf_dir),
         inputs.preferences(spark, sf_dir),
-        lambda asked: asked.select("pref_id").join(stored, "pref_id"),
+        recommend.stored_ranker(stored),
     )
     return answers.select(
         "pref_id",
@@ -439,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "default_facet": lambda spark, sf_dir: facets.default_facet(facets.location_facet(catalog(spark, sf_dir))),
     "catalog_count": lambda spark, sf_dir: catalog(spark, sf_dir).agg(F.count("*").alias("n")),
     "preview_rows": preview_rows,
+    "preview_lines": lambda spark, sf_dir: display.preview_lines(catalog(spark, sf_dir)),
     "data_summary": data_summary,
     "top_candidates": top_candidates_query,
     "funnel_one": lambda spark, sf_dir: funnel_counts(catalog(spark, sf_dir), **ONE_PREFERENCE),
@@ -454,6 +455,7 @@ QUERIES: dict[str, Query] = {
     "filters_applied": filters_applied,
     "prompt_payload": prompt_payload,
     "effective_top_k": effective_top_k,
+    "system_text": lambda spark, sf_dir: prompts.build_prompts(matched(spark, sf_dir)).select("pref_id", "system"),
     "strip_fences": strip_fences,
     "parse_responses": parse_responses,
     "reply_items": reply_items,
@@ -463,6 +465,6 @@ QUERIES: dict[str, Query] = {
     "recommend_batch": recommend_batch,
     "error_envelope": error_envelope,
     "result_metadata": result_metadata,
-    "result_badge": lambda spark, sf_dir: envelope.result_badges(enveloped(spark, sf_dir)),
-    "result_cards": lambda spark, sf_dir: envelope.result_cards(enveloped(spark, sf_dir)),
+    "result_badge": lambda spark, sf_dir: display.result_badges(enveloped(spark, sf_dir)),
+    "result_cards": lambda spark, sf_dir: display.result_cards(enveloped(spark, sf_dir)),
 }

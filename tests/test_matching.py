@@ -92,8 +92,16 @@ def test_substring_join_equals_brute_force(spark):
     assert got == {(t, n) for t in texts for n in needles if n and n in t}
 
 
+@pytest.fixture(params=["10MB", "-1"])
+def broadcast_limit(spark, request):
+    """Small sides broadcast, and every join shuffled as it would be on large inputs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("seed, top_n", [(1, 3), (2, 30)])
-def test_batch_equals_brute_force(spark, seed, top_n):
+def test_batch_equals_brute_force(spark, broadcast_limit, seed, top_n):
     rows = samples.random_catalog(seed, 400)
     prefs = samples.random_preferences(seed, 150)
     catalog = samples.catalog(spark, rows).repartition(5)

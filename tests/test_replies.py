@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests import samples
 from venuematch import schemas
 from venuematch.operators.batch import build_match_index, match_batch
-from venuematch.operators.envelope import envelopes, error_message, result_badges, result_cards
+from venuematch.operators.display import preview_lines, result_badges, result_cards
+from venuematch.operators.envelope import envelopes
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.prompts import build_prompts
 from venuematch.operators.replies import parse_replies, parse_strict, reconcile_replies, strip_fences
@@ -44,7 +46,7 @@ def test_only_whole_json_texts_are_accepted(spark):
     cases = {
         '{"a":1}': True, ' [1] ': True, '{"a":1} xyz': False, '{"a":1}}': False, '{"a":1}] x': False,
         '{"a":1},{"b":2}': False, '{"a":1}\n{"b":2}': False, "": False, "{'a':1}": False, '{"a":01}': False,
-        '{"a":1,}': False, "{ malformed json }": False, '"text"': True, "7": True, '1], [2': False,
+        '{"a":1,}': False, "{ malformed json }": False, '"text"': True, "7": True, '1], [2': False, '{"a":"x\ny"}': False, '{"a":NaN}': False,
     }
     frame = spark.createDataFrame([(t,) for t in cases], "text STRING")
     got = frame.select("text", parse_strict(F.col("text")).isNotNull().alias("ok")).collect()
@@ -229,8 +231,6 @@ def test_missing_reply_is_an_error(spark):
 
 def test_pandas_ranker(spark):
     """A scorer of the user's own, run by Spark on batches of prompts."""
-    import pandas as pd
-
     def rank(batches):
         for batch in batches:
             texts = [json.dumps({"recommendations": [{"id": c["id"], "rank": i + 1} for i, c in enumerate(reversed(json.loads(p)["candidates"]))]}) for p in batch["prompt"]]
@@ -251,3 +251,9 @@ def test_cards_and_badges(spark):
     assert (cards[1].rating, cards[1].cost, cards[1].place) == ("—", "Price not available", "Koramangala, Bangalore")
     assert (cards[2].rating, cards[2].cost, cards[2].name) == ("4.5", "₹1200", "Toscano")
     assert result_badges(done).first().badge == "Selected 2 restaurants from 3 matches!"
+
+
+def test_preview_lines(spark):
+    rows = {r.id: r.line for r in preview_lines(samples.catalog(spark, CARDS)).collect()}
+    assert rows["rest-1"] == "Toscano | italian | ★4.5 | ₹1200 | medium"
+    assert rows["42"] == "Forty Two | italian | ★N/A | N/A | medium"

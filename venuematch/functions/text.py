@@ -18,10 +18,14 @@ def blank_to_null(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """``str.title()``: a capital after anything that is not a cased letter, lower case elsewhere."""
+    """``str.title()``: a capital after anything that is not a cased letter, lower case elsewhere.
+
+    ``initcap`` knows blanks only, which is enough for plain words; other texts are cut into runs first.
+    """
     runs = F.regexp_extract_all(
         c,
         F.lit(r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]+|[^\p{IsUppercase}\p{IsLowercase}\p{Lt}]+"),
         F.lit(0),
     )
-    return F.array_join(F.transform(runs, F.initcap), "")
+    by_run = F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(c.rlike("^[A-Za-z ]*$"), F.initcap(c)).otherwise(by_run)

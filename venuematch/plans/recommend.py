@@ -16,6 +16,11 @@ from venuematch.storage import materialize
 Ranker = Callable[[DataFrame], DataFrame]
 
 
+def stored_ranker(replies: DataFrame) -> Ranker:
+    """A ranker that looks replies up in a table, for reruns and tests."""
+    return lambda prompts: prompts.select("pref_id").join(replies, "pref_id")
+
+
 def match_preferences(
     catalog: DataFrame, prefs: DataFrame, top_n: int | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
