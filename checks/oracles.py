@@ -150,6 +150,12 @@ QUALITY = """input_rows, rows_normalized, dropped_missing_name, rows_normalized
       count(DISTINCT CASE WHEN name <> '' THEN lower(name) || '|' || lower(city) || '|' || lower(location) END) AS output_rows
       FROM annotated) t"""
 
+ONE_COUNTS = f"""count(*) AS candidates_considered,
+        count(*) FILTER ({ONE_STAGES[0]}) AS after_location,
+        count(*) FILTER ({" AND ".join(ONE_STAGES[:2])}) AS after_cuisine,
+        count(*) FILTER ({" AND ".join(ONE_STAGES[:3])}) AS after_rating,
+        count(*) FILTER ({ONE_ALL}) AS after_budget, least(count(*) FILTER ({ONE_ALL}), 30) AS returned"""
+
 ORACLES = {
     # scans and sinks
     "scan_positions": "SELECT o_orderkey AS row_index, o_orderkey FROM orders",
@@ -209,11 +215,10 @@ ORACLES = {
     # one preference
     "top_candidates": using("catalog", f"""SELECT CAST(row_number() OVER (ORDER BY coalesce(rating, -1) DESC, lower(name), id) AS INTEGER) AS position,
         {CARD} FROM catalog WHERE {ONE_ALL} ORDER BY position LIMIT 30"""),
-    "funnel_one": using("catalog", f"""SELECT count(*) AS candidates_considered,
-        count(*) FILTER ({ONE_STAGES[0]}) AS after_location,
-        count(*) FILTER ({" AND ".join(ONE_STAGES[:2])}) AS after_cuisine,
-        count(*) FILTER ({" AND ".join(ONE_STAGES[:3])}) AS after_rating,
-        count(*) FILTER ({ONE_ALL}) AS after_budget, least(count(*) FILTER ({ONE_ALL}), 30) AS returned FROM catalog"""),
+    "funnel_one": using("catalog", f"SELECT {ONE_COUNTS} FROM catalog"),
+    "match_one": using("catalog", f"""SELECT 'Bangalore' AS normalized_location, {ONE_COUNTS}, CAST(30 AS INTEGER) AS top_n,
+        (SELECT string_agg(id, ',' ORDER BY coalesce(rating, -1) DESC, lower(name), id) FROM (SELECT * FROM catalog
+          WHERE {ONE_ALL} ORDER BY coalesce(rating, -1) DESC, lower(name), id LIMIT 30) best) AS ids FROM catalog"""),
     # preference tables
     "validate_preferences": using("checked", """SELECT pref_id, location, budget, cuisine, min_rating, additional_preferences,
         normalized_location, errors FROM checked"""),

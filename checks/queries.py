@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import inputs
 from venuematch.config import CATALOG_COLUMNS
@@ -20,7 +20,7 @@ from venuematch.operators import diagnose, display, envelope, facets, predicates
 from venuematch.operators.batch import COUNTS, MatchIndex, build_match_index, candidate_rows, match_batch
 from venuematch.operators.dedupe import catalog_counters, quality_counters
 from venuematch.operators.normalize import annotate_listings, map_raw_columns, normalize_listings
-from venuematch.operators.single import funnel_counts, top_candidates
+from venuematch.operators.single import funnel_counts, match_one, top_candidates
 from venuematch.plans import catalog as catalog_plan, recommend
 from venuematch.sources import exports, listings as listing_source, snapshot
 from venuematch.storage import materialize, modified_at, scratch_path
@@ -235,11 +235,15 @@ def data_summary(spark, sf_dir):
     return summary.withColumn("cities", F.array_join("cities", ",")).drop("sample_names")
 
 
+def match_one_query(spark, sf_dir):
+    row = match_one(catalog(spark, sf_dir), **ONE_PREFERENCE)
+    ids = F.array_join(F.transform("candidates", lambda card: card["id"]), ",")
+    return row.select("normalized_location", *COUNTS, "top_n", ids.alias("ids"))
+
+
 def top_candidates_query(spark, sf_dir):
     best = top_candidates(catalog(spark, sf_dir), **ONE_PREFERENCE)
     # The list is already cut to the top-N; numbering it is a window over those few rows.
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.coalesce("rating", F.lit(-1.0)).desc(), F.lower("name"), "id")
     return best.select(F.row_number().over(order).alias("position"), "*")
 
@@ -442,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "preview_lines": lambda spark, sf_dir: display.preview_lines(catalog(spark, sf_dir)),
     "data_summary": data_summary,
     "top_candidates": top_candidates_query,
+    "match_one": match_one_query,
     "funnel_one": lambda spark, sf_dir: funnel_counts(catalog(spark, sf_dir), **ONE_PREFERENCE),
     "validate_preferences": validate_preferences,
     "rejected_preferences": lambda spark, sf_dir: _joined_errors(

@@ -7,7 +7,7 @@ from tests import samples
 from venuematch.operators.batch import COUNTS, build_match_index, candidate_rows, match_batch
 from venuematch.operators.diagnose import empty_reasons, root_causes
 from venuematch.operators.preferences import check_preferences, rejected_preferences, valid_preferences
-from venuematch.operators.single import funnel_counts, top_candidates
+from venuematch.operators.single import funnel_counts, match_one, top_candidates
 from venuematch.operators.substring_join import gram_index, substring_matches
 
 
@@ -123,6 +123,17 @@ def test_batch_of_one_equals_single(spark, venues):
     )
 
 
+def test_one_row_has_the_batch_shape(spark, venues):
+    pref = (0, "Bengaluru", "medium", "any", 3.0, " calm ")
+    batch = match_batch(build_match_index(venues), valid(spark, [pref]))
+    one = match_one(venues, *pref[1:])
+    assert one.columns == batch.columns
+    assert one.first().asDict(True) == batch.first().asDict(True)
+    assert match_one(venues, "Bengaluru", "dear", "any").isEmpty()
+    nothing = match_one(venues, "Bengaluru", "high", "thai").first()
+    assert (nothing.candidates, nothing.returned, nothing.after_location) == ([], 0, 5)
+
+
 def test_index_depth_is_checked(spark, venues):
     with pytest.raises(ValueError):
         match_batch(build_match_index(venues, 5), valid(spark, []), 6)

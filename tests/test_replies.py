@@ -14,7 +14,7 @@ from venuematch.operators.envelope import envelopes
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.prompts import build_prompts
 from venuematch.operators.replies import parse_replies, parse_strict, reconcile_replies, strip_fences
-from venuematch.plans.recommend import match_preferences, recommend_batch
+from venuematch.plans.recommend import match_preferences, recommend_batch, recommend_one, stored_ranker
 
 CARDS = [
     ("rest-1", "Toscano", "UB City", "Bangalore", "italian", 4.5, 1200, "medium"),
@@ -257,3 +257,13 @@ def test_preview_lines(spark):
     rows = {r.id: r.line for r in preview_lines(samples.catalog(spark, CARDS)).collect()}
     assert rows["rest-1"] == "Toscano | italian | ★4.5 | ₹1200 | medium"
     assert rows["42"] == "Forty Two | italian | ★N/A | N/A | medium"
+
+
+def test_recommend_one(spark):
+    text = reply(item("rest-1", rank=1), summary="One.")
+    ranker = stored_ranker(spark.createDataFrame([(0, text, None, None, 5.0)], schemas.RESPONSES))
+    catalog = samples.catalog(spark, CARDS)
+    row = recommend_one(catalog, ranker, location="Bangalore", budget="medium", cuisine="any").first()
+    assert (row.status, row.summary, row.metadata.after_budget) == ("success", "One.", 3)
+    row = recommend_one(catalog, ranker, location="Pune", budget="medium", cuisine="any").first()
+    assert (row.status, row.metadata.llm_called) == ("empty", False)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from venuematch import schemas
 from venuematch.config import ANY_CUISINE_TOKENS, CATALOG_COLUMNS, DEFAULTS, Settings
 from venuematch.functions import parsing
 from venuematch.operators import predicates
+from venuematch.operators.preferences import check_preferences, valid_preferences
 
 STAGES = ["after_location", "after_cuisine", "after_rating", "after_budget"]
 
@@ -58,3 +60,44 @@ def funnel_counts(
         counts.append(F.count_if(survives).alias(name))
     totals = catalog.agg(F.count("*").alias("candidates_considered"), *counts)
     return totals.withColumn("returned", F.least("after_budget", F.lit(limit).cast("bigint")))
+
+
+def match_one(
+    catalog: DataFrame,
+    location: str,
+    budget: str,
+    cuisine: str,
+    min_rating: float = 0.0,
+    additional_preferences: str | None = None,
+    top_n: int | None = None,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """The row a batch match gives for this preference, with ``pref_id`` 0, without building an index.
+
+    No row when the preference breaks a rule. Counts and candidates are two scalar subqueries over the
+    catalog; the list holds at most N cards.
+    """
+    spark = catalog.sparkSession
+    given = [(0, location, budget, cuisine, min_rating, additional_preferences)]
+    prefs = valid_preferences(check_preferences(spark.createDataFrame(given, schemas.PREFERENCES)))
+    asked = {"location": location, "budget": budget, "cuisine": cuisine, "min_rating": min_rating}
+    counts = funnel_counts(catalog, **asked, top_n=top_n, settings=settings)
+    best = top_candidates(catalog, **asked, top_n=top_n, settings=settings)
+    ranked = F.sort_array(
+        F.collect_list(
+            F.struct(
+                (-F.coalesce("rating", F.lit(-1.0))).alias("descending"),
+                F.lower("name").alias("name_lc"),
+                "id",
+                F.struct(*CATALOG_COLUMNS).alias("card"),
+            )
+        )
+    )
+    candidates = best.agg(F.transform(ranked, lambda entry: entry["card"]).alias("candidates"))
+    funnel = counts.select(F.struct("*")).scalar()
+    return prefs.select("*", funnel.alias("funnel"), candidates.scalar().alias("candidates")).select(
+        *prefs.columns,
+        "funnel.*",
+        F.lit(settings.effective_top_n(top_n)).alias("top_n"),
+        "candidates",
+    )

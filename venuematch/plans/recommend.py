@@ -11,6 +11,7 @@ from venuematch.operators.batch import MatchIndex, build_match_index, match_batc
 from venuematch.operators.envelope import envelopes
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.prompts import build_prompts
+from venuematch.operators.single import match_one
 from venuematch.storage import materialize
 
 Ranker = Callable[[DataFrame], DataFrame]
@@ -29,6 +30,21 @@ def match_preferences(
     return match_batch(build_match_index(catalog, top_n, settings), valid, top_n, settings)
 
 
+def answer_matches(
+    matched: DataFrame, ranker: Ranker, top_k: int | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """One envelope per row of a match.
+
+    ``ranker`` maps ``(pref_id, system, prompt)`` to ``(pref_id, raw_response, error_type, error_message,
+    latency_ms)``: a join with stored replies, or ``mapInPandas`` around a model. Matches and replies are
+    written to the shared folder, so a lost executor never repeats a paid call. Preferences without
+    candidates do not reach the ranker.
+    """
+    stored = materialize(matched, "matched")
+    replies = materialize(ranker(build_prompts(stored, top_k, settings)), "replies")
+    return envelopes(stored, replies)
+
+
 def recommend_batch(
     index: MatchIndex,
     prefs: DataFrame,
@@ -37,14 +53,13 @@ def recommend_batch(
     top_k: int | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """One envelope per valid preference.
-
-    ``ranker`` maps ``(pref_id, system, prompt)`` to ``(pref_id, raw_response, error_type, error_message,
-    latency_ms)``: a join with stored replies, or ``mapInPandas`` around a model. Matches and replies are
-    written to the shared folder, so a lost executor never repeats a paid call. Preferences without
-    candidates do not reach the ranker.
-    """
+    """One envelope per valid preference of a table."""
     valid = valid_preferences(check_preferences(prefs))
-    matched = materialize(match_batch(index, valid, top_n, settings), "matched")
-    responses = materialize(ranker(build_prompts(matched, top_k, settings)), "replies")
-    return envelopes(matched, responses)
+    return answer_matches(match_batch(index, valid, top_n, settings), ranker, top_k, settings)
+
+
+def recommend_one(
+    catalog: DataFrame, ranker: Ranker, top_k: int | None = None, settings: Settings = DEFAULTS, **preference
+) -> DataFrame:
+    """The envelope of a single preference; ``preference`` holds the arguments of ``match_one``."""
+    return answer_matches(match_one(catalog, settings=settings, **preference), ranker, top_k, settings)
