@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import inputs, queries
 from venuematch.operators.batch import build_match_index, candidate_rows
 from venuematch.operators.dedupe import quality_counters
-from venuematch.operators.single import funnel_counts, top_candidates
+from venuematch.operators.single import funnel_counts, match_one, top_candidates
 from venuematch.plans.catalog import build_catalog, store_catalog
 from venuematch.session import tuned
 
@@ -57,6 +57,7 @@ def main() -> None:
         "build_match_index": best_of(2, lambda: build_match_index(catalog)),
         "top_candidates": best_of(5, lambda: top_candidates(catalog, **one).collect()),
         "funnel_one": best_of(5, lambda: funnel_counts(catalog, **one).collect()),
+        "match_one": best_of(3, lambda: match_one(catalog, **one).collect()),
         "facet_locations": best_of(3, lambda: run(queries.facets.location_facet(catalog))),
         "facet_cuisines": best_of(3, lambda: run(queries.facets.cuisine_facet(catalog))),
         "batch_match_topn": best_of(3, lambda: run(candidate_rows(queries.match(spark, SF_DIR)))),

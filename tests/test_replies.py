@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tests import samples
 from venuematch import schemas
-from venuematch.operators.batch import build_match_index, match_batch
+from venuematch.operators.batch import build_match_index
 from venuematch.operators.display import preview_lines, result_badges, result_cards
 from venuematch.operators.envelope import envelopes
-from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.prompts import build_prompts
 from venuematch.operators.replies import parse_replies, parse_strict, reconcile_replies, strip_fences
+from venuematch.operators.single import match_one
 from venuematch.plans.recommend import match_preferences, recommend_batch, recommend_one, stored_ranker
 
 CARDS = [
@@ -109,22 +109,29 @@ def test_odd_items_are_skipped(spark):
     assert row.warnings == []
 
 
-@pytest.mark.parametrize("rank", [2, 2.7, "2", " 2 ", "+2", "2.5", "x", "", None, True, 1e3, {}, [], "1_0", 10**25, "9" * 30, "missing"])
-def test_rank_values(spark, rank):
-    fields = {} if rank == "missing" else {"rank": rank}
-    try:
-        want = int(fields["rank"]) if fields.get("rank") is not None else 9999
-    except (ValueError, TypeError):
-        want = 9999
-    got = parse_replies(replies(spark, [reply(item("42", **fields))])).first()["items"][0]["rank"]
-    assert got == min(want, 2**63 - 1)
+def test_rank_values(spark):
+    ranks = [2, 2.7, "2", " 2 ", "+2", "2.5", "x", "", None, True, 1e3, {}, [], "1_0", 10**25, "9" * 30]
+
+    def python_rank(rank):
+        try:
+            return int(rank) if rank is not None else 9999
+        except (ValueError, TypeError):
+            return 9999
+
+    texts = [reply(item("42", rank=rank)) for rank in ranks] + [reply(item("42"))]
+    rows = parse_replies(replies(spark, texts)).orderBy("pref_id").collect()
+    assert [r["items"][0]["rank"] for r in rows] == [min(python_rank(r), 2**63 - 1) for r in ranks] + [9999]
 
 
 def test_rank_below_one_spoils_the_reply(spark):
-    for rank in [0, -5, False, 0.9, "-1", "0"]:
-        assert reconcile_one(spark, reply(item("rest-1", rank=1), item("rest-2", rank=rank))).reply_error == "rank"
-    assert reconcile_one(spark, '{"recommendations":[{"id":"rest-1","rank":1e999}]}').reply_error == "rank"
-    assert reconcile_one(spark, reply(item("ghost", rank=0), item("rest-2", rank=1))).reply_error is None
+    low = [reply(item("rest-1", rank=1), item("rest-2", rank=rank)) for rank in [0, -5, False, 0.9, "-1", "0"]]
+    texts = [
+        *low,
+        '{"recommendations":[{"id":"rest-1","rank":1e999}]}',
+        reply(item("ghost", rank=0), item("rest-2", rank=1)),
+    ]
+    got = [r.reply_error for r in reconcile_replies(replies(spark, texts)).orderBy("pref_id").collect()]
+    assert got == ["rank"] * 7 + [None]
 
 
 def test_ties_missing_ranks_and_duplicates(spark):
@@ -201,31 +208,45 @@ def test_success_and_empty(spark):
     assert empty.metadata.candidates_considered == 3
 
 
-def test_partial(spark):
-    row = run_batch(spark, (reply(item("rest-1"), item("x")), None, None, None))[1]
+@pytest.fixture(scope="module")
+def three_matches(spark):
+    """One preference that all three cards match."""
+    return match_one(samples.catalog(spark, CARDS), "Bangalore", "medium", "any").cache()
+
+
+def test_errors(spark, three_matches):
+    broken = "We couldn't generate recommendations right now. Please try again."
+    unavailable = "Recommendations temporarily unavailable. Please try again."
+    odd = "Something went wrong. Please try again."
+    cases = [
+        (("{ malformed", None, None), broken, True, "LLMParseError", None),
+        ((reply(item("ghost")), None, None), broken, True, "LLMParseError", None),
+        ((None, "LLMTimeoutError", "timed out"), unavailable, True, "LLMTimeoutError", None),
+        ((None, "LLMRateLimitError", None), "Service is busy. Please try again in a moment.", True, "LLMRateLimitError", None),
+        ((None, "LLMAPIError", None), unavailable, True, "LLMAPIError", None),
+        ((None, "LLMConfigurationError", "no key"), "no key", False, "LLMConfigurationError", None),
+        ((None, "OddError", "boom"), odd, False, "Exception", "boom"),
+        ((reply(item("rest-1", rank=0)), None, None), odd, False, "Exception", None),
+    ]
+    numbers = spark.range(len(cases)).withColumnRenamed("id", "pref_id")
+    matched = three_matches.drop("pref_id").crossJoin(numbers)
+    answers = [(i, *case[0], 1.0) for i, case in enumerate(cases)]
+    rows = {r.pref_id: r for r in envelopes(matched, spark.createDataFrame(answers, schemas.RESPONSES)).collect()}
+    for i, (_, message, called, kind, own) in enumerate(cases):
+        row = rows[i]
+        assert (row.status, row.message, row.recommendations, row.summary) == ("error", message, [], None)
+        assert (row.metadata.llm_called, row.metadata.error_type, row.metadata.error) == (called, kind, own)
+        assert (row.metadata.candidates_considered, row.metadata.llm_latency_ms) == (None, None)
+
+
+def test_partial(spark, three_matches):
+    text = reply(item("rest-1"), item("x"))
+    row = envelopes(three_matches, spark.createDataFrame([(0, text, None, None, None)], schemas.RESPONSES)).first()
     assert (row.status, len(row.recommendations), len(row.warnings)) == ("partial", 1, 1)
 
 
-@pytest.mark.parametrize("answer, message, called, kind", [
-    (("{ malformed", None, None, 1.0), "We couldn't generate recommendations right now. Please try again.", True, "LLMParseError"),
-    ((None, "LLMTimeoutError", "timed out", 1.0), "Recommendations temporarily unavailable. Please try again.", True, "LLMTimeoutError"),
-    ((None, "LLMRateLimitError", None, 1.0), "Service is busy. Please try again in a moment.", True, "LLMRateLimitError"),
-    ((None, "LLMAPIError", None, 1.0), "Recommendations temporarily unavailable. Please try again.", True, "LLMAPIError"),
-    ((None, "LLMConfigurationError", "no key", 1.0), "no key", False, "LLMConfigurationError"),
-    ((None, "OddError", "boom", 1.0), "Something went wrong. Please try again.", False, "Exception"),
-    ((reply(item("rest-1", rank=0)), None, None, 1.0), "Something went wrong. Please try again.", False, "Exception"),
-])
-def test_errors(spark, answer, message, called, kind):
-    row = run_batch(spark, answer)[1]
-    assert (row.status, row.message, row.recommendations, row.summary) == ("error", message, [], None)
-    assert (row.metadata.llm_called, row.metadata.error_type) == (called, kind)
-    assert row.metadata.candidates_considered is None
-    assert row.metadata.error == ("boom" if kind == "Exception" and answer[1] else None)
-
-
-def test_missing_reply_is_an_error(spark):
-    matched = match_preferences(samples.catalog(spark, CARDS), samples.preferences(spark, [(1, "Bangalore", "medium", "any", 0.0, None)]))
-    row = envelopes(matched, spark.createDataFrame([], schemas.RESPONSES)).first()
+def test_missing_reply_is_an_error(spark, three_matches):
+    row = envelopes(three_matches, spark.createDataFrame([], schemas.RESPONSES)).first()
     assert (row.status, row.metadata.error_type) == ("error", "Exception")
 
 
@@ -243,10 +264,9 @@ def test_pandas_ranker(spark):
     assert {tuple(r.restaurant.id for r in row.recommendations) for row in rows} == {("rest-2", "rest-1")}
 
 
-def test_cards_and_badges(spark):
-    matched = match_preferences(samples.catalog(spark, CARDS), samples.preferences(spark, [(1, "Bangalore", "medium", "any", 0.0, None)]))
+def test_cards_and_badges(spark, three_matches):
     text = reply(item("42", rank=1), item("rest-1", rank=2))
-    done = envelopes(matched, spark.createDataFrame([(1, text, None, None, None)], schemas.RESPONSES))
+    done = envelopes(three_matches, spark.createDataFrame([(0, text, None, None, None)], schemas.RESPONSES))
     cards = {r["rank"]: r for r in result_cards(done).collect()}
     assert (cards[1].rating, cards[1].cost, cards[1].place) == ("—", "Price not available", "Koramangala, Bangalore")
     assert (cards[2].rating, cards[2].cost, cards[2].name) == ("4.5", "₹1200", "Toscano")
