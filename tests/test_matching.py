@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests import samples
 from venuematch.operators.batch import COUNTS, build_match_index, candidate_rows, match_batch

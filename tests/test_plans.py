@@ -7,9 +7,10 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import samples
-from venuematch.operators.batch import build_match_index, match_batch
+from venuematch.operators.batch import build_match_index, match_batch, match_lookup
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.replies import reconcile_replies
 from venuematch.operators.single import top_candidates
@@ -32,10 +33,19 @@ def exchanges(text: str) -> int:
 
 
 @pytest.fixture(scope="module")
-def matched(spark):
-    catalog = samples.catalog(spark, samples.random_catalog(3, 200))
-    prefs = samples.preferences(spark, samples.random_preferences(3, 40))
-    return match_batch(build_match_index(catalog), valid_preferences(check_preferences(prefs)))
+def index(spark):
+    return build_match_index(samples.catalog(spark, samples.random_catalog(3, 200)))
+
+
+@pytest.fixture(scope="module")
+def prefs(spark):
+    rows = samples.preferences(spark, samples.random_preferences(3, 40))
+    return valid_preferences(check_preferences(rows))
+
+
+@pytest.fixture(scope="module")
+def matched(index, prefs):
+    return match_batch(index, prefs)
 
 
 def test_catalog_takes_one_shuffle_after_partial_aggregation(spark):
@@ -54,11 +64,49 @@ def test_single_preference_reads_one_band_and_takes_top_n(spark, tmp_path):
     assert "GreaterThanOrEqual(rating,3.0)" in text
 
 
-def test_batch_never_pairs_everything(matched):
-    text = plan(matched)
-    assert "NestedLoop" not in text and "Cartesian" not in text
-    assert not any(node in text for node in PYTHON_NODES)
-    assert text.count("WindowGroupLimit") >= 4
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_batch_never_pairs_everything(spark, index, prefs, limit):
+    requests = prefs.select("target", "needle", "budget").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        lookup, joined = plan(match_lookup(index, requests, 5)), plan(match_batch(index, prefs, 5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text in (lookup, joined):
+        assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
+        assert not any(node in text for node in PYTHON_NODES)
+    assert lookup.count("WindowGroupLimit") >= 4
+
+
+def test_a_hot_request_is_split(spark, index, tmp_path):
+    """Half of all preferences ask for the same; with size limits scaled down, AQE cuts their partition."""
+    hot = F.col("id") % 2 == 0
+    rows = spark.range(0, 60_000, 1, 16).select(
+        F.col("id").alias("pref_id"),
+        F.when(hot, "Bangalore").otherwise(F.concat(F.lit("Place "), F.col("id") % 500)).alias("location"),
+        F.lit("low").alias("budget"),
+        F.lit("any").alias("cuisine"),
+        F.lit(0.0).alias("min_rating"),
+        F.sha2(F.col("id").cast("string"), 256).alias("additional_preferences"),
+    )
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        answered = match_batch(index, valid_preferences(check_preferences(rows)), 5)
+        answered.write.parquet(str(tmp_path / "out"))
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        final_plan = runs.apply(runs.size() - 1).physicalPlanDescription()
+    finally:
+        for key in options:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in final_plan
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60_000
 
 
 def test_replies_are_reconciled_without_a_shuffle(spark, matched):

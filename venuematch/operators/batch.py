@@ -204,15 +204,17 @@ def match_batch(
 ) -> DataFrame:
     """Validated preferences plus their funnel counts and an ordered ``candidates`` array.
 
-    Preferences are shuffled twice: reduced to distinct requests on the map side, and joined with the
-    answer of their request. The answer side has one row per key, so AQE can split a request that a third
-    of all preferences share.
+    Preferences are reduced to distinct requests on the map side, and joined with the answers of their
+    requests. The answers are a stored table with one row per request: small ones are broadcast, and
+    otherwise both join sides are plain shuffles, which AQE splits when a large share of the preferences
+    makes the same request.
     """
     n = settings.effective_top_n(top_n)
     if n > index.depth:
         raise ValueError(f"the match index answers up to {index.depth} candidates, not {n}")
     keys = ["target", "needle", "budget"]
-    lookup = match_lookup(index, materialize(prefs.select(*keys).distinct(), "requests"), n)
+    requests = materialize(prefs.select(*keys).distinct(), "requests")
+    lookup = materialize(match_lookup(index, requests, n), "answers")
     considered = index.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     joined = prefs.join(lookup, keys, "left")
 

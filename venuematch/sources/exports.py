@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from venuematch import schemas
 from venuematch.config import CATALOG_COLUMNS
 from venuematch.storage import modified_at
 
@@ -55,13 +56,9 @@ def refresh_exports(catalog: DataFrame, root: str, snapshot_time: int) -> list[s
     return written
 
 
-def read_csv_export(spark, path: str) -> DataFrame:
-    from venuematch import schemas
-
+def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CATALOG).option("header", True).csv(path)
 
 
-def read_json_export(spark, path: str) -> DataFrame:
-    from venuematch import schemas
-
+def read_json_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CATALOG).json(path)
