@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from venuematch.config import DEFAULT_CITY, DEFAULT_FACET
 from venuematch.functions import parsing
 from venuematch.functions.text import strip, title_case
+from venuematch.storage import materialize
 
 
 def city_list(catalog: DataFrame) -> DataFrame:
@@ -47,10 +48,9 @@ def by_city(catalog: DataFrame, city: str) -> DataFrame:
 def lookup_cities(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Equi-join form of :func:`by_city` for a table of requested ``city`` values.
 
-    Requests are reduced to distinct targets first; the join is left to AQE, which splits a city that holds
-    most of the rows and broadcasts the targets when they turn out to be few.
+    Requests are reduced to distinct targets and stored first. Few targets are then broadcast; with many,
+    both join sides are plain shuffles and AQE splits a city that holds most of the rows.
     """
-    targets = requests.select(
-        F.lower(parsing.normalize_location(F.col("city"))).alias("city_lc")
-    ).distinct()
+    asked = F.lower(parsing.normalize_location(F.col("city"))).alias("city_lc")
+    targets = materialize(requests.select(asked).distinct(), "cities")
     return catalog.join(targets, "city_lc", "left_semi")
