@@ -6,7 +6,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 from pyspark.sql import SparkSession
 
 from checks.oracles import ORACLES
@@ -17,25 +16,55 @@ TABLES = (
 ).split()
 
 
-def canonical(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame[sorted(frame.columns)].astype(object)
-    frame = frame.where(frame.notna(), None)
-    text = frame.map(lambda v: "" if v is None else f"{float(v):.9g}" if isinstance(v, (int, float)) else str(v))
-    order = text.sort_values(list(text.columns)).index if len(text.columns) else text.index
-    return text.loc[order].reset_index(drop=True)
+# Doubles agree when they differ by less than this share of the larger one; all else must be equal.
+TOLERANCE = 1e-9
+
+_INTEGERS = {"tinyint", "smallint", "int", "bigint", "hugeint"}
+_KINDS = {"varchar": "string", "integer": "int", "float": "double"}
+
+
+def kind(name: str) -> str:
+    """Type names of both engines on one scale: integers of any width, doubles, texts, booleans, lists."""
+    name = name.lower()
+    name = _KINDS.get(name, name)
+    if name.startswith("array<") or name.endswith("[]"):
+        return "list"
+    return "integer" if name in _INTEGERS else "decimal" if name.startswith("decimal") else name
+
+
+def unequal(a: object, b: object) -> bool:
+    if a is None or b is None:
+        return a is not b
+    if type(a) is not type(b):
+        return True
+    if isinstance(a, float):
+        return not (a == b or abs(a - b) <= TOLERANCE * max(abs(a), abs(b)) or a != a and b != b)
+    return a != b
+
+
+def _sortable(row: tuple) -> tuple:
+    """Doubles come last and rounded, so that rows that agree stand at the same place."""
+    exact = tuple((v is not None, str(v)) for v in row if not isinstance(v, float))
+    return exact, tuple(f"{v:.7e}" for v in row if isinstance(v, float))
 
 
 def differences(spark: SparkSession, db: duckdb.DuckDBPyConnection, sf_dir: str, name: str) -> str | None:
-    """A short text when the two results differ."""
-    got = canonical(QUERIES[name](spark, sf_dir).toPandas())
-    want = canonical(db.sql(ORACLES[name]).df())
-    if list(got.columns) != list(want.columns):
-        return f"columns {list(got.columns)} instead of {list(want.columns)}"
+    """A short text when the two results differ in columns, types, number of rows or a value."""
+    frame, relation = QUERIES[name](spark, sf_dir), db.sql(ORACLES[name])
+    got_kinds = {c: kind(t) for c, t in frame.dtypes}
+    want_kinds = {c: kind(str(t)) for c, t in zip(relation.columns, relation.types)}
+    if got_kinds != want_kinds:
+        return f"columns {got_kinds} instead of {want_kinds}"
+    columns = sorted(got_kinds)
+    got = sorted((tuple(row[c] for c in columns) for row in frame.collect()), key=_sortable)
+    places = [relation.columns.index(c) for c in columns]
+    want = sorted((tuple(row[i] for i in places) for row in relation.fetchall()), key=_sortable)
     if len(got) != len(want):
         return f"{len(got)} rows instead of {len(want)}"
-    if not got.equals(want):
-        row = (got != want).any(axis=1).idxmax()
-        return f"row {row}: {got.loc[row].to_dict()} instead of {want.loc[row].to_dict()}"
+    for a, b in zip(got, want):
+        wrong = [c for c, x, y in zip(columns, a, b) if unequal(x, y)]
+        if wrong:
+            return f"{wrong} in {dict(zip(columns, a))} instead of {dict(zip(columns, b))}"
     return None
 
 

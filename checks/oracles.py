@@ -55,7 +55,7 @@ STEPS = {
     "prefs": inputs.for_oracle(inputs.PREFERENCES, **TABLES),
     "checked": f"""SELECT pref_id, nullif(trim(location), '') AS location, budget, nullif(trim(cuisine), '') AS cuisine,
       coalesce(min_rating, 0) AS min_rating, substr(nullif(trim(additional_preferences), ''), 1, 500) AS additional_preferences,
-      {alias("lower(trim(location))", title("trim(location)"))} AS normalized_location,
+      {alias("lower(trim(location))", title("nullif(trim(location), '')"))} AS normalized_location,
       array_to_string(list_filter([
         CASE WHEN trim(coalesce(location, '')) = '' THEN 'location_blank' END,
         CASE WHEN budget NOT IN ('low', 'medium', 'high') THEN 'budget_invalid' END,
@@ -175,7 +175,7 @@ ORACLES = {
     "parse_cost": using("annotated", "SELECT row_index, cost_for_two FROM annotated"),
     "extract_city": using("parsed", "SELECT row_index, found_city AS city FROM parsed"),
     "alias_location": using("prefs", f"""SELECT pref_id,
-        {alias("lower(trim(location))", title("trim(location)"))} AS normalized_location FROM prefs"""),
+        {alias("lower(trim(location))", title("nullif(trim(location), '')"))} AS normalized_location FROM prefs"""),
     "budget_band": using("annotated", "SELECT row_index, budget_band FROM annotated"),
     "normalize_cuisine": using("parsed", "SELECT row_index, cuisine FROM parsed"),
     "default_place": using("annotated", "SELECT row_index, city, location, city_defaulted FROM annotated"),
@@ -210,6 +210,8 @@ ORACLES = {
     "preview_lines": using("catalog", """SELECT id, name || ' | ' || cuisine || ' | ★' || coalesce(CAST(rating AS VARCHAR), 'N/A') || ' | ' ||
         CASE WHEN coalesce(cost_for_two, 0) = 0 THEN 'N/A' ELSE '₹' || cost_for_two END || ' | ' || budget_band AS line FROM catalog"""),
     "data_summary": using("catalog", f"""SELECT q.*, (SELECT count(*) FROM catalog) AS total,
+        (SELECT count(DISTINCT city) FROM catalog) AS n_cities, (SELECT string_agg(name, ',' ORDER BY first_index)
+          FROM (SELECT * FROM catalog WHERE city = 'Mumbai' ORDER BY first_index LIMIT 5) s) AS sample_names,
         (SELECT string_agg(DISTINCT city, ',' ORDER BY city) FROM catalog) AS cities,
         (SELECT count(*) FROM catalog WHERE city = 'Mumbai') AS in_city FROM (SELECT {QUALITY}) q"""),
     # one preference
@@ -236,13 +238,33 @@ ORACLES = {
         CASE WHEN after_location = 0 THEN 'No Restaurants in ' || normalized_location
           WHEN after_cuisine = 0 THEN 'No ' || needle || ' Restaurants in ' || normalized_location
           WHEN after_rating = 0 THEN 'Rating Too High for This Combination' ELSE 'No Restaurants in This Budget Range' END AS title,
-        CAST(2 AS INTEGER) AS n_suggestions FROM counted WHERE returned = 0"""),
+        CASE WHEN after_location = 0 THEN 'We don''t have any restaurant data for "' || normalized_location
+            || '" in our database. This location may not be covered in our current Bangalore dataset.'
+          WHEN after_cuisine = 0 THEN 'We found ' || after_location || ' restaurant' || CASE WHEN after_location = 1 THEN '' ELSE 's' END || ' in '
+            || normalized_location || ', but none of them serve ' || needle || ' cuisine. This cuisine type may not be available in this neighborhood.'
+          WHEN after_rating = 0 THEN 'We found ' || after_cuisine || ' ' || kind || 'restaurant' || CASE WHEN after_cuisine = 1 THEN '' ELSE 's' END
+            || ' in ' || normalized_location || ', but none have a rating of ' || printf('%.1f', min_rating) || ' or above.'
+          ELSE 'We found ' || after_rating || ' ' || kind || 'restaurant' || CASE WHEN after_rating = 1 THEN '' ELSE 's' END || ' in '
+            || normalized_location || ' rated ' || printf('%.1f', min_rating) || '+, but none fall in the "'
+            || CASE budget WHEN 'low' THEN 'under ₹500' WHEN 'medium' THEN '₹500–₹1500' ELSE 'above ₹1500' END || '" budget range.' END AS explanation,
+        CASE WHEN after_location = 0 THEN 'Try a nearby popular area like Indiranagar, Koramangala, or Whitefield.|'
+            || 'Double-check the location spelling or select from the dropdown.'
+          WHEN after_cuisine = 0 THEN 'Set Cuisine Type to "Any" to see all ' || after_location || ' restaurants in ' || normalized_location
+            || '.|Try nearby locations that may have ' || needle || ' restaurants.'
+          WHEN after_rating = 0 THEN 'Lower your minimum rating to 3.5 or below — the available restaurants here may be rated slightly lower.|'
+            || 'Check nearby areas like Koramangala or Indiranagar for higher-rated ' || kind || 'options.'
+          ELSE 'Try a different budget level — the matching restaurants may be in a ' || CASE WHEN budget = 'low' THEN 'higher' ELSE 'different' END
+            || ' price bracket.|Lower your minimum rating to expand the pool of candidates within your budget.' END AS suggestions
+        FROM (SELECT *, CASE WHEN needle = '' THEN '' ELSE needle || ' ' END AS kind FROM counted) c WHERE returned = 0"""),
     "filters_applied": using("valid", """SELECT pref_id, normalized_location AS location, budget, min_rating,
         CASE WHEN needle = '' THEN 'any' ELSE needle END AS cuisine, additional_preferences FROM valid"""),
     # prompts
-    "prompt_payload": using("ranked", """SELECT v.pref_id, v.location, v.cuisine, v.min_rating, v.additional_preferences,
+    "prompt_payload": using("ranked", """SELECT v.pref_id, v.location, v.budget, v.cuisine, v.min_rating, v.additional_preferences,
         count(*) AS n_candidates, string_agg(r.id, ',' ORDER BY r.position) AS ids,
         string_agg(CASE WHEN r.rating IS NULL THEN 'N/A' ELSE CAST(r.rating AS VARCHAR) END, ',' ORDER BY r.position) AS ratings,
+        string_agg(r.name, '|' ORDER BY r.position) AS card_name, string_agg(r.cuisine, '|' ORDER BY r.position) AS card_cuisine,
+        string_agg(coalesce(CAST(r.cost_for_two AS VARCHAR), 'N/A'), '|' ORDER BY r.position) AS card_cost_for_two,
+        string_agg(r.location, '|' ORDER BY r.position) AS card_location,
         CAST(least(5, count(*)) AS INTEGER) AS request_top_k
         FROM valid v JOIN ranked r USING (pref_id) GROUP BY ALL"""),
     "effective_top_k": using("ranked", """SELECT pref_id, CAST(greatest(1, least(5, count(*))) AS INTEGER) AS top_k
@@ -253,7 +275,8 @@ ORACLES = {
     "strip_fences": using("unfenced", "SELECT pref_id, body FROM unfenced"),
     "parse_responses": using("parsed_replies", "SELECT pref_id, parse_error, summary FROM parsed_replies"),
     "reply_items": using("items", "SELECT pref_id, item_position, id, rank, explanation FROM items"),
-    "unknown_ids": using("resolved", """SELECT pref_id, item_position, 'Hallucinated candidate ID ''' || id || ''' dropped.' AS warning
+    "unknown_ids": using("resolved", """SELECT pref_id,
+        CAST(row_number() OVER (PARTITION BY pref_id ORDER BY item_position) AS INTEGER) AS position, 'Hallucinated candidate ID ''' || id || ''' dropped.' AS warning
         FROM resolved WHERE NOT is_known"""),
     "rerank": using("reranked", """SELECT pref_id, rank, id, name, rating, cost_for_two, explanation FROM reranked"""),
     "reconcile": using("reply_state", """SELECT pref_id, n_known AS n_recommendations, warnings,

@@ -232,7 +232,7 @@ def preview_rows(spark, sf_dir):
 def data_summary(spark, sf_dir):
     stats = quality_counters(inputs.listings(spark, sf_dir))
     summary = catalog_plan.data_summary(catalog(spark, sf_dir), stats, "Mumbai")
-    return summary.withColumn("cities", F.array_join("cities", ",")).drop("sample_names")
+    return summary.withColumns({name: F.array_join(name, ",") for name in ["cities", "sample_names"]})
 
 
 def match_one_query(spark, sf_dir):
@@ -271,7 +271,7 @@ def candidate_lists(spark, sf_dir):
 
 def root_cause(spark, sf_dir):
     causes = diagnose.root_causes(matched(spark, sf_dir))
-    return causes.withColumn("n_suggestions", F.size("suggestions")).drop("suggestions")
+    return causes.withColumn("suggestions", F.array_join("suggestions", "|"))
 
 
 def filters_applied(spark, sf_dir):
@@ -296,12 +296,13 @@ def prompt_payload(spark, sf_dir):
             field(f"preferences.{name}", kind).alias(name)
             for name, kind in [
                 ("location", "string"),
+                ("budget", "string"),
                 ("cuisine", "string"),
                 ("min_rating", "double"),
                 ("additional_preferences", "string"),
             ]
         ],
-        field("candidates", "array<struct<id:string,rating:string>>").alias("cards"),
+        field("candidates", "array<struct<id:string,name:string,cuisine:string,rating:string,cost_for_two:string,location:string>>").alias("cards"),
         field("request_top_k", "int").alias("request_top_k"),
     )
     # JSON numbers may lose a trailing ".0" on the way; a rating is compared as a double's text.
@@ -311,12 +312,17 @@ def prompt_payload(spark, sf_dir):
     return opened.select(
         "pref_id",
         "location",
+        "budget",
         "cuisine",
         "min_rating",
         "additional_preferences",
         F.size("cards").cast("bigint").alias("n_candidates"),
         F.array_join(F.transform("cards", lambda c: c["id"]), ",").alias("ids"),
         F.array_join(rating_text, ",").alias("ratings"),
+        *[
+            F.array_join(F.transform("cards", lambda c, name=name: c[name]), "|").alias(f"card_{name}")
+            for name in ["name", "cuisine", "cost_for_two", "location"]
+        ],
         "request_top_k",
     )
 
@@ -339,17 +345,13 @@ def parse_responses(spark, sf_dir):
 
 def reply_items(spark, sf_dir):
     parsed = replies.parse_replies(responses(spark, sf_dir))
-    return parsed.select("pref_id", F.explode("items").alias("item")).select("pref_id", "item.*")
+    return parsed.select("pref_id", F.explode("items").alias("item")).select("pref_id", "item.*").drop("beyond")
 
 
 def unknown_ids(spark, sf_dir):
-    """Reply items without a candidate, as an anti join."""
-    items = reply_items(spark, sf_dir)
-    known = candidate_rows(matched(spark, sf_dir)).select("pref_id", "id")
-    text = F.format_string("Hallucinated candidate ID '%s' dropped.", "id")
-    return items.join(known, ["pref_id", "id"], "left_anti").select(
-        "pref_id", "item_position", text.alias("warning")
-    )
+    """The warnings of each reply, numbered."""
+    warned = reconciled(spark, sf_dir).select("pref_id", F.posexplode("warnings").alias("at", "warning"))
+    return warned.select("pref_id", (F.col("at") + 1).alias("position"), "warning")
 
 
 def rerank(spark, sf_dir):

@@ -18,17 +18,20 @@ def listings(spark, rows):
 
 
 def catalog(spark, rows):
-    """Clean rows given as tuples in catalog column order."""
-    return with_match_keys(spark.createDataFrame(rows, schemas.CATALOG))
+    """Clean rows given as tuples in catalog column order, with their place in the list as position."""
+    placed = [(*row, at) for at, row in enumerate(rows)]
+    return with_match_keys(spark.createDataFrame(placed, f"{schemas.CATALOG}, position BIGINT"))
 
 
+# One venue for each case that the matching tests need: two cuisines of one kind, a place text that contains a city's
+# name, no rating, no price.
 VENUES = [
-    ("1", "Alpha Italian", "Indiranagar", "Bangalore", "italian, pizza", 4.5, 900, "medium"),
-    ("2", "Bravo Indian", "Koramangala", "Bangalore", "north indian", 4.0, 400, "low"),
-    ("3", "Charlie Thai", "Connaught Place", "Delhi", "thai", 4.2, 1800, "high"),
-    ("4", "Delta Tex", "Bangalore Road", "Delhi", "tex-mex, cafe", 3.1, 700, "medium"),
-    ("5", "Echo New", "Indiranagar", "Bangalore", "italian", None, 800, "medium"),
-    ("6", "Fox Unknown Cost", "Whitefield", "Bangalore", "italian", 4.8, None, "unknown"),
+    ("1", "Salt Harbour", "Indiranagar", "Bangalore", "italian, pizza", 4.4, 1100, "medium"),
+    ("2", "Old Clay Oven", "Jayanagar", "Bangalore", "north indian", 4.1, 350, "low"),
+    ("3", "Paper Lantern", "Hauz Khas", "Delhi", "thai", 4.6, 2200, "high"),
+    ("4", "Cactus Yard", "Bangalore Road", "Delhi", "tex-mex, cafe", 3.3, 640, "medium"),
+    ("5", "Unlit Window", "Indiranagar", "Bangalore", "italian", None, 950, "medium"),
+    ("6", "Seven Gates", "Ulsoor", "Bangalore", "italian", 4.7, None, "unknown"),
 ]
 
 

@@ -7,7 +7,7 @@ from venuematch.operators.batch import COUNTS, build_match_index, candidate_rows
 from venuematch.operators.diagnose import empty_reasons, root_causes
 from venuematch.operators.preferences import check_preferences, rejected_preferences, valid_preferences
 from venuematch.operators.single import funnel_counts, match_one, top_candidates
-from venuematch.operators.substring_join import gram_index, substring_matches
+from venuematch.operators.substring_join import gram_frequencies, gram_index, substring_matches
 
 
 def ids(frame):
@@ -87,7 +87,7 @@ def test_substring_join_equals_brute_force(spark):
     needles = ["a", "ab", "abc", "cab", "é!x", "é", "indian", "n, c", "aaa", "zzzz", "bcabcabca", "a.c", "", "."]
     frame = spark.createDataFrame([("k", t) for t in texts] + [("other", "indian abc")], "kind STRING, text STRING")
     asked = spark.createDataFrame([("k", n) for n in needles], "kind STRING, needle STRING")
-    got = {(r.text, r.needle) for r in substring_matches(gram_index(frame), asked).collect()}
+    got = {(r.text, r.needle) for r in substring_matches(gram_index(frame), gram_frequencies(gram_index(frame)), asked).collect()}
     assert got == {(t, n) for t in texts for n in needles if n and n in t}
 
 

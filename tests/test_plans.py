@@ -66,7 +66,7 @@ def test_single_preference_reads_one_band_and_takes_top_n(spark, tmp_path):
 
 @pytest.mark.parametrize("limit", ["10MB", "-1"])
 def test_batch_never_pairs_everything(spark, index, prefs, limit):
-    requests = prefs.select("target", "needle", "budget").distinct()
+    requests = prefs.select("target", "needle", "budget", "min_rating").distinct()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:
         lookup, joined = plan(match_lookup(index, requests, 5)), plan(match_batch(index, prefs, 5))
@@ -76,6 +76,9 @@ def test_batch_never_pairs_everything(spark, index, prefs, limit):
         assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
         assert not any(node in text for node in PYTHON_NODES)
     assert lookup.count("WindowGroupLimit") >= 4
+    # Catalog data is joined with the asked keys before anything ranks, and no list holds more than the first n.
+    assert lookup.count("collect_list") <= 2 * lookup.count("ObjectHashAggregate")
+    assert exchanges(lookup) < 20
 
 
 def test_a_hot_request_is_split(spark, index, tmp_path):

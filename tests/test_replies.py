@@ -17,9 +17,9 @@ from venuematch.operators.single import match_one
 from venuematch.plans.recommend import match_preferences, recommend_batch, recommend_one, stored_ranker
 
 CARDS = [
-    ("rest-1", "Toscano", "UB City", "Bangalore", "italian", 4.5, 1200, "medium"),
-    ("rest-2", "Chianti", "Koramangala", "Bangalore", "italian", 4.3, 1400, "medium"),
-    ("42", "Forty Two", "Koramangala", "Bangalore", "italian", None, None, "medium"),
+    ("v7", "Blue Kiln", "Jayanagar", "Bangalore", "italian", 4.4, 1250, "medium"),
+    ("v9", "Green Stair", "Ulsoor", "Bangalore", "italian", 4.2, 980, "medium"),
+    ("42", "Forty Two", "Ulsoor", "Bangalore", "italian", None, None, "medium"),
 ]
 
 
@@ -54,8 +54,8 @@ def test_only_whole_json_texts_are_accepted(spark):
 
 
 def test_repeated_keys_keep_the_last(spark):
-    row = reconcile_one(spark, '{"recommendations":[{"id":"ghost","id":"rest-1","rank":5,"rank":2}]}')
-    assert [r.restaurant.id for r in row.recommendations] == ["rest-1"]
+    row = reconcile_one(spark, '{"recommendations":[{"id":"ghost","id":"v7","rank":5,"rank":2}]}')
+    assert [r.restaurant.id for r in row.recommendations] == ["v7"]
 
 
 def test_fences(spark):
@@ -82,18 +82,18 @@ def test_summaries(spark):
 
 def test_order_and_facts(spark):
     row = reconcile_one(spark, reply(
-        item("rest-2", rank=10, explanation=" Good ", name="Fake", rating=1.0, cost_for_two=1),
-        item("rest-1", rank=5, explanation="Better"),
+        item("v9", rank=10, explanation=" Good ", name="Fake", rating=1.0, cost_for_two=1),
+        item("v7", rank=5, explanation="Better"),
     ))
     assert [(r.rank, r.restaurant.id, r.restaurant.name, r.restaurant.rating, r.explanation) for r in row.recommendations] == [
-        (1, "rest-1", "Toscano", 4.5, "Better"), (2, "rest-2", "Chianti", 4.3, "Good"),
+        (1, "v7", "Blue Kiln", 4.4, "Better"), (2, "v9", "Green Stair", 4.2, "Good"),
     ]
     assert (row.warnings, row.reply_error) == ([], None)
 
 
 def test_unknown_ids_become_warnings(spark):
-    row = reconcile_one(spark, reply(item("ghost", rank=1), item(" rest-1 ", rank=2), item(True), item(1.0), item("")))
-    assert [r.restaurant.id for r in row.recommendations] == ["rest-1"]
+    row = reconcile_one(spark, reply(item("ghost", rank=1), item(" v7 ", rank=2), item(True), item(1.0), item("")))
+    assert [r.restaurant.id for r in row.recommendations] == ["v7"]
     assert row.warnings == [f"Hallucinated candidate ID '{x}' dropped." for x in ["ghost", "True", "1.0", ""]]
 
 
@@ -104,7 +104,7 @@ def test_nothing_valid_is_a_parse_error(spark):
 
 
 def test_odd_items_are_skipped(spark):
-    row = reconcile_one(spark, reply(3, None, "rest-1", ["rest-1"], {"rank": 1}, item(None), item(42)))
+    row = reconcile_one(spark, reply(3, None, "v7", ["v7"], {"rank": 1}, item(None), item(42)))
     assert [r.restaurant.id for r in row.recommendations] == ["42"]
     assert row.warnings == []
 
@@ -124,11 +124,11 @@ def test_rank_values(spark):
 
 
 def test_rank_below_one_spoils_the_reply(spark):
-    low = [reply(item("rest-1", rank=1), item("rest-2", rank=rank)) for rank in [0, -5, False, 0.9, "-1", "0"]]
+    low = [reply(item("v7", rank=1), item("v9", rank=rank)) for rank in [0, -5, False, 0.9, "-1", "0"]]
     texts = [
         *low,
-        '{"recommendations":[{"id":"rest-1","rank":1e999}]}',
-        reply(item("ghost", rank=0), item("rest-2", rank=1)),
+        '{"recommendations":[{"id":"v7","rank":1e999}]}',
+        reply(item("ghost", rank=0), item("v9", rank=1)),
     ]
     got = [r.reply_error for r in reconcile_replies(replies(spark, texts)).orderBy("pref_id").collect()]
     assert got == ["rank"] * 7 + [None]
@@ -136,14 +136,14 @@ def test_rank_below_one_spoils_the_reply(spark):
 
 def test_ties_missing_ranks_and_duplicates(spark):
     row = reconcile_one(spark, reply(
-        item("rest-2"), item("rest-1"), item("42", rank=1), item("rest-1", explanation=5), item("rest-1", explanation="x"),
+        item("v9"), item("v7"), item("42", rank=1), item("v7", explanation=5), item("v7", explanation="x"),
     ))
     assert [(r.rank, r.restaurant.id, r.explanation) for r in row.recommendations] == [
         (1, "42", "Recommended based on your preferences."),
-        (2, "rest-1", "Recommended based on your preferences."),
-        (3, "rest-1", "Recommended based on your preferences."),
-        (4, "rest-1", "x"),
-        (5, "rest-2", "Recommended based on your preferences."),
+        (2, "v7", "Recommended based on your preferences."),
+        (3, "v7", "Recommended based on your preferences."),
+        (4, "v7", "x"),
+        (5, "v9", "Recommended based on your preferences."),
     ]
 
 
@@ -161,8 +161,8 @@ def test_prompts(spark):
     assert first == {
         "preferences": {"location": "Bangalore", "budget": "medium", "cuisine": "Italian", "min_rating": 4.0, "additional_preferences": "quiet place"},
         "candidates": [
-            {"id": "rest-1", "name": "Toscano", "cuisine": "italian", "rating": 4.5, "cost_for_two": 1200, "location": "UB City"},
-            {"id": "rest-2", "name": "Chianti", "cuisine": "italian", "rating": 4.3, "cost_for_two": 1400, "location": "Koramangala"},
+            {"id": "v7", "name": "Blue Kiln", "cuisine": "italian", "rating": 4.4, "cost_for_two": 1250, "location": "Jayanagar"},
+            {"id": "v9", "name": "Green Stair", "cuisine": "italian", "rating": 4.2, "cost_for_two": 980, "location": "Ulsoor"},
         ],
         "request_top_k": 2,
     }
@@ -170,7 +170,7 @@ def test_prompts(spark):
     assert second["request_top_k"] == 3
     tail = [(c["name"], c["rating"], c["cost_for_two"]) for c in second["candidates"][2:]]
     assert tail == [("Nil", 1.0, "N/A"), ('Quote "Café"\n', "N/A", 0)]
-    assert "best 2 restaurants" in rows[1].system and "best 3 restaurants" in rows[2].system
+    assert "holds 2 entries" in rows[1].system and "holds 3 entries" in rows[2].system
 
 
 def run_batch(spark, answer):
@@ -191,12 +191,12 @@ def run_batch(spark, answer):
 
 
 def test_success_and_empty(spark):
-    text = reply(item("rest-1", rank=1, explanation="Fine"), item("rest-2", rank=2), summary="Top picks.")
+    text = reply(item("v7", rank=1, explanation="Fine"), item("v9", rank=2), summary="Top picks.")
     rows = run_batch(spark, (text, None, None, 1234.56))
     assert set(rows) == {1, 2}
     good, empty = rows[1], rows[2]
     assert (good.status, good.summary, good.message, good.warnings) == ("success", "Top picks.", None, [])
-    assert [r.restaurant.id for r in good.recommendations] == ["rest-1", "rest-2"]
+    assert [r.restaurant.id for r in good.recommendations] == ["v7", "v9"]
     meta = good.metadata
     assert (meta.candidates_considered, meta.after_budget, meta.returned, meta.top_n) == (3, 2, 2, 30)
     assert (meta.llm_called, meta.llm_latency_ms, meta.error_type) == (True, 1234.6, None)
@@ -226,7 +226,7 @@ def test_errors(spark, three_matches):
         ((None, "LLMAPIError", None), unavailable, True, "LLMAPIError", None),
         ((None, "LLMConfigurationError", "no key"), "no key", False, "LLMConfigurationError", None),
         ((None, "OddError", "boom"), odd, False, "Exception", "boom"),
-        ((reply(item("rest-1", rank=0)), None, None), odd, False, "Exception", None),
+        ((reply(item("v7", rank=0)), None, None), odd, False, "Exception", None),
     ]
     numbers = spark.range(len(cases)).withColumnRenamed("id", "pref_id")
     matched = three_matches.drop("pref_id").crossJoin(numbers)
@@ -240,7 +240,7 @@ def test_errors(spark, three_matches):
 
 
 def test_partial(spark, three_matches):
-    text = reply(item("rest-1"), item("x"))
+    text = reply(item("v7"), item("x"))
     row = envelopes(three_matches, spark.createDataFrame([(0, text, None, None, None)], schemas.RESPONSES)).first()
     assert (row.status, len(row.recommendations), len(row.warnings)) == ("partial", 1, 1)
 
@@ -261,26 +261,26 @@ def test_pandas_ranker(spark):
     index = build_match_index(samples.catalog(spark, CARDS))
     rows = recommend_batch(index, prefs, lambda asked: asked.mapInPandas(rank, schemas.RESPONSES)).collect()
     assert len(rows) == 20
-    assert {tuple(r.restaurant.id for r in row.recommendations) for row in rows} == {("rest-2", "rest-1")}
+    assert {tuple(r.restaurant.id for r in row.recommendations) for row in rows} == {("v9", "v7")}
 
 
 def test_cards_and_badges(spark, three_matches):
-    text = reply(item("42", rank=1), item("rest-1", rank=2))
+    text = reply(item("42", rank=1), item("v7", rank=2))
     done = envelopes(three_matches, spark.createDataFrame([(0, text, None, None, None)], schemas.RESPONSES))
     cards = {r["rank"]: r for r in result_cards(done).collect()}
-    assert (cards[1].rating, cards[1].cost, cards[1].place) == ("—", "Price not available", "Koramangala, Bangalore")
-    assert (cards[2].rating, cards[2].cost, cards[2].name) == ("4.5", "₹1200", "Toscano")
+    assert (cards[1].rating, cards[1].cost, cards[1].place) == ("—", "Price not available", "Ulsoor, Bangalore")
+    assert (cards[2].rating, cards[2].cost, cards[2].name) == ("4.4", "₹1250", "Blue Kiln")
     assert result_badges(done).first().badge == "Selected 2 restaurants from 3 matches!"
 
 
 def test_preview_lines(spark):
     rows = {r.id: r.line for r in preview_lines(samples.catalog(spark, CARDS)).collect()}
-    assert rows["rest-1"] == "Toscano | italian | ★4.5 | ₹1200 | medium"
+    assert rows["v7"] == "Blue Kiln | italian | ★4.4 | ₹1250 | medium"
     assert rows["42"] == "Forty Two | italian | ★N/A | N/A | medium"
 
 
 def test_recommend_one(spark):
-    text = reply(item("rest-1", rank=1), summary="One.")
+    text = reply(item("v7", rank=1), summary="One.")
     ranker = stored_ranker(spark.createDataFrame([(0, text, None, None, 5.0)], schemas.RESPONSES))
     catalog = samples.catalog(spark, CARDS)
     row = recommend_one(catalog, ranker, location="Bangalore", budget="medium", cuisine="any").first()

@@ -103,7 +103,7 @@ def test_source_chain(spark, tmp_path):
         return [r.name for r in open_catalog(spark, read_raw, root, seed=seed, export_root=out, **options).collect()]
 
     samples.catalog(spark, samples.VENUES[:1]).write.parquet(seed)
-    assert names() == ["Alpha Italian"] and not calls
+    assert names() == ["Salt Harbour"] and not calls
     assert names(force_reload=True) == ["Raw"] and len(calls) == 1
     assert names() == ["Raw"] and len(calls) == 1
     assert exports.read_csv_export(spark, f"{out}/csv").first().name == "Raw"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
+logger = logging.getLogger(__name__)
+
 # Fixed values -----------------------------------------------------------------
 
 RAW_COLUMNS = {
@@ -94,6 +97,18 @@ CAUSE_TITLES = {
     "other": "No Restaurants Found",
 }
 
+CAUSE_EXPLANATIONS = {
+    "location": 'We don\'t have any restaurant data for "%s" in our database. '
+    "This location may not be covered in our current Bangalore dataset.",
+    "cuisine": "We found %d restaurant%s in %s, but none of them serve %s cuisine. "
+    "This cuisine type may not be available in this neighborhood.",
+    "rating": "We found %d %srestaurant%s in %s, but none have a rating of %s or above.",
+    "budget": 'We found %d %srestaurant%s in %s rated %s+, but none fall in the "%s" budget range.',
+    "other": "No venues in our dataset match your current filter combination.",
+}
+
+BUDGET_LABELS = {"low": "under ₹500", "medium": "₹500–₹1500", "high": "above ₹1500"}
+
 CAUSE_SUGGESTIONS = {
     "location": [
         "Try a nearby popular area like Indiranagar, Koramangala, or Whitefield.",
@@ -135,7 +150,9 @@ class Settings:
             raise ValueError("top_n and top_k must be positive")
 
     def effective_top_n(self, top_n: int | None) -> int:
-        """A missing or non-positive cap falls back to the configured one."""
+        """A missing or non-positive cap falls back to the configured one; the latter is logged."""
+        if top_n is not None and top_n <= 0:
+            logger.warning("a cap of %s is not positive; %d is used", top_n, self.top_n)
         return self.top_n if top_n is None or top_n <= 0 else top_n
 
 

@@ -1 +1 @@
-"""DataFrame operators: each takes DataFrames and returns one, lazily."""
+

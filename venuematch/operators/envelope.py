@@ -30,11 +30,6 @@ def error_was_called(error: Column) -> Column:
     return _by_error(error, 1, F.lit(False))
 
 
-def latency_one_digit(latency_ms: Column) -> Column:
-    """One digit, exact where the rounding is; at four hours and beyond the plain rounding is used."""
-    return F.when(latency_ms < 2.0**24, round_exact(latency_ms, 1)).otherwise(F.bround(latency_ms, 1))
-
-
 def metadata_struct(error: Column, was_called: Column, latency: Column) -> Column:
     """Funnel counts and call facts; an error keeps only the call facts and its type."""
     failed = error.isNotNull()
@@ -95,6 +90,6 @@ def envelopes(matched: DataFrame, responses: DataFrame) -> DataFrame:
         metadata_struct(
             F.col("error"),
             F.when(failed, error_was_called(F.col("error"))).otherwise(~F.col("is_empty")),
-            F.when(~silent, latency_one_digit(F.col("latency_ms"))),
+            F.when(~silent, round_exact(F.col("latency_ms"), 1)),
         ).alias("metadata"),
     )

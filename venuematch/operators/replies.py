@@ -57,7 +57,8 @@ def _rank_number(value: Column) -> Column:
     """``int()`` of a JSON value, or the number that sorts last when there is none.
 
     Numbers lose their fraction. A text counts when it is an integer literal. Numbers beyond 64 bits keep
-    their sign and sort at that end; an infinite one becomes zero, which is not a valid rank.
+    their sign and stand at that end, where :func:`_rank_beyond` orders them; an infinite one becomes zero, which is
+    not a valid rank.
     """
     kind = _type(value)
     double = value.try_cast("double")
@@ -79,6 +80,22 @@ def _rank_number(value: Column) -> Column:
     return F.coalesce(F.when(kind == "STRING", integer).otherwise(number), F.lit(MISSING_RANK).cast("bigint"))
 
 
+def _rank_beyond(value: Column) -> Column:
+    """Length and digits of a rank too large for 64 bits, so that these sort among themselves; null for all others.
+
+    Negative ones need no order, since a rank below one is an error.
+    """
+    double = value.try_cast("double")
+    number = F.coalesce(value.try_cast("decimal(38,0)").cast("string"), F.regexp_replace(F.format_number(double, 0), ",", ""))
+    literal = F.regexp_replace(strip(value.try_cast("string")), r"^\+|_", "")
+    large = F.when(_type(value) == "STRING", F.when(literal.rlike(r"^[0-9]+$"), literal)).otherwise(
+        F.when((double >= float(BIGGEST_RANK)) & (double < float("inf")), number)
+    )
+    digits = F.regexp_replace(large, r"^0+(?=[0-9])", "")
+    beyond = (F.length(digits) > 19) | ((F.length(digits) == 19) & (digits > str(BIGGEST_RANK)))
+    return F.when(beyond, F.struct(F.length(digits).alias("length"), digits.alias("digits")))
+
+
 def _field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
@@ -103,6 +120,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
             at.cast("int").alias("item_position"),
             _id_text(_field(item, "id")).alias("id"),
             _rank_number(_field(item, "rank")).alias("rank"),
+            _rank_beyond(_field(item, "rank")).alias("beyond"),
             F.coalesce(_text_or_null(_field(item, "explanation")), F.lit(MSG_DEFAULT_EXPLANATION)).alias(
                 "explanation"
             ),
@@ -145,6 +163,7 @@ def reconcile_replies(replies: DataFrame) -> DataFrame:
         known,
         lambda entry: F.struct(
             entry["item"]["rank"].alias("rank"),
+            entry["item"]["beyond"].alias("beyond"),
             entry["item"]["id"].alias("id"),
             entry["item"]["item_position"].alias("item_position"),
             entry["item"]["explanation"].alias("explanation"),

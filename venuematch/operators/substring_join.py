@@ -27,15 +27,19 @@ def gram_index(texts: DataFrame) -> DataFrame:
     return sized.select("kind", "text", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
 
 
-def substring_matches(grams: DataFrame, needles: DataFrame) -> DataFrame:
+def gram_frequencies(grams: DataFrame) -> DataFrame:
+    """``(kind, gram, frequency)``: how many texts hold a gram."""
+    return grams.groupBy("kind", "gram").agg(F.count("*").alias("frequency"))
+
+
+def substring_matches(grams: DataFrame, frequencies: DataFrame, needles: DataFrame) -> DataFrame:
     """All ``(kind, text, needle)`` where the text contains the non-empty needle of the same kind."""
     size = F.least(F.length("needle"), F.lit(GRAM))
     sought = needles.where(F.length("needle") > 0).select(
         "kind", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram")
     )
-    frequency = grams.groupBy("kind", "gram").agg(F.count("*").alias("frequency"))
     rarest = (
-        sought.join(frequency, ["kind", "gram"])
+        sought.join(frequencies, ["kind", "gram"])
         .groupBy("kind", "needle")
         .agg(F.min_by("gram", F.struct("frequency", "gram")).alias("gram"))
     )

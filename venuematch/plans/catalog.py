@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuematch.config import DEFAULTS, SUCCESS_RATE_FLOOR, Settings
 from venuematch.operators.dedupe import catalog_counters, dedupe_listings
-from venuematch.operators.facets import by_city
+from venuematch.operators.facets import by_city, city_list
 from venuematch.operators.normalize import normalize_listings
 from venuematch.sources import exports, snapshot
 from venuematch.sources.listings import ListingsError, require_rows
@@ -17,6 +17,8 @@ from venuematch.storage import scratch_path
 
 logger = logging.getLogger(__name__)
 
+SUMMARY_CITIES = 1000
+
 
 def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Raw listings to one row per venue: one narrow stage, one shuffle."""
@@ -73,16 +75,20 @@ def preview(catalog: DataFrame, n: int) -> DataFrame:
 
 
 def data_summary(catalog: DataFrame, stats: DataFrame, city: str, sample: int = 5) -> DataFrame:
-    """One row: totals, cities, counters, rows in the given city and its first few rows."""
+    """One row: totals, cities, counters, rows in the given city and its first few rows.
+
+    ``cities`` names the first :data:`SUMMARY_CITIES` for display; ``n_cities`` counts all.
+    """
     local = by_city(catalog, city)
     shown = preview(local, sample).agg(F.collect_list("name").alias("sample_names"))
-    totals = catalog.agg(
-        F.count("*").alias("total"), F.array_sort(F.collect_set("city")).alias("cities")
-    )
+    cities = city_list(catalog)
+    named = cities.limit(SUMMARY_CITIES).agg(F.array_sort(F.collect_list("city")).alias("cities"))
     in_city = local.agg(F.count("*").alias("in_city"))
     return stats.select(
         "*",
-        *[totals.select(c).scalar().alias(c) for c in ["total", "cities"]],
+        catalog.agg(F.count("*")).scalar().alias("total"),
+        cities.agg(F.count("*")).scalar().alias("n_cities"),
+        named.scalar().alias("cities"),
         in_city.scalar().alias("in_city"),
         shown.scalar().alias("sample_names"),
     )

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from venuematch import schemas
 from venuematch.storage import materialize
 
-# A row of the offset table is a path and a number; this many stay well below 50 MB when broadcast.
-MAX_BROADCAST_FILES = 100_000
+# A file's entry in the broadcast table of offsets is a hash of its path and a number, about 40 bytes in memory. This
+# many stay below 2 GB; a source of more files has to be merged into larger ones first.
+MAX_FILES = 50_000_000
 
 
 class ListingsError(Exception):
@@ -30,7 +31,7 @@ def read_listings(
     if fmt == "parquet":
         frame = spark.read.options(**options).parquet(*([path] if isinstance(path, str) else path))
         if position_column is None:
-            return _with_positions(frame)
+            return with_positions(frame)
     elif position_column is None:
         raise ListingsError(f"{fmt} listings need a position_column")
     else:
@@ -40,22 +41,28 @@ def read_listings(
     return frame.select(F.col(f"`{position_column}`").cast("bigint").alias("row_index"), *kept)
 
 
-def _with_positions(frame: DataFrame) -> DataFrame:
-    """Place in the file plus the number of rows in all files before it.
+def with_positions(frame: DataFrame) -> DataFrame:
+    """Place in the file plus the number of rows in all files before it, as ``row_index``.
 
     The row counts come from a scan without columns and are stored, so that their number is known before
-    they are broadcast. The running sum goes over one row per file, never over listings.
+    they are broadcast, whatever it is: listings are never moved for their position. The running sum goes over one
+    row per file. Files are told apart by a hash of their path, checked to be unique.
     """
     columns = [f"`{c}`" for c in frame.columns]
     path = F.col("_metadata.file_path").alias("file_path")
     before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     counted = frame.groupBy(path).agg(F.count("*").alias("n"))
-    skipped = counted.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
+    skipped = counted.select(
+        F.xxhash64("file_path").alias("file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped")
+    )
     offsets = materialize(skipped, "offsets")
-    if offsets.count() <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
-    placed = frame.select(path, F.col("_metadata.row_index").alias("in_file"), *columns)
-    return placed.join(offsets, "file_path").select(
+    files, hashes = offsets.agg(F.count("*"), F.count_distinct("file")).first()
+    if files > MAX_FILES:
+        raise ListingsError(f"{files} files are more than the {MAX_FILES} whose offsets fit in memory")
+    if hashes < files:
+        raise ListingsError("two file paths have the same hash; rename one of the files")
+    placed = frame.select(F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("in_file"), *columns)
+    return placed.join(F.broadcast(offsets), "file").select(
         (F.col("in_file") + F.col("skipped")).alias("row_index"), *columns
     )
 

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 import logging
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from venuematch.config import CATALOG_COLUMNS, SNAPSHOT_VERSION, UNKNOWN
+from venuematch.config import BUDGETS, CATALOG_COLUMNS, SNAPSHOT_VERSION, UNKNOWN
 from venuematch.operators.normalize import with_match_keys
-from venuematch.storage import modified_at
+from venuematch.sources.listings import with_positions
+from venuematch.storage import UNREADABLE, modified_at
 
 logger = logging.getLogger(__name__)
 
-# A missing path is an analysis error, a damaged file a failure inside the JVM.
-UNREADABLE = (PySparkException, Py4JJavaError)
-
 
 def write_snapshot(catalog: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
     """Store the catalog under ``root/version=N``.
@@ -84,15 +80,28 @@ def repair_clean_rows(rows: DataFrame) -> DataFrame:
         _number("rating").alias("rating"),
         _number("cost_for_two").try_cast("int").alias("cost_for_two"),
         _text_or_unknown("budget_band").alias("budget_band"),
+        *[c for c in ["position"] if c in rows.columns],
     )
     return with_match_keys(repaired)
 
 
 def read_clean_parquet(spark: SparkSession, path: str) -> DataFrame | None:
-    """Clean rows from a seed file; null when it is missing, unreadable or empty."""
+    """Clean rows from a seed file, with their place in it as ``position``.
+
+    Null when the file is missing, unreadable, empty, or has a budget band that does not exist: such a file was not
+    made from a catalog, and the caller has other sources.
+    """
     try:
-        rows = spark.read.parquet(path)
+        rows = with_positions(spark.read.parquet(path)).withColumnRenamed("row_index", "position")
+        repaired = repair_clean_rows(rows)
+        if rows.isEmpty():
+            logger.warning("the seed under %s has no rows", path)
+            return None
+        odd = repaired.where(~F.col("budget_band").isin([*BUDGETS, UNKNOWN])).select("budget_band").first()
     except UNREADABLE as error:
         logger.warning("no readable seed under %s: %s", path, type(error).__name__)
         return None
-    return None if rows.isEmpty() else repair_clean_rows(rows)
+    if odd is not None:
+        logger.warning("the seed under %s has the budget band %r", path, odd["budget_band"])
+        return None
+    return repaired

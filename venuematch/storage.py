@@ -1,12 +1,26 @@
-"""Cutting lineage through the shared folder of the cluster."""
+"""Cutting lineage through the shared folder of the cluster, and removing what was written for a while only."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+# A missing path is an analysis error, a damaged file a failure inside the JVM.
+UNREADABLE = (PySparkException, Py4JJavaError)
+
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
@@ -16,19 +30,61 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="venuematch-"))
+    made = tempfile.mkdtemp(prefix="venuematch-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir(made)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the open :func:`scratch_folder`, or else in the shared folder."""
+    return f"{_folder.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """Tables stored inside the ``with`` block go to one folder, which is removed at its end.
+
+    Results that read them are lazy, so they have to be written or collected inside the block.
+    """
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+        remove(spark, path)
+
+
+@contextmanager
+def stored_under(path: str) -> Iterator[str]:
+    """Tables stored inside the ``with`` block go to a folder that the caller removes."""
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write once and read back, so later branches neither recompute nor depend on live executors."""
+    """Write once and read back, so later branches neither recompute nor depend on live executors.
+
+    The shuffle files behind the table are removed when it is written, instead of when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
