@@ -1,18 +1,19 @@
 """Substring dedup: repeated word sequences found in suffix trees that are partitioned by prefix.
 
 A suffix starts at each word of a document. A repeat of ``length`` words is a node of the suffixes' tree at that
-depth or deeper with two or more suffixes below it. Prefixes of two lengths split the suffixes:
+depth or deeper with two or more suffixes below it. Prefixes of growing length split the suffixes:
 
 * a short prefix, taken at the places where its hash is least among neighbours, so that every window of
   ``length`` words holds such a place at the same offset wherever it occurs. A short prefix that occurs once
   leads to a leaf, and no repeat runs through it: most suffixes end here without being stored;
-* the windows that hold a repeated short prefix are extended to ``length`` words. Their key is the hash of the
-  first words and the hash of the others, 128 bits together. Each key is a node at depth ``length``, and the tree
-  is not needed below it: the first suffix of a node stays, the others are repeats. Adjacent repeats of a
-  document make up the maximal one.
-
-A node's suffixes are never gathered: its first one is a partial aggregate, and the others come from a join that
-Spark splits where a node is hot.
+* around each repeated short prefix the neighbouring windows that hold it make up a context. Equal contexts are one
+  node of the tree: its first occurrence stays, and all windows of the others are repeats;
+* only where one prefix leads to several contexts can these share windows of ``length`` words. Then the first
+  occurrence of each context is extended to its single windows. Each of them is a node at depth ``length``, and the
+  tree is not needed below it. Adjacent repeats of a document make up the maximal one.
+
+Nodes are keyed by the prefix's hash and a hash of the rest, 128 bits together. A node's suffixes are never
+gathered: its first one is a partial aggregate, and the others come from a join that Spark splits where a node is hot.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuematch.llm.shipping import workers_ready
-from venuematch.llm.words import window_hashes, word_hashes
+from venuematch.llm.words import mix, range_hashes, window_hashes, word_hashes
 from venuematch.storage import materialize
 
 LENGTH = 20
@@ -48,13 +49,21 @@ def _least_places(prefixes: np.ndarray, span: int) -> np.ndarray:
     return at[:n]
 
 
-def sampled_prefixes(data: bytes, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, hashes of all short prefixes, and for each window the place of its sampled prefix."""
-    hashes = word_hashes(data)
+def sampled_prefixes(hashes: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all short prefixes, and for each window the place of its sampled one."""
     if len(hashes) < length:
-        return hashes, hashes[:0], np.zeros(0, np.int64)
+        return hashes[:0], np.zeros(0, np.int64)
     prefixes = window_hashes(hashes, (prefix,))[prefix]
-    return hashes, prefixes, _least_places(prefixes, length - prefix + 1)
+    return prefixes, _least_places(prefixes, length - prefix + 1)
+
+
+def _contexts_of(text: str | None, length: int, prefix: int) -> tuple[np.ndarray, ...]:
+    """Word hashes, then for each run of windows with one sampled place: its prefix, first window, end and place."""
+    hashes = word_hashes((text or "").encode())
+    prefixes, places = sampled_prefixes(hashes, length, prefix)
+    starts = np.flatnonzero(np.diff(places, prepend=-1))
+    ends = np.append(starts[1:], len(places))
+    return hashes, prefixes[places[starts]], starts, ends, places[starts]
 
 
 def _digest(words: list[bytes]) -> str:
@@ -73,7 +82,7 @@ def _scanned(docs: DataFrame, length: int, prefix: int) -> DataFrame:
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
                 words = data.split()
-                _, prefixes, places = sampled_prefixes(data, length, prefix)
+                prefixes, places = sampled_prefixes(word_hashes(data), length, prefix)
                 counts.append(len(words))
                 digests.append(_digest(words))
                 found, times = np.unique(prefixes[np.unique(places)], return_counts=True)
@@ -88,38 +97,60 @@ def _scanned(docs: DataFrame, length: int, prefix: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, prefixes array<long>")
 
 
-def _windows(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(k1, k2, doc_id, start) of the windows whose sampled prefix is among the document's repeated ones."""
+def _occurrences(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
+    """(prefix, rest, doc_id, start, n): contexts around the repeated prefixes of a document, with n windows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = [[np.zeros(0, np.int64)] for _ in range(5)]
             for doc_id, text, repeated in zip(batch.column("doc_id"), batch.column("text"), batch.column("repeated")):
-                hashes, prefixes, places = sampled_prefixes((text.as_py() or "").encode(), length, prefix)
-                wanted = np.isin(prefixes, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                starts = np.flatnonzero(wanted[places])
-                if len(starts):
-                    rest = window_hashes(hashes, (length - prefix,))[length - prefix]
-                    yield pa.record_batch(
-                        [pa.array(prefixes[starts].view(np.int64)), pa.array(rest[starts + prefix].view(np.int64)),
-                         pa.array(np.full(len(starts), doc_id.as_py())), pa.array(starts.astype(np.int64))],
-                        ["k1", "k2", "doc_id", "start"],
-                    )
+                hashes, prefixes, starts, ends, places = _contexts_of(text.as_py(), length, prefix)
+                kept = np.isin(prefixes, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                prefixes, starts, ends, places = (x[kept] for x in (prefixes, starts, ends, places))
+                shape = ((ends - starts) * length + (places - starts)).astype(np.uint64)
+                rest = mix(range_hashes(hashes, starts, ends + length - 1) + shape)
+                found = (prefixes.view(np.int64), rest.view(np.int64), np.full(len(starts), doc_id.as_py()), starts, ends - starts)
+                for column, values in zip(columns, found):
+                    column.append(values)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", "doc_id", "start", "n"])
 
-    return candidates.mapInArrow(run, "k1 long, k2 long, doc_id long, start long")
+    return candidates.select("doc_id", "text", "repeated").mapInArrow(run, "prefix long, rest long, doc_id long, start long, n long")
+
+
+def _windows(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
+    """(prefix, rest, doc_id, start): the single windows of the contexts that begin at ``wanted`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for doc_id, text, wanted in zip(batch.column("doc_id"), batch.column("text"), batch.column("wanted")):
+                hashes, prefixes, starts, ends, places = _contexts_of(text.as_py(), length, prefix)
+                kept = np.isin(starts, wanted.values.to_numpy(zero_copy_only=False))
+                sizes = (ends - starts)[kept]
+                first = np.repeat(starts[kept], sizes)
+                at = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                offset = (np.repeat(places[kept], sizes) - at).astype(np.uint64)
+                rest = mix(range_hashes(hashes, at, at + length) + offset)
+                found = (np.repeat(prefixes[kept], sizes).view(np.int64), rest.view(np.int64), np.full(len(at), doc_id.as_py()), at)
+                for column, values in zip(columns, found):
+                    column.append(values)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", "doc_id", "start"])
+
+    return candidates.select("doc_id", "text", "wanted").mapInArrow(run, "prefix long, rest long, doc_id long, start long")
 
 
 def _cut(candidates: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of documents with ``starts`` of the windows to remove."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of documents with the ``spans`` (start, n) of windows to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, starts in zip(batch.column("doc_id"), batch.column("text"), batch.column("starts")):
+            for doc_id, text, spans in zip(batch.column("doc_id"), batch.column("text"), batch.column("spans")):
                 words = (text.as_py() or "").encode().split()
-                at = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else np.zeros(0, np.int64)
+                at, n = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n"))
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
+                np.add.at(change, at + n + length - 1, -1)
                 left = [w for w, covered in zip(words, np.cumsum(change).tolist()) if not covered]
                 rows.append((doc_id.as_py(), len(words), len(words) - len(left), _digest(left), b" ".join(left).decode()))
             columns = list(zip(*rows)) or [()] * 5
@@ -138,8 +169,11 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     smaller doc_id, or in the same document before it. ``kept`` holds the words left, joined by one space, for
     documents that lose words; it is null for others, whose words all stay. Texts of fewer than ``length`` words
     keep theirs, and null texts have none. A null doc_id comes before all others. Rows with one doc_id are
-    copies of one document: a repeated row is cut like the first and returned again. Other columns are not read. Stores sampled prefixes and the texts with repeated ones in the shared folder.
+    copies of one document: a repeated row is cut like the first and returned again. Other columns are not read. Runs jobs when called; sampled prefixes, the texts with
+    repeated ones and the nodes are stored in the shared folder.
     """
+    if not 0 < prefix < length:
+        raise ValueError("a prefix is shorter than a window")
     workers_ready(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     scanned = materialize(_scanned(texts, length, prefix), "prefixes")
@@ -147,13 +181,24 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     shared = sampled.groupBy("prefix").count().filter("count > 1").select("prefix")
     repeated = sampled.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("repeated"))
     candidates = materialize(texts.join(repeated, "doc_id"), "candidates")
-    windows = _windows(candidates, length, prefix)
-    place = F.struct("doc_id", "start")
-    nodes = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(nodes, ["k1", "k2"]).filter(place != F.col("first"))
-    starts = materialize(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
-    cut = _cut(candidates.select("doc_id", "text").join(starts, "doc_id"), length)
-    whole = scanned.join(starts.select("doc_id"), "doc_id", "left_anti").select(
+
+    node, place = ["prefix", "rest"], F.struct("doc_id", "start")
+    occurrences = materialize(_occurrences(candidates, length, prefix), "occurrences")
+    contexts = materialize(
+        occurrences.groupBy(*node).agg(F.min(place).alias("first"), F.count("*").alias("times")), "contexts"
+    )
+    again = occurrences.join(contexts.filter("times > 1"), node).filter(place != F.col("first"))
+    split = contexts.groupBy("prefix").count().filter("count > 1").select("prefix")
+    wanted = contexts.join(split, "prefix", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+        F.collect_set("first.start").alias("wanted")
+    )
+    windows = materialize(_windows(candidates.join(wanted, "doc_id"), length, prefix), "windows")
+    nodes = windows.groupBy(*node).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    later = windows.join(nodes, node).filter(place != F.col("first"))
+    found = again.select("doc_id", "start", "n").union(later.select("doc_id", "start", F.lit(1).cast("long")))
+    spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    cut = _cut(candidates.select("doc_id", "text").join(spans, "doc_id"), length)
+    whole = scanned.join(spans.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")
     )
     return whole.union(cut).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -75,5 +75,13 @@ def window_hashes(hashes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.
     return out
 
 
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start up to its end, from running sums."""
+    powers, inverses = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts])
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 2**64))
