@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 LISTINGS = """
 SELECT o.o_orderkey AS row_index,
-  CASE WHEN o.o_orderkey % 97 = 0 THEN '  ' ELSE concat(' Place ', CAST(o.o_orderkey % 300 AS STRING), ' ') END AS name,
+  CASE WHEN o.o_orderkey % 97 = 0 THEN concat(' ', chr(160), chr(9))
+       WHEN o.o_orderkey % 89 = 0 THEN concat(chr(9), chr(160), 'Café Ñandú ', CAST(o.o_orderkey % 300 AS STRING), chr(160))
+       ELSE concat(' Place ', CAST(o.o_orderkey % 300 AS STRING), ' ') END AS name,
   concat(CAST(o.o_orderkey % 90 AS STRING), ' Main Road, ', n.n_name,
     CASE CAST(o.o_custkey % 8 AS INT) WHEN 0 THEN ', New Delhi' WHEN 1 THEN ', Mumbai' WHEN 2 THEN ', Gurugram'
          WHEN 3 THEN '' ELSE ', Bengaluru' END) AS address,
@@ -20,9 +22,12 @@ SELECT o.o_orderkey AS row_index,
        ELSE concat(c.c_mktsegment, ', ', CASE o.o_orderstatus WHEN 'F' THEN 'North Indian' WHEN 'O' THEN 'Tex-Mex'
                                               ELSE 'Italian' END) END AS cuisines,
   CASE WHEN o.o_orderkey % 11 = 0 THEN 'NEW' WHEN o.o_orderkey % 13 = 0 THEN '-' WHEN o.o_orderkey % 17 = 0 THEN NULL
+       WHEN o.o_orderkey % 83 = 0 THEN concat(CAST(10 + o.o_custkey % 9 AS STRING), '.5 of 20')
        WHEN o.o_orderkey % 19 = 0 THEN concat(CAST(6 + o.o_custkey % 4 AS STRING), '/10')
        ELSE concat(CAST(1 + o.o_orderkey % 4 AS STRING), '.', CAST(o.o_custkey % 10 AS STRING), '/5') END AS rate,
   CASE WHEN o.o_orderkey % 23 = 0 THEN NULL
+       WHEN o.o_orderkey % 79 = 0 THEN CASE CAST(o.o_custkey % 4 AS INT) WHEN 0 THEN '0' WHEN 1 THEN '100,001' WHEN 2 THEN '450.50'
+         ELSE '100,000' END
        WHEN o.o_custkey % 3 = 0 THEN concat('1,', CAST(100 + o.o_orderkey % 900 AS STRING))
        ELSE CAST(100 + o.o_orderkey % 900 AS STRING) END AS `approx_cost(for two people)`
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey

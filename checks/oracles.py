@@ -33,7 +33,7 @@ CITY = """CASE WHEN contains(lower(address), 'new delhi') THEN 'Delhi'
 # Named steps; each may read the ones before it.
 STEPS = {
     "raw": inputs.for_oracle(inputs.LISTINGS, **TABLES),
-    "parsed": f"""SELECT row_index, trim(name) AS name, coalesce(trim(location), '') AS area, {CITY} AS found_city,
+    "parsed": f"""SELECT row_index, trim(name, ' ' || chr(9) || chr(160)) AS name, coalesce(trim(location), '') AS area, {CITY} AS found_city,
       CASE WHEN cuisines IS NULL OR trim(cuisines) = '' THEN 'unknown' ELSE lower(trim(cuisines)) END AS cuisine,
       TRY_CAST(regexp_extract(rate, '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS rating_number,
       CAST(CASE WHEN TRY_CAST(regexp_replace("approx_cost(for two people)", '[^0-9]', '', 'g') AS BIGINT) <= 100000
@@ -170,7 +170,7 @@ ORACLES = {
     "source_fallback": using("catalog", f"SELECT {CARD} FROM catalog"),
     "stale_exports": using("catalog", f"SELECT {CARD} FROM catalog"),
     # scalar projections
-    "strip_text": using("raw", """SELECT row_index, trim(name) AS name, trim(address) AS address, trim(location) AS location FROM raw"""),
+    "strip_text": using("raw", """SELECT row_index, trim(name, ' ' || chr(9) || chr(160)) AS name, trim(address) AS address, trim(location) AS location FROM raw"""),
     "parse_rating": using("annotated", "SELECT row_index, rating FROM annotated"),
     "parse_cost": using("annotated", "SELECT row_index, cost_for_two FROM annotated"),
     "extract_city": using("parsed", "SELECT row_index, found_city AS city FROM parsed"),

@@ -164,8 +164,12 @@ def test_empty_results_are_explained(spark, venues):
         6: "No restaurants found. Try a different location or lower your minimum rating.",
     }
     causes = {r.pref_id: (r.cause, r.stage_before) for r in root_causes(matched).collect()}
-    assert causes == {1: ("location", 6), 2: ("cuisine", 2), 3: ("rating", 1), 4: ("budget", 2), 6: ("rating", 5)}
+    assert causes == {1: ("location", 6), 2: ("cuisine", 2), 3: ("rating", 1), 4: ("budget", 1), 6: ("rating", 5)}
     advice = {r.pref_id: r.suggestions for r in root_causes(matched).collect()}
     assert advice[2][0] == 'Set Cuisine Type to "Any" to see all 2 restaurants in Delhi.'
     assert advice[6][1].endswith("higher-rated options.")
     assert "different price bracket" in advice[4][0]
+    why = {r.pref_id: r.explanation for r in root_causes(matched).collect()}
+    assert why[2].startswith("We found 2 restaurants in Delhi, but none of them serve italian cuisine.")
+    assert why[3] == "We found 1 pizza restaurant in Bangalore, but none have a rating of 4.9 or above."
+    assert why[4].endswith('1 italian restaurant in Bangalore rated 4.5+, but none fall in the "above ₹1500" budget range.')

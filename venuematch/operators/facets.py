@@ -48,9 +48,11 @@ def by_city(catalog: DataFrame, city: str) -> DataFrame:
 def lookup_cities(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Equi-join form of :func:`by_city` for a table of requested ``city`` values.
 
-    Requests are reduced to distinct targets and stored first. Few targets are then broadcast; with many,
-    both join sides are plain shuffles and AQE splits a city that holds most of the rows.
+    Runs jobs when called. Requests are reduced to distinct targets and these to cities that the catalog has, which are
+    stored. However many requests there are, the few cities left decide whether Spark broadcasts them; otherwise both
+    join sides are plain shuffles and AQE splits a city that holds most of the rows.
     """
     asked = F.lower(parsing.normalize_location(F.col("city"))).alias("city_lc")
-    targets = materialize(requests.select(asked).distinct(), "cities")
+    known = catalog.select("city_lc").distinct()
+    targets = materialize(known.join(requests.select(asked).distinct(), "city_lc", "left_semi"), "cities")
     return catalog.join(targets, "city_lc", "left_semi")

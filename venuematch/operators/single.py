@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from venuematch import schemas
 from venuematch.config import ANY_CUISINE_TOKENS, CATALOG_COLUMNS, DEFAULTS, Settings
@@ -74,30 +74,35 @@ def match_one(
 ) -> DataFrame:
     """The row a batch match gives for this preference, with ``pref_id`` 0, without building an index.
 
-    No row when the preference breaks a rule. Counts and candidates are two scalar subqueries over the
-    catalog; the list holds at most N cards.
+    No row when the preference breaks a rule. Runs when called: one job reads the catalog once, counts on the way, and
+    brings at most N candidates to the driver.
     """
     spark = catalog.sparkSession
     given = [(0, location, budget, cuisine, min_rating, additional_preferences)]
     prefs = valid_preferences(check_preferences(spark.createDataFrame(given, schemas.PREFERENCES)))
-    asked = {"location": location, "budget": budget, "cuisine": cuisine, "min_rating": min_rating}
-    counts = funnel_counts(catalog, **asked, top_n=top_n, settings=settings)
-    best = top_candidates(catalog, **asked, top_n=top_n, settings=settings)
-    ranked = F.sort_array(
-        F.collect_list(
-            F.struct(
-                (-F.coalesce("rating", F.lit(-1.0))).alias("descending"),
-                F.lower("name").alias("name_lc"),
-                "id",
-                F.struct(*CATALOG_COLUMNS).alias("card"),
-            )
-        )
-    )
-    candidates = best.agg(F.transform(ranked, lambda entry: entry["card"]).alias("candidates"))
-    funnel = counts.select(F.struct("*")).scalar()
-    return prefs.select("*", funnel.alias("funnel"), candidates.scalar().alias("candidates")).select(
-        *prefs.columns,
-        "funnel.*",
-        F.lit(settings.effective_top_n(top_n)).alias("top_n"),
-        "candidates",
+    limit = settings.effective_top_n(top_n)
+    schema = T.StructType([
+        *prefs.schema.fields,
+        *[T.StructField(name, T.LongType()) for name in ["candidates_considered", *STAGES, "returned"]],
+        T.StructField("top_n", T.IntegerType(), False),
+        T.StructField("candidates", T.ArrayType(catalog.select(*CATALOG_COLUMNS).schema)),
+    ])
+    valid = prefs.first()
+    if valid is None:
+        return spark.createDataFrame([], schema)
+    survives = F.lit(True)
+    counts = [F.count(F.lit(1)).alias("candidates_considered")]
+    for name, predicate in zip(STAGES, stage_predicates(location, budget, cuisine, min_rating), strict=True):
+        survives = survives & predicate
+        counts.append(F.count_if(survives).alias(name))
+    seen = Observation()
+    best = (
+        catalog.observe(seen, *counts)
+        .where(survives)
+        .orderBy(*predicates.candidate_order())
+        .limit(limit)
+        .select(*CATALOG_COLUMNS)
+        .collect()
     )
+    found = [seen.get[name] for name in ["candidates_considered", *STAGES]]
+    return spark.createDataFrame([(*valid, *found, len(best), limit, best)], schema)

@@ -61,5 +61,9 @@ def recommend_batch(
 def recommend_one(
     catalog: DataFrame, ranker: Ranker, top_k: int | None = None, settings: Settings = DEFAULTS, **preference
 ) -> DataFrame:
-    """The envelope of a single preference; ``preference`` holds the arguments of ``match_one``."""
-    return answer_matches(match_one(catalog, settings=settings, **preference), ranker, top_k, settings)
+    """The envelope of a single preference; ``preference`` holds the arguments of ``match_one``.
+
+    The match is one row on the driver, so only the ranker's reply is stored.
+    """
+    matched = match_one(catalog, settings=settings, **preference)
+    return envelopes(matched, materialize(ranker(build_prompts(matched, top_k, settings)), "replies"))

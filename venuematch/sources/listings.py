@@ -41,14 +41,14 @@ def read_listings(
     return frame.select(F.col(f"`{position_column}`").cast("bigint").alias("row_index"), *kept)
 
 
-def with_positions(frame: DataFrame) -> DataFrame:
-    """Place in the file plus the number of rows in all files before it, as ``row_index``.
+def with_positions(frame: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Place in the file plus the number of rows in all files before it, as ``row_index``, with the named columns.
 
     The row counts come from a scan without columns and are stored, so that their number is known before
     they are broadcast, whatever it is: listings are never moved for their position. The running sum goes over one
     row per file. Files are told apart by a hash of their path, checked to be unique.
     """
-    columns = [f"`{c}`" for c in frame.columns]
+    columns = [f"`{c}`" for c in names or frame.columns]
     path = F.col("_metadata.file_path").alias("file_path")
     before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     counted = frame.groupBy(path).agg(F.count("*").alias("n"))

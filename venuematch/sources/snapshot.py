@@ -92,7 +92,9 @@ def read_clean_parquet(spark: SparkSession, path: str) -> DataFrame | None:
     made from a catalog, and the caller has other sources.
     """
     try:
-        rows = with_positions(spark.read.parquet(path)).withColumnRenamed("row_index", "position")
+        stored = spark.read.parquet(path)
+        known = [c for c in CATALOG_COLUMNS if c in stored.columns]
+        rows = with_positions(stored, known).withColumnRenamed("row_index", "position")
         repaired = repair_clean_rows(rows)
         if rows.isEmpty():
             logger.warning("the seed under %s has no rows", path)
