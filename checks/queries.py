@@ -320,7 +320,7 @@ def prompt_payload(spark, sf_dir):
         F.array_join(F.transform("cards", lambda c: c["id"]), ",").alias("ids"),
         F.array_join(rating_text, ",").alias("ratings"),
         *[
-            F.array_join(F.transform("cards", lambda c, name=name: c[name]), "|").alias(f"card_{name}")
+            F.array_join(F.col(f"cards.{name}"), "|").alias(f"card_{name}")
             for name in ["name", "cuisine", "cost_for_two", "location"]
         ],
         "request_top_k",
