@@ -15,7 +15,7 @@ from venuematch.storage import materialize
 
 WINDOW = 8
 MIN_RUN = 13
-FILTER_BITS = 18
+FILTER_BITS = 19
 
 # Marks in front of a slot's value; private-use characters, taken out of the texts first.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -30,17 +30,34 @@ UNITS = (
 ).split()
 
 
-def template_words(text: Column) -> Column:
-    """Lower-case words without outer punctuation; a slot is its mark followed by its value.
+def _marked(text: Column) -> Column:
+    """Lower-case text without punctuation and with a mark in front of each slot's value.
 
-    A name is a capitalised word after a word or comma in the same sentence. A word of punctuation only is left out.
+    A name is a capitalised word after a word or comma in the same sentence. Patterns begin with a rare character, so
+    that most places of a text fail at once, and those for numbers are left out where there is none.
     """
-    out = F.regexp_replace(text, f"[{NUMBER}{UNIT}{NAME}]", " ")
-    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", NAME)
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])(?=\p{N})", NUMBER)
-    out = F.regexp_replace(out, rf"(?<=\p{{N}})\s?(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))|(?<=\p{{N}})\s?(?=%)", f" {UNIT}")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}\s{NUMBER}{UNIT}{NAME}]+|[^\p{{L}}\p{{N}}\s{NUMBER}{UNIT}{NAME}]+(?![\p{{L}}\p{{N}}])", " ")
-    return F.filter(F.split(F.lower(out), r"[\s ]+"), lambda w: F.length(w) > 0)
+    marks = f"{NUMBER}{UNIT}{NAME}"
+    out = F.when(text.rlike(f"[{marks}]"), F.regexp_replace(text, f"[{marks}]", " ")).otherwise(text)
+    out = F.regexp_replace(out, r"\s(?<=[\p{L}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", f" {NAME}")
+    counted = F.regexp_replace(out, r"\p{N}(?<![\p{L}\p{N}]\p{N})(?:[\p{N}.,]*\p{N})?", f"{NUMBER}$0")
+    units = "|".join(UNITS)
+    counted = F.regexp_replace(counted, rf"(\p{{N}})\s?((?i:{units})(?![\p{{L}}\p{{N}}])|%)", f"$1 {UNIT}$2")
+    out = F.when(out.rlike(r"\p{N}"), counted).otherwise(out)
+    return F.lower(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\s%{marks}]+|(?<!{UNIT})%", ""))
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def template_words(text: Column) -> Column:
+    """The words of a text; a slot is its mark followed by its value. A word of punctuation only is left out."""
+    return _split(_marked(text))
+
+
+def typed_words(text: Column) -> Column:
+    """The same words, with a slot's mark only."""
+    return _split(F.regexp_replace(_marked(text), f"([{NUMBER}{UNIT}{NAME}])\\S*", "$1"))
 
 
 def _windowed(texts: DataFrame, key: str, window: int) -> DataFrame:
@@ -51,9 +68,9 @@ def _windowed(texts: DataFrame, key: str, window: int) -> DataFrame:
     """
     if window & (window - 1):
         raise ValueError("a window has a power of two words")
-    type_only = lambda w: F.xxhash64(F.when(w.rlike(_SLOT), w.substr(1, 1)).otherwise(w))
-    out = texts.select(key, template_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    out = out.withColumn("found", F.transform("words", type_only))
+    out = texts.select(
+        key, template_words(F.col("text")).alias("words"), F.transform(typed_words(F.col("text")), lambda w: F.xxhash64(w)).alias("found")
+    )
     size = 1
     while size < window:
         later = F.slice("found", size + 1, F.greatest(F.size("found") - size, F.lit(0)))
@@ -63,15 +80,10 @@ def _windowed(texts: DataFrame, key: str, window: int) -> DataFrame:
     return out
 
 
-def _bits(hash_: Column, bits: int) -> list[Column]:
-    """Two places of a hash in a table of 2**bits bits."""
-    return [F.shiftrightunsigned(hash_, shift).bitwiseAND((1 << bits) - 1) for shift in (0, 64 - bits)]
-
-
 def _filter_table(hashes: DataFrame, bits: int) -> Column:
-    """A Bloom filter of ``hashes(hash)`` as an array of longs; its size is fixed, whatever is put in."""
-    places = hashes.select(F.explode(F.array(*_bits(F.col("hash"), bits))).alias("at"))
-    longs = places.select((F.shiftright("at", 6)).alias("at"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    """A bit for each of ``hashes(hash)`` among 2**bits, as an array of longs; its size is fixed, whatever is put in."""
+    slot = F.col("hash").bitwiseAND((1 << bits) - 1)
+    longs = hashes.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
     table = [0] * (1 << (bits - 6))
     for at, value in longs.groupBy("at").agg(F.bit_or("bit")).collect():
         table[at] = value
@@ -79,12 +91,15 @@ def _filter_table(hashes: DataFrame, bits: int) -> Column:
 
 
 def _may_be(hash_: Column, table: Column, bits: int) -> Column:
-    """False only for a hash that was not put into the filter."""
-    tests = [
-        F.expr("1L") == F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int"))
-        for at in _bits(hash_, bits)
-    ]
-    return tests[0] & tests[1]
+    """False only for a hash that was not put into the table."""
+    at = F.shiftright(hash_, 6).bitwiseAND((1 << (bits - 6)) - 1).cast("int")
+    return F.getbit(F.get(table, at), hash_.bitwiseAND(63).cast("int")) == 1
+
+
+def _may_hold_window(text: Column, table: Column, bits: int, window: int) -> Column:
+    """False only for a text without ``window`` words in a row that may all be words of the benchmark."""
+    known = F.transform(typed_words(text), lambda w: F.when(_may_be(F.xxhash64(w), table, bits), "1").otherwise("0"))
+    return F.contains(F.array_join(known, ""), F.lit("1" * window))
 
 
 def _typed(words: Column) -> Column:
@@ -125,12 +140,15 @@ def contaminated(
     of fewer than ``window`` words never match. Null and empty texts match nothing; repeated rows give one pair; null
     ids are returned as they are. Other columns are not read.
 
-    Windows of documents pass a filter of fixed size made from the benchmark's windows, and only what may match is
-    joined; Spark splits a hot window. Stores the benchmark's windows in the shared folder.
+    Documents pass a filter of fixed size made from the benchmark's words, and their windows one made from its
+    windows; only what may match is joined, and Spark splits a hot window. The filters may let too much through, never
+    too little. Stores the benchmark's windows in the shared folder.
     """
     known = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
-    table = _filter_table(known.select("hash").distinct(), filter_bits)
+    table = _filter_table(known.select("hash"), filter_bits)
+    words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
     texts = docs.select("doc_id", F.col("text").cast("string"))
+    texts = texts.filter(_may_hold_window(F.col("text"), words, filter_bits, window))
     parts = _windows(_windowed(texts, "doc_id", window), "doc_id", window, lambda h: _may_be(h, table, filter_bits))
     met = parts.join(known, "hash").filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
