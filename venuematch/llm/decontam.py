@@ -47,30 +47,32 @@ def _marked(text: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
+    """The words of a marked text; a slot is its mark followed by its value. A word of punctuation only is left out."""
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def template_words(text: Column) -> Column:
-    """The words of a text; a slot is its mark followed by its value. A word of punctuation only is left out."""
-    return _split(_marked(text))
+def _word_hashes(marked: Column) -> Column:
+    """Hashes of the same words, where a slot counts by its mark only."""
+    typed = _split(F.regexp_replace(marked, f"([{NUMBER}{UNIT}{NAME}])\\S*", "$1"))
+    return F.transform(typed, lambda w: F.xxhash64(w))
 
 
-def typed_words(text: Column) -> Column:
-    """The same words, with a slot's mark only."""
-    return _split(F.regexp_replace(_marked(text), f"([{NUMBER}{UNIT}{NAME}])\\S*", "$1"))
-
-
-def _windowed(texts: DataFrame, key: str, window: int) -> DataFrame:
+def _windowed(texts: DataFrame, key: str, window: int, may_hold=None) -> DataFrame:
     """``texts(key, text)`` as (key, words, found): found has the hash of each window, in order.
 
+    Where ``may_hold(word hashes)`` is false, there are no words and no windows. It is no filter, since Spark would move a filter below
+    the marking of the text and mark it twice.
+
     Hashes of 1, 2, 4, ... words are each made from two of the half length. Every step uses the one before twice,
     which keeps Spark from folding them into one expression that would be evaluated again and again.
     """
     if window & (window - 1):
         raise ValueError("a window has a power of two words")
-    out = texts.select(
-        key, template_words(F.col("text")).alias("words"), F.transform(typed_words(F.col("text")), lambda w: F.xxhash64(w)).alias("found")
-    )
+    out = texts.select(key, _marked(F.col("text")).alias("marked"))
+    out = out.select(key, "marked", _word_hashes(F.col("marked")).alias("found"))
+    if may_hold is not None:
+        out = out.withColumn("found", F.when(may_hold(F.col("found")), F.col("found")).otherwise(F.array().cast("array<bigint>")))
+    out = out.select(key, F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found")
     size = 1
     while size < window:
         later = F.slice("found", size + 1, F.greatest(F.size("found") - size, F.lit(0)))
@@ -96,9 +98,9 @@ def _may_be(hash_: Column, table: Column, bits: int) -> Column:
     return F.getbit(F.get(table, at), hash_.bitwiseAND(63).cast("int")) == 1
 
 
-def _may_hold_window(text: Column, table: Column, bits: int, window: int) -> Column:
-    """False only for a text without ``window`` words in a row that may all be words of the benchmark."""
-    known = F.transform(typed_words(text), lambda w: F.when(_may_be(F.xxhash64(w), table, bits), "1").otherwise("0"))
+def _may_hold_window(hashes: Column, table: Column, bits: int, window: int) -> Column:
+    """False only for word hashes without ``window`` in a row that may all be words of the benchmark."""
+    known = F.transform(hashes, lambda h: F.when(_may_be(h, table, bits), "1").otherwise("0"))
     return F.contains(F.array_join(known, ""), F.lit("1" * window))
 
 
@@ -148,8 +150,8 @@ def contaminated(
     table = _filter_table(known.select("hash"), filter_bits)
     words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    texts = texts.filter(_may_hold_window(F.col("text"), words, filter_bits, window))
-    parts = _windows(_windowed(texts, "doc_id", window), "doc_id", window, lambda h: _may_be(h, table, filter_bits))
+    windowed = _windowed(texts, "doc_id", window, lambda hashes: _may_hold_window(hashes, words, filter_bits, window))
+    parts = _windows(windowed, "doc_id", window, lambda h: _may_be(h, table, filter_bits))
     met = parts.join(known, "hash").filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
         F.zip_with("item_part", "part", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike(_SLOT)
