@@ -149,6 +149,19 @@ def test_inconsistent_slots_are_no_match(spark):
     assert {r["doc_id"] for r in decontam.contaminated(docs, benchmark).collect()} == {1}
 
 
+def found_pairs(spark, docs, items):
+    """{(document, item): same_values}, both numbered from 0."""
+    numbered = lambda texts, key: spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string")
+    got = decontam.contaminated(numbered(docs, "doc_id"), numbered(items, "item_id")).collect()
+    return {(r["doc_id"], r["item_id"]): r["same_values"] for r in got}
+
+
+def test_numbers_inside_words_are_slots(spark):
+    item = "how many patients with covid-19 were treated at n=100 and had x+3 days off at US$5 each"
+    docs = [f"so {item} then", f"so {item.replace('19', '21').replace('100', '250')} then", "how many patients with covid-19 were well"]
+    assert found_pairs(spark, docs, [item]) == {(0, 0): True, (1, 0): False}
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(f"{w}$$$" for w in prose(rng, 40).split())) for i in range(n)]

@@ -19,7 +19,7 @@ FILTER_BITS = 19
 
 # Marks in front of a slot's value; private-use characters, taken out of the texts first.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
-_SLOT = f"^[{NUMBER}{UNIT}{NAME}]"
+_SLOT = f"[{NUMBER}{UNIT}{NAME}]"
 
 # Units that may follow a number.
 UNITS = (
@@ -51,10 +51,14 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
+def _without_values(text: Column) -> Column:
+    """A word or text cut at the first mark of each word, wherever in the word it is."""
+    return F.regexp_replace(text, f"({_SLOT})\\S*", "$1")
+
+
 def _word_hashes(marked: Column) -> Column:
     """Hashes of the same words, where a slot counts by its mark only."""
-    typed = _split(F.regexp_replace(marked, f"([{NUMBER}{UNIT}{NAME}])\\S*", "$1"))
-    return F.transform(typed, lambda w: F.xxhash64(w))
+    return F.transform(_split(_without_values(marked)), lambda w: F.xxhash64(w))
 
 
 def _windowed(texts: DataFrame, key: str, window: int, may_hold=None) -> DataFrame:
@@ -105,7 +109,7 @@ def _may_hold_window(hashes: Column, table: Column, bits: int, window: int) -> C
 
 
 def _typed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.rlike(_SLOT), w.substr(1, 1)).otherwise(w))
+    return F.transform(words, _without_values)
 
 
 def _windows(windowed: DataFrame, key: str, window: int, keep=None) -> DataFrame:
