@@ -162,6 +162,16 @@ def test_numbers_inside_words_are_slots(spark):
     assert found_pairs(spark, docs, [item]) == {(0, 0): True, (1, 0): False}
 
 
+def test_names_at_any_place_and_in_any_case_are_found(spark):
+    item = "Anna has 12 apples. Berta gives Anna 5 more apples. How many apples does Anna have now?"
+    other = item.replace("Anna", "Clara").replace("Berta", "Dora")
+    german = "Der Bauer gibt dem Kind am Morgen drei Eier und holt am Abend aus dem Dorf wieder Brot und Wein für die Gäste"
+    two = "Anna Schmidt has 12 apples and gives 5 to her friend in the old village near the river"
+    docs = [f"so it goes. {other}", f"so {german.lower()}", f"so {german.upper()}", f'he read "{two.replace("Anna Schmidt", "Dora Lee Miller").replace("12", "40").replace("5 to", "6 to")}"']
+    found = found_pairs(spark, docs, [item, german, two])
+    assert found == {(0, 0): False, (1, 1): True, (2, 1): True, (3, 2): False}
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(f"{w}$$$" for w in prose(rng, 40).split())) for i in range(n)]

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, with Spark functions only.
 
-Numbers, units after a number and names inside a sentence become typed slots. Windows of template words are
-hashed and joined with the benchmark's. Along one alignment of a document with an item, equal slots of the item
+Numbers, units after a number and capitalised words become typed slots; a second form of each text has no slots for
+names, so that it doesn't depend on case. Windows of template words are hashed and joined with the benchmark's. Along one alignment of a document with an item, equal slots of the item
 must hold equal values in the document and different ones different values, so the same question with other
 parameters is found, and a text that only has the same shape is not.
 """
@@ -19,6 +19,8 @@ FILTER_BITS = 19
 
 # Marks in front of a slot's value; private-use characters, taken out of the texts first.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+# Between the words of one name.
+JOINED = "\ue003"
 _SLOT = f"[{NUMBER}{UNIT}{NAME}]"
 
 # Units that may follow a number.
@@ -33,12 +35,14 @@ UNITS = (
 def _marked(text: Column) -> Column:
     """Lower-case text without punctuation and with a mark in front of each slot's value.
 
-    A name is a capitalised word after a word or comma in the same sentence. Patterns begin with a rare character, so
-    that most places of a text fail at once, and those for numbers are left out where there is none.
+    A name is a capitalised word wherever it is, or several with only blanks between them. Patterns begin with a rare
+    character, so that most places of a text fail at once, and those for numbers are left out where there is none.
     """
-    marks = f"{NUMBER}{UNIT}{NAME}"
+    marks = f"{NUMBER}{UNIT}{NAME}{JOINED}"
     out = F.when(text.rlike(f"[{marks}]"), F.regexp_replace(text, f"[{marks}]", " ")).otherwise(text)
-    out = F.regexp_replace(out, r"\s(?<=[\p{L}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", f" {NAME}")
+    out = F.regexp_replace(out, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})(?<!\p{L}['’]\p{Lu})(?=\p{Ll}|['’]\p{Lu}\p{Ll})", f"{NAME}$0")
+    out = F.regexp_replace(out, rf"{NAME}([\p{{L}}\p{{N}}'’]+)[ \t]+(?={NAME})", f"{NAME}$1{JOINED}")
+    out = F.regexp_replace(out, f"{JOINED}{NAME}", JOINED)
     counted = F.regexp_replace(out, r"\p{N}(?<![\p{L}\p{N}]\p{N})(?:[\p{N}.,]*\p{N})?", f"{NUMBER}$0")
     units = "|".join(UNITS)
     counted = F.regexp_replace(counted, rf"(\p{{N}})\s?((?i:{units})(?![\p{{L}}\p{{N}}])|%)", f"$1 {UNIT}$2")
@@ -46,6 +50,11 @@ def _marked(text: Column) -> Column:
     return F.lower(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\s%{marks}]+|(?<!{UNIT})%", ""))
 
 
+def _nameless(marked: Column) -> Column:
+    """The same text with the words of names as they are."""
+    return F.translate(marked, JOINED + NAME, " ")
+
+
 def _split(text: Column) -> Column:
     """The words of a marked text; a slot is its mark followed by its value. A word of punctuation only is left out."""
     return F.array_remove(F.split(text, r"\s+"), "")
@@ -61,9 +70,10 @@ def _word_hashes(marked: Column) -> Column:
     return F.transform(_split(_without_values(marked)), lambda w: F.xxhash64(w))
 
 
-def _windowed(texts: DataFrame, key: str, window: int, may_hold=None) -> DataFrame:
-    """``texts(key, text)`` as (key, words, found): found has the hash of each window, in order.
+def _windowed(texts: DataFrame, keys: list[str], window: int, may_hold=None) -> DataFrame:
+    """``texts(keys, text)`` as (keys, form, words, found): found has the hash of each window, in order.
 
+    Form 0 has no names; form 1, of texts with names only, has a slot for each.
     Where ``may_hold(word hashes)`` is false, there are no words and no windows. It is no filter, since Spark would move a filter below
     the marking of the text and mark it twice.
 
@@ -72,11 +82,13 @@ def _windowed(texts: DataFrame, key: str, window: int, may_hold=None) -> DataFra
     """
     if window & (window - 1):
         raise ValueError("a window has a power of two words")
-    out = texts.select(key, _marked(F.col("text")).alias("marked"))
-    out = out.select(key, "marked", _word_hashes(F.col("marked")).alias("found"))
+    out = texts.select(*keys, _marked(F.col("text")).alias("marked"))
+    named = F.when(F.contains("marked", F.lit(NAME)), F.array(_nameless(F.col("marked")), "marked"))
+    out = out.select(*keys, F.posexplode(named.otherwise(F.array("marked"))).alias("form", "marked"))
+    out = out.select(*keys, "form", "marked", _word_hashes(F.col("marked")).alias("found"))
     if may_hold is not None:
         out = out.withColumn("found", F.when(may_hold(F.col("found")), F.col("found")).otherwise(F.array().cast("array<bigint>")))
-    out = out.select(key, F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found")
+    out = out.select(*keys, "form", F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found")
     size = 1
     while size < window:
         later = F.slice("found", size + 1, F.greatest(F.size("found") - size, F.lit(0)))
@@ -112,27 +124,36 @@ def _typed(words: Column) -> Column:
     return F.transform(words, _without_values)
 
 
-def _windows(windowed: DataFrame, key: str, window: int, keep=None) -> DataFrame:
-    """(key, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built."""
+def _consistent(slots: Column) -> Column:
+    """Whether equal values of the item stand for equal ones of the document, and different for different.
+
+    A name counts by its last word, since the one before may begin the sentence.
+    """
+    last = lambda v: F.substring_index(v, JOINED, -1)
+    bare = lambda v: F.regexp_replace(last(v), NAME, "")
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(bare(s["i"]).alias("i"), bare(s["d"]).alias("d"))))
+    different = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda s: s[side])))
+    return (different("i") == F.size(pairs)) & (different("d") == F.size(pairs))
+
+
+def _windows(windowed: DataFrame, keys: list[str], window: int, keep=None) -> DataFrame:
+    """(keys, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built."""
     spots = F.transform("found", lambda h, i: F.struct(h.alias("hash"), i.alias("at")))
     if keep is not None:
         spots = F.filter(spots, lambda s: keep(s["hash"]))
     with_words = F.transform(
         spots, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), F.slice("words", s["at"] + 1, window).alias("part"))
     )
-    return windowed.select(key, F.inline(with_words))
+    return windowed.select(*keys, F.inline(with_words))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, item_id, item_at, item_part, item_words): the windows of each different text, under its smallest item_id."""
+    """(hash, form, item_id, item_at, item_part, item_words): the windows of each different text, under its smallest item_id."""
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string")).filter("text is not null")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    windowed = _windowed(items, "item_id", window)
-    lengths = windowed.select("item_id", F.size("words").alias("item_words"))
-    parts = _windows(windowed, "item_id", window)
-    return parts.join(lengths, "item_id").select(
-        "hash", "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part"), "item_words"
-    )
+    windowed = _windowed(items, ["item_id"], window).withColumn("item_words", F.size("words"))
+    parts = _windows(windowed, ["item_id", "form", "item_words"], window)
+    return parts.select("hash", "form", "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part"), "item_words")
 
 
 def contaminated(
@@ -154,23 +175,22 @@ def contaminated(
     table = _filter_table(known.select("hash"), filter_bits)
     words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    windowed = _windowed(texts, "doc_id", window, lambda hashes: _may_hold_window(hashes, words, filter_bits, window))
-    parts = _windows(windowed, "doc_id", window, lambda h: _may_be(h, table, filter_bits))
-    met = parts.join(known, "hash").filter(_typed(F.col("part")) == _typed(F.col("item_part")))
+    windowed = _windowed(texts, ["doc_id"], window, lambda hashes: _may_hold_window(hashes, words, filter_bits, window))
+    parts = _windows(windowed, ["doc_id", "form"], window, lambda h: _may_be(h, table, filter_bits))
+    met = parts.join(known, ["form", "hash"]).filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
         F.zip_with("item_part", "part", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike(_SLOT)
     )
     aligned = (
-        met.select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
-        .groupBy("doc_id", "item_id", "item_words", "shift")
+        met.select("doc_id", "form", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+        .groupBy("doc_id", "form", "item_id", "item_words", "shift")
         .agg(
             F.size(F.collect_set("item_at")).alias("n_windows"),
             F.avg(F.size("slots")).alias("n_slots"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         )
     )
-    different = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
-    consistent = (different("i") == F.size("slots")) & (different("d") == F.size("slots"))
+    consistent = _consistent(F.col("slots"))
     same = F.forall("slots", lambda s: s["i"] == s["d"])
     enough = F.col("n_windows") >= F.least(F.lit(min_run), F.col("item_words")) - window + 1
     hits = aligned.withColumn("same", same).filter(enough & consistent & (F.col("same") | (F.col("n_slots") <= window / 2)))
