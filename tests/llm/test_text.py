@@ -172,6 +172,19 @@ def test_names_at_any_place_and_in_any_case_are_found(spark):
     assert found == {(0, 0): False, (1, 1): True, (2, 1): True, (3, 2): False}
 
 
+def test_one_slot_does_not_hide_a_passage(spark):
+    item = f"they walk 5 km to the lake and then 5 km back to the old house where their mother waits. {OTHER} so 7 of 9 were left"
+    changed = item.replace("5 km back", "6 km back")
+    equal = item.replace("7 of 9", "9 of 9")
+    both = changed.replace("7 of 9", "3 of 3").replace("seven", "eight").replace("walk 5", "walk 8")
+    docs = [f"so {changed}", f"so {equal}", f"so {both}"]
+    assert {d for d, _ in found_pairs(spark, docs, [item])} == {0, 1, 2}
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ab", "ed", "on", "ul")]
+    numbered = lambda values: " ".join(f"{w} {values[i // 5]}" if i % 5 == 4 else w for i, w in enumerate(words))
+    docs = [numbered([11, 21, 21, 31, 41, 51, 61, 71]), numbered([11, 21, 31, 31, 21, 21, 31, 31])]
+    assert found_pairs(spark, docs, [numbered([1, 1, 2, 3, 4, 5, 6, 7])]) == {(0, 0): False}
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(f"{w}$$$" for w in prose(rng, 40).split())) for i in range(n)]

@@ -3,7 +3,8 @@
 Numbers, units after a number and capitalised words become typed slots; a second form of each text has no slots for
 names, so that it doesn't depend on case. Windows of template words are hashed and joined with the benchmark's. Along one alignment of a document with an item, equal slots of the item
 must hold equal values in the document and different ones different values, so the same question with other
-parameters is found, and a text that only has the same shape is not.
+parameters is found, and a text that only has the same shape is not. Windows that are verbatim, and long runs of
+windows, are judged by themselves, so a slot elsewhere in the alignment doesn't hide them.
 """
 
 from __future__ import annotations
@@ -136,6 +137,17 @@ def _consistent(slots: Column) -> Column:
     return (different("i") == F.size(pairs)) & (different("d") == F.size(pairs))
 
 
+def _holds(hits: Column, window: int) -> Column:
+    """Whether the slots of ``hits(item_at, slots)`` are consistent and at least half of the words are none."""
+    few = F.aggregate(hits, F.lit(0), lambda n, h: n + F.size(h["slots"])) * 2 <= F.size(hits) * window
+    return few & _consistent(F.flatten(F.transform(hits, lambda h: h["slots"])))
+
+
+def _run_holds(hits: Column, run: int, window: int) -> Column:
+    """The same for ``run`` windows, which have to follow one another."""
+    return (F.element_at(hits, -1)["item_at"] - F.element_at(hits, 1)["item_at"] == run - 1) & _holds(hits, window)
+
+
 def _windows(windowed: DataFrame, keys: list[str], window: int, keep=None) -> DataFrame:
     """(keys, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built."""
     spots = F.transform("found", lambda h, i: F.struct(h.alias("hash"), i.alias("at")))
@@ -162,8 +174,9 @@ def contaminated(
     """(doc_id, item_id, n_windows, same_values): documents of ``docs(doc_id, text)`` that hold an item's question.
 
     A pair is returned once if along one alignment the matching windows cover ``min_run`` words (or the whole item,
-    if shorter), the slots are consistent, and at least half of the words are no slots unless all slots hold
-    the item's own values (``same_values``). Items with equal texts count once, under their smallest item_id; items
+    if shorter) and hold the item's own values (``same_values``), or if all that match are consistent and at least
+    half of the words are no slots. Where they aren't, a run of twice ``min_run`` words that is consistent by itself
+    is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; items
     of fewer than ``window`` words never match. Null and empty texts match nothing; repeated rows give one pair; null
     ids are returned as they are. Other columns are not read.
 
@@ -184,16 +197,17 @@ def contaminated(
     aligned = (
         met.select("doc_id", "form", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
         .groupBy("doc_id", "form", "item_id", "item_words", "shift")
-        .agg(
-            F.size(F.collect_set("item_at")).alias("n_windows"),
-            F.avg(F.size("slots")).alias("n_slots"),
-            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-        )
+        .agg(F.array_sort(F.collect_set(F.struct("item_at", "slots"))).alias("hits"))
+        .withColumn("n_windows", F.size("hits"))
     )
-    consistent = _consistent(F.col("slots"))
-    same = F.forall("slots", lambda s: s["i"] == s["d"])
-    enough = F.col("n_windows") >= F.least(F.lit(min_run), F.col("item_words")) - window + 1
-    hits = aligned.withColumn("same", same).filter(enough & consistent & (F.col("same") | (F.col("n_slots") <= window / 2)))
+    verbatim = F.filter("hits", lambda h: F.forall(h["slots"], lambda s: s["i"] == s["d"]))
+    needed = F.least(F.lit(min_run), F.col("item_words")) - window + 1
+    run = 2 * min_run - window + 1
+    starts = F.when(F.col("n_windows") >= run, F.sequence(F.lit(1), F.col("n_windows") - run + 1))
+    long_run = F.exists(starts, lambda i: _run_holds(F.slice("hits", i, run), run, window))
+    same = F.size(verbatim) >= needed
+    template = (F.col("n_windows") >= needed) & _holds(F.col("hits"), window)
+    hits = aligned.withColumn("same", same).filter(F.col("same") | template | F.coalesce(long_run, F.lit(False)))
     return hits.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("same").alias("same_values")
     )
