@@ -185,6 +185,14 @@ def test_one_slot_does_not_hide_a_passage(spark):
     assert found_pairs(spark, docs, [numbered([1, 1, 2, 3, 4, 5, 6, 7])]) == {(0, 0): False}
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    items = ["Who crossed the seven bridges?", "What is the capital city of the oldest known river kingdom?", "How many legs have 3 spiders?"]
+    docs = [f"Question: {x}" for x in items] + [f"A heading line\n{x}" for x in items]
+    docs += ["so how many legs have 12 spiders", "who crossed the seven rivers", "the capital city of the oldest known river kingdom", ""]
+    found = found_pairs(spark, docs, items)
+    assert found == {(i, i % 3): True for i in range(6)} | {(6, 2): False}
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(f"{w}$$$" for w in prose(rng, 40).split())) for i in range(n)]

@@ -71,8 +71,9 @@ def _word_hashes(marked: Column) -> Column:
     return F.transform(_split(_without_values(marked)), lambda w: F.xxhash64(w))
 
 
-def _windowed(texts: DataFrame, keys: list[str], window: int, may_hold=None) -> DataFrame:
-    """``texts(keys, text)`` as (keys, form, words, found): found has the hash of each window, in order.
+def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int], may_hold=None) -> DataFrame:
+    """``texts(keys, text)`` as (keys, form, words, found, singles): found has the hash of each window, in order.
+    Singles has the hashes of single words, if there are ``short`` lengths below the window to look for.
 
     Form 0 has no names; form 1, of texts with names only, has a slot for each.
     Where ``may_hold(word hashes)`` is false, there are no words and no windows. It is no filter, since Spark would move a filter below
@@ -89,7 +90,7 @@ def _windowed(texts: DataFrame, keys: list[str], window: int, may_hold=None) ->
     out = out.select(*keys, "form", "marked", _word_hashes(F.col("marked")).alias("found"))
     if may_hold is not None:
         out = out.withColumn("found", F.when(may_hold(F.col("found")), F.col("found")).otherwise(F.array().cast("array<bigint>")))
-    out = out.select(*keys, "form", F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found")
+    out = out.select(*keys, "form", F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found", (F.col("found") if short else F.lit(None).cast("array<bigint>")).alias("singles"))
     size = 1
     while size < window:
         later = F.slice("found", size + 1, F.greatest(F.size("found") - size, F.lit(0)))
@@ -137,34 +138,49 @@ def _consistent(slots: Column) -> Column:
     return (different("i") == F.size(pairs)) & (different("d") == F.size(pairs))
 
 
-def _holds(hits: Column, window: int) -> Column:
+def _holds(hits: Column, window: Column) -> Column:
     """Whether the slots of ``hits(item_at, slots)`` are consistent and at least half of the words are none."""
     few = F.aggregate(hits, F.lit(0), lambda n, h: n + F.size(h["slots"])) * 2 <= F.size(hits) * window
     return few & _consistent(F.flatten(F.transform(hits, lambda h: h["slots"])))
 
 
-def _run_holds(hits: Column, run: int, window: int) -> Column:
+def _run_holds(hits: Column, run: int, window: Column) -> Column:
     """The same for ``run`` windows, which have to follow one another."""
     return (F.element_at(hits, -1)["item_at"] - F.element_at(hits, 1)["item_at"] == run - 1) & _holds(hits, window)
 
 
-def _windows(windowed: DataFrame, keys: list[str], window: int, keep=None) -> DataFrame:
-    """(keys, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built."""
-    spots = F.transform("found", lambda h, i: F.struct(h.alias("hash"), i.alias("at")))
-    if keep is not None:
-        spots = F.filter(spots, lambda s: keep(s["hash"]))
+def _short_spots(places: Column, n: int, spot) -> Column:
+    return F.transform(places, lambda i: spot(F.xxhash64(F.slice("singles", i + 1, n)), i, n))
+
+
+def _windows(windowed: DataFrame, keys: list[str], window: int, short: list[int], whole: bool = False, keep=None) -> DataFrame:
+    """(keys, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built.
+
+    A ``short`` length gives further windows of so many words: at each place, or if ``whole`` where these are all words.
+    """
+    spot = lambda h, i, n: F.struct(h.alias("hash"), i.alias("at"), F.lit(n).alias("n"))
+    chosen = lambda spots: spots if keep is None else F.filter(spots, lambda s: keep(s["hash"]))
+    spots = chosen(F.transform("found", lambda h, i: spot(h, i, window)))
+    for n in short:
+        fits = F.size("singles") == n if whole else F.size("singles") >= n
+        places = F.when(fits, F.sequence(F.lit(0), F.size("singles") - n)).otherwise(F.array().cast("array<int>"))
+        spots = F.concat(spots, chosen(_short_spots(places, n, spot)))
     with_words = F.transform(
-        spots, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), F.slice("words", s["at"] + 1, window).alias("part"))
+        spots, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), F.slice("words", s["at"] + 1, s["n"]).alias("part"))
     )
     return windowed.select(*keys, F.inline(with_words))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, form, item_id, item_at, item_part, item_words): the windows of each different text, under its smallest item_id."""
+    """(hash, form, item_id, item_at, item_part, item_words): the windows of each different text, under its smallest item_id.
+
+    An item of fewer words is a window as a whole.
+    """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string")).filter("text is not null")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    windowed = _windowed(items, ["item_id"], window).withColumn("item_words", F.size("words"))
-    parts = _windows(windowed, ["item_id", "form", "item_words"], window)
+    short = list(range(1, window))
+    windowed = _windowed(items, ["item_id"], window, short).withColumn("item_words", F.size("words"))
+    parts = _windows(windowed, ["item_id", "form", "item_words"], window, short, whole=True)
     return parts.select("hash", "form", "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part"), "item_words")
 
 
@@ -176,8 +192,8 @@ def contaminated(
     A pair is returned once if along one alignment the matching windows cover ``min_run`` words (or the whole item,
     if shorter) and hold the item's own values (``same_values``), or if all that match are consistent and at least
     half of the words are no slots. Where they aren't, a run of twice ``min_run`` words that is consistent by itself
-    is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; items
-    of fewer than ``window`` words never match. Null and empty texts match nothing; repeated rows give one pair; null
+    is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; an item
+    of fewer than ``window`` words is looked for as a whole. Null and empty texts match nothing; repeated rows give one pair; null
     ids are returned as they are. Other columns are not read.
 
     Documents pass a filter of fixed size made from the benchmark's words, and their windows one made from its
@@ -187,9 +203,11 @@ def contaminated(
     known = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
     table = _filter_table(known.select("hash"), filter_bits)
     words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
+    short = sorted(n for n, in known.filter(F.col("item_words") < window).select("item_words").distinct().collect())
+    least = min([window, *short])
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    windowed = _windowed(texts, ["doc_id"], window, lambda hashes: _may_hold_window(hashes, words, filter_bits, window))
-    parts = _windows(windowed, ["doc_id", "form"], window, lambda h: _may_be(h, table, filter_bits))
+    windowed = _windowed(texts, ["doc_id"], window, short, lambda hashes: _may_hold_window(hashes, words, filter_bits, least))
+    parts = _windows(windowed, ["doc_id", "form"], window, short, keep=lambda h: _may_be(h, table, filter_bits))
     met = parts.join(known, ["form", "hash"]).filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
         F.zip_with("item_part", "part", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike(_SLOT)
@@ -201,12 +219,13 @@ def contaminated(
         .withColumn("n_windows", F.size("hits"))
     )
     verbatim = F.filter("hits", lambda h: F.forall(h["slots"], lambda s: s["i"] == s["d"]))
-    needed = F.least(F.lit(min_run), F.col("item_words")) - window + 1
+    # An item shorter than a window is one window.
+    needed = F.greatest(F.least(F.lit(min_run), F.col("item_words")) - window + 1, F.lit(1))
     run = 2 * min_run - window + 1
     starts = F.when(F.col("n_windows") >= run, F.sequence(F.lit(1), F.col("n_windows") - run + 1))
-    long_run = F.exists(starts, lambda i: _run_holds(F.slice("hits", i, run), run, window))
+    long_run = F.exists(starts, lambda i: _run_holds(F.slice("hits", i, run), run, F.lit(window)))
     same = F.size(verbatim) >= needed
-    template = (F.col("n_windows") >= needed) & _holds(F.col("hits"), window)
+    template = (F.col("n_windows") >= needed) & _holds(F.col("hits"), F.least(F.lit(window), F.col("item_words")))
     hits = aligned.withColumn("same", same).filter(F.col("same") | template | F.coalesce(long_run, F.lit(False)))
     return hits.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("same").alias("same_values")
