@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm.samples import WORD, frame, texts
+from tests.llm.samples import WORD, frame, prose, texts
 from venuematch.llm import repetition, simhash, substrings
 from venuematch.llm.components import connected_components
 from venuematch.llm.words import window_hashes, word_hashes
@@ -80,6 +81,13 @@ def test_no_documents_and_one_of_each(spark):
     assert 200 in ids and not {201, 202, 203, 204, 205} & set(ids)
 
 
+def test_null_and_repeated_ids_stand_for_no_other_document(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    kept = simhash.one_of_each(frame(spark, [(None, a), (None, a), (None, b), (None, c), (7, c), (7, d), (2, e), (7, e)])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, d), (2, e)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -193,6 +193,13 @@ def test_short_items_are_found_as_a_whole(spark):
     assert found == {(i, i % 3): True for i in range(6)} | {(6, 2): False}
 
 
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    docs = frame(spark, [(None, f"so {OTHER}"), (None, "a clean text"), (5, f"so {OTHER}"), (5, "another clean text")])
+    benchmark = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
+    left = decontam.without_benchmark(docs, benchmark).collect()
+    assert sorted(r["text"] for r in left) == ["a clean text", "another clean text"]
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(f"{w}$$$" for w in prose(rng, 40).split())) for i in range(n)]

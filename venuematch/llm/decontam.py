@@ -184,37 +184,23 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return parts.select("hash", "form", "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part"), "item_words")
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN, filter_bits: int = FILTER_BITS
-) -> DataFrame:
-    """(doc_id, item_id, n_windows, same_values): documents of ``docs(doc_id, text)`` that hold an item's question.
-
-    A pair is returned once if along one alignment the matching windows cover ``min_run`` words (or the whole item,
-    if shorter) and hold the item's own values (``same_values``), or if all that match are consistent and at least
-    half of the words are no slots. Where they aren't, a run of twice ``min_run`` words that is consistent by itself
-    is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; an item
-    of fewer than ``window`` words is looked for as a whole. Null and empty texts match nothing; repeated rows give one pair; null
-    ids are returned as they are. Other columns are not read.
-
-    Documents pass a filter of fixed size made from the benchmark's words, and their windows one made from its
-    windows; only what may match is joined, and Spark splits a hot window. The filters may let too much through, never
-    too little. Stores the benchmark's windows in the shared folder.
-    """
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int, filter_bits: int) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, same): the alignments that count, each text of a doc_id by itself."""
     known = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
     table = _filter_table(known.select("hash"), filter_bits)
     words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
     short = sorted(n for n, in known.filter(F.col("item_words") < window).select("item_words").distinct().collect())
     least = min([window, *short])
-    texts = docs.select("doc_id", F.col("text").cast("string"))
-    windowed = _windowed(texts, ["doc_id"], window, short, lambda hashes: _may_hold_window(hashes, words, filter_bits, least))
-    parts = _windows(windowed, ["doc_id", "form"], window, short, keep=lambda h: _may_be(h, table, filter_bits))
+    texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    windowed = _windowed(texts, ["doc_id", "text_hash"], window, short, lambda hashes: _may_hold_window(hashes, words, filter_bits, least))
+    parts = _windows(windowed, ["doc_id", "text_hash", "form"], window, short, keep=lambda h: _may_be(h, table, filter_bits))
     met = parts.join(known, ["form", "hash"]).filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
         F.zip_with("item_part", "part", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike(_SLOT)
     )
     aligned = (
-        met.select("doc_id", "form", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
-        .groupBy("doc_id", "form", "item_id", "item_words", "shift")
+        met.select("doc_id", "text_hash", "form", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+        .groupBy("doc_id", "text_hash", "form", "item_id", "item_words", "shift")
         .agg(F.array_sort(F.collect_set(F.struct("item_at", "slots"))).alias("hits"))
         .withColumn("n_windows", F.size("hits"))
     )
@@ -226,7 +212,26 @@ def contaminated(
     long_run = F.exists(starts, lambda i: _run_holds(F.slice("hits", i, run), run, F.lit(window)))
     same = F.size(verbatim) >= needed
     template = (F.col("n_windows") >= needed) & _holds(F.col("hits"), F.least(F.lit(window), F.col("item_words")))
-    hits = aligned.withColumn("same", same).filter(F.col("same") | template | F.coalesce(long_run, F.lit(False)))
+    return aligned.withColumn("same", same).filter(F.col("same") | template | F.coalesce(long_run, F.lit(False)))
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """(doc_id, item_id, n_windows, same_values): documents of ``docs(doc_id, text)`` that hold an item's question.
+
+    A pair is returned once if along one alignment the matching windows cover ``min_run`` words (or the whole item,
+    if shorter) and hold the item's own values (``same_values``), or if all that match are consistent and at least
+    half of the words are no slots. Where they aren't, a run of twice ``min_run`` words that is consistent by itself
+    is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; an item
+    of fewer than ``window`` words is looked for as a whole. Null and empty texts match nothing; repeated rows give one pair; null
+    ids are returned as they are. Other columns are not read.
+
+    Documents pass a filter of fixed size made from the benchmark's words, and their windows one made from its
+    windows; only what may match is joined, and Spark splits a hot window. The filters may let too much through, never
+    too little. Stores the benchmark's windows in the shared folder.
+    """
+    hits = _hits(docs, benchmark, window, min_run, filter_bits)
     return hits.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("same").alias("same_values")
     )
@@ -234,6 +239,7 @@ def contaminated(
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose document holds a benchmark item; all other columns are kept."""
-    hits = materialize(contaminated(docs.select("doc_id", "text"), benchmark), "contaminated")
-    hits = hits.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hits = _hits(docs.select("doc_id", "text"), benchmark, WINDOW, MIN_RUN, FILTER_BITS)
+    hits = materialize(hits.select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hit_hash")).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hit_hash"))
+    return docs.join(hits, same, "left_anti")

@@ -57,15 +57,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs(doc_id, text)``; fp holds the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp) for every row of ``docs(doc_id, text)``; fp holds the 64 bits as a signed long."""
     workers_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("text")], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64))]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _gathered(prints: DataFrame, count, size: int) -> np.ndarray:
@@ -239,6 +242,20 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.union(_common_values(gathered, max_bits))
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, least, first): the root of each fingerprint's group, its smallest doc_id and its first document.
+
+    The first document is that of the smallest doc_id, a null one last, and of the smallest text hash among those.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"))
+    classes = materialize(classes, "classes")
+    roots = connected_components(near_links(classes.select("fp"), max_bits))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least", "first"
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs(doc_id, text)``; other columns are not read.
 
@@ -248,11 +265,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     Runs jobs when called; fingerprints and links are stored in the shared folder.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(near_links(classes.select("fp"), max_bits))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(prints, max_bits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = materialize(rooted.join(least, "root").select("fp", "component_id"), "groups")
     return prints.join(groups, "fp").select(
@@ -261,7 +274,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group, once, and all of its columns."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with the document of the smallest doc_id of each group, once, and all of its columns.
+
+    A document is a doc_id with a text, so that a null or repeated doc_id never stands for another document.
+    """
+    prints = materialize(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    kept = _rooted(prints, max_bits).groupBy("root").agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash")), "kept")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
