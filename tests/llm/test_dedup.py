@@ -119,6 +119,17 @@ def test_repeated_passages_agree_with_brute_force(spark, length, prefix):
     assert substrings.repeats_removed(frame(spark).limit(0)).count() == 0
 
 
+def test_texts_without_an_id_are_different_documents(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 40)
+    rows = [(None, passage), (None, f"{prose(rng, 90)} {passage} {prose(rng, 9)}"), (None, passage), (4, f"{prose(rng, 30)} {passage}"), (4, prose(rng, 50))]
+    got = substrings.repeats_removed(frame(spark, rows)).collect()
+    lost = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got)
+    # One of the two texts without an id has the passage first; its repeated row is cut alike.
+    first, second = [(None, 40, 0), (None, 40, 0), (None, 139, 40)], [(None, 40, 40), (None, 40, 40), (None, 139, 0)]
+    assert lost in [Counter([*x, (4, 70, 40), (4, 50, 0)]) for x in (first, second)]
+
+
 def test_window_hashes_depend_on_the_words_only():
     a, b = word_hashes("xx aa bb cc aa bb cc".encode()), word_hashes("aa\tbb\ncc".encode())
     for n in (1, 2, 3):

@@ -32,6 +32,8 @@ from venuematch.storage import materialize
 
 LENGTH = 20
 PREFIX = 8
+# A document is a doc_id with a text: different texts without a doc_id, or with the same one, are different documents.
+KEY = ["doc_id", "text_hash"]
 # Stands for a null doc_id and, like it, comes before all others.
 NO_ID = -(1 << 63)
 
@@ -71,7 +73,7 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _scanned(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(doc_id, n_words, kept_sha256, prefixes): each document if nothing is removed, and its sampled prefixes.
+    """(KEY, n_words, kept_sha256, prefixes): each document if nothing is removed, and its sampled prefixes.
 
     A prefix that a document has at several places is given twice.
     """
@@ -90,40 +92,41 @@ def _scanned(docs: DataFrame, length: int, prefix: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sampled])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *sampled])
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "n_words", "kept_sha256", "prefixes"],
+                [*map(batch.column, KEY), pa.array(counts, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(offsets, values)],
+                [*KEY, "n_words", "kept_sha256", "prefixes"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, prefixes array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_words long, kept_sha256 string, prefixes array<long>")
 
 
 def _occurrences(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(prefix, rest, doc_id, start, n): contexts around the repeated prefixes of a document, with n windows each."""
+    """(prefix, rest, KEY, start, n): contexts around the repeated prefixes of a document, with n windows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for doc_id, text, repeated in zip(batch.column("doc_id"), batch.column("text"), batch.column("repeated")):
+            columns = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for doc_id, text_hash, text, repeated in zip(*map(batch.column, (*KEY, "text", "repeated"))):
                 hashes, prefixes, starts, ends, places = _contexts_of(text.as_py(), length, prefix)
                 kept = np.isin(prefixes, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 prefixes, starts, ends, places = (x[kept] for x in (prefixes, starts, ends, places))
                 shape = ((ends - starts) * length + (places - starts)).astype(np.uint64)
                 rest = mix(range_hashes(hashes, starts, ends + length - 1) + shape)
-                found = (prefixes.view(np.int64), rest.view(np.int64), np.full(len(starts), doc_id.as_py()), starts, ends - starts)
+                key = (np.full(len(starts), k.as_py()) for k in (doc_id, text_hash))
+                found = (prefixes.view(np.int64), rest.view(np.int64), *key, starts, ends - starts)
                 for column, values in zip(columns, found):
                     column.append(values)
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", "doc_id", "start", "n"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", *KEY, "start", "n"])
 
-    return candidates.select("doc_id", "text", "repeated").mapInArrow(run, "prefix long, rest long, doc_id long, start long, n long")
+    return candidates.select(*KEY, "text", "repeated").mapInArrow(run, "prefix long, rest long, doc_id long, text_hash long, start long, n long")
 
 
 def _windows(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(prefix, rest, doc_id, start): the single windows of the contexts that begin at ``wanted`` places."""
+    """(prefix, rest, KEY, start): the single windows of the contexts that begin at ``wanted`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for doc_id, text, wanted in zip(batch.column("doc_id"), batch.column("text"), batch.column("wanted")):
+            columns = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for doc_id, text_hash, text, wanted in zip(*map(batch.column, (*KEY, "text", "wanted"))):
                 hashes, prefixes, starts, ends, places = _contexts_of(text.as_py(), length, prefix)
                 kept = np.isin(starts, wanted.values.to_numpy(zero_copy_only=False))
                 sizes = (ends - starts)[kept]
@@ -131,12 +134,13 @@ def _windows(candidates: DataFrame, length: int, prefix: int) -> DataFrame:
                 at = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 offset = (np.repeat(places[kept], sizes) - at).astype(np.uint64)
                 rest = mix(range_hashes(hashes, at, at + length) + offset)
-                found = (np.repeat(prefixes[kept], sizes).view(np.int64), rest.view(np.int64), np.full(len(at), doc_id.as_py()), at)
+                key = (np.full(len(at), k.as_py()) for k in (doc_id, text_hash))
+                found = (np.repeat(prefixes[kept], sizes).view(np.int64), rest.view(np.int64), *key, at)
                 for column, values in zip(columns, found):
                     column.append(values)
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", "doc_id", "start"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["prefix", "rest", *KEY, "start"])
 
-    return candidates.select("doc_id", "text", "wanted").mapInArrow(run, "prefix long, rest long, doc_id long, start long")
+    return candidates.select(*KEY, "text", "wanted").mapInArrow(run, "prefix long, rest long, doc_id long, text_hash long, start long")
 
 
 def _cut(candidates: DataFrame, length: int) -> DataFrame:
@@ -168,37 +172,41 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     A word goes if a window of ``length`` words that covers it has the same words as one that starts earlier: in a
     smaller doc_id, or in the same document before it. ``kept`` holds the words left, joined by one space, for
     documents that lose words; it is null for others, whose words all stay. Texts of fewer than ``length`` words
-    keep theirs, and null texts have none. A null doc_id comes before all others. Rows with one doc_id are
-    copies of one document: a repeated row is cut like the first and returned again. Other columns are not read. Runs jobs when called; sampled prefixes, the texts with
+    keep theirs, and null texts have none. A null doc_id comes before all others. Different texts
+    with one doc_id are different documents, in the order of their hashes; a repeated row is cut like the first and returned
+    again. Other columns are not read. Runs jobs when called; sampled prefixes, the texts with
     repeated ones and the nodes are stored in the shared folder.
     """
     if not 0 < prefix < length:
         raise ValueError("a prefix is shorter than a window")
     workers_ready(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
+    )
     scanned = materialize(_scanned(texts, length, prefix), "prefixes")
-    sampled = scanned.select("doc_id", F.explode("prefixes").alias("prefix"))
+    sampled = scanned.select(*KEY, F.explode("prefixes").alias("prefix"))
     shared = sampled.groupBy("prefix").count().filter("count > 1").select("prefix")
-    repeated = sampled.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("repeated"))
-    candidates = materialize(texts.join(repeated, "doc_id"), "candidates")
+    repeated = sampled.join(shared, "prefix").groupBy(*KEY).agg(F.collect_set("prefix").alias("repeated"))
+    candidates = materialize(texts.join(repeated, KEY), "candidates")
 
-    node, place = ["prefix", "rest"], F.struct("doc_id", "start")
+    node, place = ["prefix", "rest"], F.struct(*KEY, "start")
     occurrences = materialize(_occurrences(candidates, length, prefix), "occurrences")
     contexts = materialize(
         occurrences.groupBy(*node).agg(F.min(place).alias("first"), F.count("*").alias("times")), "contexts"
     )
     again = occurrences.join(contexts.filter("times > 1"), node).filter(place != F.col("first"))
     split = contexts.groupBy("prefix").count().filter("count > 1").select("prefix")
-    wanted = contexts.join(split, "prefix", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+    wanted = contexts.join(split, "prefix", "left_semi").groupBy(*(F.col(f"first.{k}").alias(k) for k in KEY)).agg(
         F.collect_set("first.start").alias("wanted")
     )
-    windows = materialize(_windows(candidates.join(wanted, "doc_id"), length, prefix), "windows")
+    windows = materialize(_windows(candidates.join(wanted, KEY), length, prefix), "windows")
     nodes = windows.groupBy(*node).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
     later = windows.join(nodes, node).filter(place != F.col("first"))
-    found = again.select("doc_id", "start", "n").union(later.select("doc_id", "start", F.lit(1).cast("long")))
-    spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
-    cut = _cut(candidates.select("doc_id", "text").join(spans, "doc_id"), length)
-    whole = scanned.join(spans.select("doc_id"), "doc_id", "left_anti").select(
+    found = again.select(*KEY, "start", "n").union(later.select(*KEY, "start", F.lit(1).cast("long")))
+    spans = materialize(found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    cut = _cut(candidates.select(*KEY, "text").join(spans, KEY).drop("text_hash"), length)
+    whole = scanned.join(spans.select(*KEY), KEY, "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")
     )
     return whole.union(cut).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
