@@ -74,6 +74,16 @@ def test_regions_without_a_main_element_and_odd_pages():
     assert maintext.START.extract("<div class='ad'>unclosed <article><p>real words here</article>") == "real words here"
 
 
+@pytest.mark.parametrize("wrapper", ["<form action=x>", "<div class='has-sidebar'>", "<div class='content-sidebar-wrap'>", "<div class='widget-area main'>", "<div role=form>"])
+def test_wrappers_of_the_page_are_read(wrapper):
+    close = f"</{wrapper[1:].split()[0].strip('>')}>"
+    aside = "<div class='sidebar'>Some other words that are on every page of this site and are longer than the rest of it</div>"
+    page = f"<body><h2>A line</h2>{wrapper}{aside}{ARTICLE}<form><label>Your name</label></form>{close}<p>Imprint</p></body>"
+    assert maintext.START.extract(page) == "Title & more\nFirst line\nSecond <line> of the text."
+    plain = f"<body><h2>A line</h2>{wrapper}<p>{'words of the text ' * 9}</p><div class='related'>x y</div>{close}</body>"
+    assert maintext.START.extract(plain).endswith("words of the text " * 8 + "words of the text")
+
+
 def test_weights_are_learnt_from_marked_pages():
     pages = [f"<body><q7>{'junk ' * 3}</q7><main><p>{'good ' * n}</p><x9>mid</x9><p>tail</p></main></body>" for n in range(2, 9)]
     model = maintext.learnt(pages)

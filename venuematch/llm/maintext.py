@@ -3,13 +3,14 @@
 A page is a sequence of words and tags. Words score positive, words of links less, tags negative, with weights learnt
 from pages whose main element is marked. One linear scan finds the region with the greatest sum. Elements that say
 by their name, class, id or role that they hold something else (menus, notices, forms, comments, ...) are passed over
-as a whole, wherever they are.
+as a whole, wherever they are, unless they are wrapped around the page's main element or most of its words.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,8 @@ SPACED = frozenset(["br"])
 MAIN = frozenset(["article", "main"])
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 PASSED = frozenset("nav aside footer form button select menu dialog search fieldset".split())
+# Of these, the ones that may be wrapped around a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 PASSED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -107,11 +110,62 @@ def _end_of(name: str, page: str, at: int) -> int | None:
     return None
 
 
+@dataclass
+class Outline:
+    """Where a page has words outside links, how many up to each place, and where its main element starts."""
+
+    places: list[int] = field(default_factory=list)
+    upto: list[int] = field(default_factory=lambda: [0])
+    main: int | None = None
+
+    def words(self, start: int, end: int) -> int:
+        return self.upto[bisect_left(self.places, end)] - self.upto[bisect_left(self.places, start)]
+
+    def wrapped(self, start: int, end: int) -> bool:
+        """Whether the main element lies between, or without one most of the words."""
+        if self.main is not None:
+            return start <= self.main < end
+        return 2 * self.words(start, end) > self.upto[-1]
+
+
+def outlined(page: str) -> Outline:
+    """The main element is the article or main with most words that lies in no menu, footer or the like."""
+    out, open_mains, found = Outline(), [], []
+    links, at = 0, 0
+
+    def add_words(start: int, end: int) -> None:
+        n = 0 if links else len(page[start:end].split())
+        if n:
+            out.places.append(start)
+            out.upto.append(out.upto[-1] + n)
+
+    while (m := _TOKEN.search(page, at)) is not None:
+        add_words(at, m.start())
+        at, name = m.end(), (m["name"] or "").lower()
+        if m["close"]:
+            links -= name == "a" and links > 0
+            if name in MAIN and open_mains:
+                found.append((open_mains.pop(), m.start()))
+        elif name in RAW or name in PASSED - WRAPPERS or name == "article" and _passed(name, m["attrs"], False, False):
+            if name not in VOID and not m["attrs"].endswith("/"):
+                at = _end_of(name, page, at) or (len(page) if name in ("script", "style", "textarea", "svg") else at)
+        elif name == "a":
+            links += 1
+        elif name in MAIN:
+            open_mains.append(m.start())
+    add_words(at, len(page))
+    found += [(start, len(page)) for start in open_mains]
+    sizes = [(out.words(*span), -span[0]) for span in found]
+    if sizes and max(sizes)[0]:
+        out.main = -max(sizes)[1]
+    return out
+
+
 def parsed(page: str, by_name_only: bool = False) -> tuple[list[tuple[str, int]], list[Block], list[tuple[int, int]]]:
     """(tokens, blocks, main spans). A token is its kind and how many words it stands for (0: a tag)."""
     tokens: list[tuple[str, int]] = []
     blocks, mains, open_mains, links = [Block()], [], [], 0
-    at = 0
+    at, outline = 0, None
 
     def add_text(text: str) -> None:
         text = html.unescape(text) if "&" in text else text
@@ -149,6 +203,12 @@ def parsed(page: str, by_name_only: bool = False) -> tuple[list[tuple[str, int]]
             blocks[-1].parts.append(" ")
         elif name in RAW or _passed(name, m["attrs"], bool(open_mains), by_name_only):
             tokens.append((f"passed {name}" if name not in RAW else "raw", 0))
+            if name not in RAW and (name in WRAPPERS or name not in PASSED and name != "header"):
+                end = _end_of(name, page, at)
+                outline = outline or outlined(page)
+                # The tag of a wrapper stays in the sequence, and what is in it is read.
+                if end is not None and outline.wrapped(at, end):
+                    continue
             if name not in VOID and not m["attrs"].endswith("/"):
                 end = _end_of(name, page, at)
                 # An element that nothing closes takes its own text only, or a raw one the rest of the page.
