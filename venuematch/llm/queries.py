@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuematch.llm import chat, decontam, maintext, mixing, quality, repetition, simhash, substrings, tokencount, tokenfile
+from venuematch.llm import (
+    chat, collocations, decontam, maintext, mixing, negatives, pieces, quality, repetition, simhash, substrings, tokencount,
+    tokenfile,
+)
 from venuematch.storage import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,11 +84,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as whole numbers, and every seventh row under the next label, so that labels don't follow clusters only."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = negatives.floored(F.col("embedding"))
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), vector.alias("vector"))
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text that they give back."""
+    whole = pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return whole.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_chat, op3_token_counts, op4_main_text, op5_decontamination, op6_substrings, op7_mixing,
-        op8_token_files, op9_repetition, op10_quality,
+        op8_token_files, op9_repetition, op10_quality, op11_hard_negatives, op12_collocations, op13_pieces,
     )
 }
 
@@ -118,4 +146,57 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   formatted_chars, regexp_full_match(order_of_roles, 's?(ua)+') AS valid
 FROM chats""",
+    "op11_hard_negatives": """
+WITH taking AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM (SELECT DISTINCT vec_id, label, embedding FROM embeddings)
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM taking a JOIN taking b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM lists
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM lists
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM lists
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10
+), cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(w[:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(w[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE m = 3
+  ) GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank,
+  s.phrase, a, l, r, n, score
+FROM scored s JOIN sizes USING (lang) LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000""",
 }

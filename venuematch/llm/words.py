@@ -41,8 +41,12 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash a word: a polynomial of its bytes, taken from running sums over the text."""
-    starts, ends = word_spans(data)
+    """One 64-bit hash a word."""
+    return span_hashes(data, *word_spans(data))
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash a span of bytes: a polynomial of them, taken from running sums over the text."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     powers, inverses = _power_tables(len(data) + 1)
