@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from venuematch.llm.shipping import workers_ready
+from venuematch.llm.tables import Recent
 
 END_ID = 0
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-CACHE = 500_000
+CACHE = 400_000
 
 _BLOCK_COLUMNS = {
     "part": pa.int32(), "block": pa.int64(), "n_docs": pa.int64(), "n_nulls": pa.int64(), "n_ids": pa.int64(), "id_bytes": pa.int32(),
@@ -93,14 +94,49 @@ class EliasFano:
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SHOWN_SPACE = chr(_BYTE_CHARS[32])
 
 
-class Encoder(dict):
+class Parts(Recent):
+    """Ids of a pre-tokenizer's parts."""
+
+    def __init__(self, encoder: Encoder, keep: int):
+        super().__init__(keep)
+        self.tokenize, self.code = encoder.tokenizer.model.tokenize, encoder.code
+
+    def found(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            shown = part.replace(" ", _SHOWN_SPACE)
+        else:
+            shown = part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+
+class Pieces(Recent):
+    """Ids of what stands between two spaces, the space in front included."""
+
+    def __init__(self, encoder: Encoder, keep: int):
+        super().__init__(keep)
+        self.encoder, self.parts = encoder, Parts(encoder, keep)
+
+    def found(self, piece: str) -> bytes:
+        text = " " + piece
+        if piece.isalpha() and not self.encoder.added_words:
+            return self.parts.found(text)
+        if self.encoder.added and self.encoder.added.search(text):
+            return self.encoder.whole([text])[0]
+        head, *rest = BYTE_LEVEL.findall(text)
+        # A word with punctuation has the word's own ids first.
+        first = self[head[1:]] if head[:1] == " " and head[1:].isalpha() else self.parts[head]
+        return first + b"".join(map(self.parts.__getitem__, rest))
+
+
+class Encoder:
     """Token ids of texts, as the tokenizer gives them, with each different word encoded once while it is kept.
 
     A byte-level pre-tokenizer never joins text across a space that follows a character other than white space, so a
-    text is cut there, and each piece is encoded with the space in front of it. The dictionary itself holds the ids
-    of pieces, ``parts`` those of their parts; both are emptied when the first is full. With any other kind of tokenizer whole texts are encoded.
+    text is cut there, and each piece is encoded with the space in front of it. With any other kind of tokenizer whole
+    texts are encoded.
     """
 
     _ODD = re.compile(r"\s ")
@@ -109,53 +145,32 @@ class Encoder(dict):
     def __init__(self, path: str, keep: int = CACHE):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.keep = keep
-        self.parts: dict[str, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
-        self.added = [t["content"] for t in made["added_tokens"]]
+        added = [t["content"] for t in made["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added_words = any(a.strip().isalpha() for a in added)
         self.cuts = (
             before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
             and made["normalizer"] is None and made["truncation"] is None
             and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in made["added_tokens"])
         )
+        self.pieces = Pieces(self, keep)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
-    def __missing__(self, piece: str) -> bytes:
-        text = " " + piece
-        if any(a in text for a in self.added):
-            found = self._whole([text])[0]
-        else:
-            found = b"".join(map(self._part, [text] if piece.isalpha() else BYTE_LEVEL.findall(text)))
-        self[piece] = found
-        return found
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))
-            ids = self.parts[part] = array(self.code, [t.id for t in tokens]).tobytes()
-        return ids
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers, without special tokens."""
         if not self.cuts:
-            return self._whole(texts)
+            return self.whole(texts)
         cut = [self._CUT.split(t) if t[:1] == " " or self._ODD.search(t) else t.split(" ") for t in texts]
-        out = []
-        for head, rest in zip(self._whole([c[0] for c in cut]), cut):
-            if len(self) > self.keep:
-                self.clear()
-                self.parts.clear()
-            out.append(head + b"".join(map(self.__getitem__, rest[1:])))
-        return out
+        ids = self.pieces.__getitem__
+        return [head + b"".join(map(ids, rest[1:])) for head, rest in zip(self.whole([c[0] for c in cut]), cut)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -221,16 +236,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     sorted_docs.mapInArrow(run, BLOCK_DDL).write.parquet(path)
 
 
+def _sequence(row: dict, name: str) -> EliasFano:
+    return EliasFano(*(row[f"{name}_{f}"] for f in ("low_bits", "low", "high", "samples")))
+
+
 def _boundaries(row: dict) -> tuple[np.ndarray, list]:
-    """Ends and doc_ids of a block's documents."""
-    ends, docs = (EliasFano(*(row[f"{name}_{f}"] for f in ("low_bits", "low", "high", "samples"))) for name in ("ends", "docs"))
+    """Ends and doc_ids of a block's documents; each end is found by a select."""
+    ends, docs = _sequence(row, "ends"), _sequence(row, "docs")
     known = docs.decode(row["n_docs"] - row["n_nulls"]) + np.uint64(row["least"] % (1 << 64))
-    return ends.decode(row["n_docs"]).astype(np.int64), [None] * row["n_nulls"] + known.view(np.int64).tolist()
+    selected = np.fromiter(map(ends.select, range(row["n_docs"])), np.int64, row["n_docs"])
+    return selected, [None] * row["n_nulls"] + known.view(np.int64).tolist()
 
 
 def document_ids(row: dict, i: int) -> np.ndarray:
     """The ids of the i-th document of a block, by two selects."""
-    ends = EliasFano(*(row[f"ends_{f}"] for f in ("low_bits", "low", "high", "samples")))
+    ends = _sequence(row, "ends")
     first = ends.select(i - 1) if i else 0
     return np.frombuffer(row["ids"], f"<u{row['id_bytes']}", ends.select(i) - first, first * row["id_bytes"])
 
