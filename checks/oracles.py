@@ -159,6 +159,9 @@ ONE_COUNTS = f"""count(*) AS candidates_considered,
 ORACLES = {
     # scans and sinks
     "scan_positions": "SELECT o_orderkey AS row_index, o_orderkey FROM orders",
+    "text_positions": """SELECT 'csv' AS format, o_orderkey AS row_index, o_orderkey FROM orders
+        UNION ALL SELECT 'json', o_orderkey, o_orderkey FROM orders""",
+    "replaced_snapshot": using("catalog", f"SELECT {CARD}, (SELECT count(*) FROM catalog) AS n_stored FROM catalog"),
     "csv_export": using("catalog", f"SELECT {CARD} FROM catalog"),
     "parquet_export": using("catalog", f"SELECT {CARD} FROM catalog"),
     "json_sample": using("catalog", f"SELECT {CARD} FROM catalog ORDER BY first_index LIMIT 100"),
@@ -175,7 +178,7 @@ ORACLES = {
     "parse_cost": using("annotated", "SELECT row_index, cost_for_two FROM annotated"),
     "extract_city": using("parsed", "SELECT row_index, found_city AS city FROM parsed"),
     "alias_location": using("prefs", f"""SELECT pref_id,
-        {alias("lower(trim(location))", title("nullif(trim(location), '')"))} AS normalized_location FROM prefs"""),
+        {alias("lower(trim(location))", title("trim(location)"))} AS normalized_location FROM prefs"""),
     "budget_band": using("annotated", "SELECT row_index, budget_band FROM annotated"),
     "normalize_cuisine": using("parsed", "SELECT row_index, cuisine FROM parsed"),
     "default_place": using("annotated", "SELECT row_index, city, location, city_defaulted FROM annotated"),

@@ -90,6 +90,38 @@ def scan_positions(spark, sf_dir):
     return listing_source.read_listings(spark, f"{sf_dir}/orders.parquet").select("row_index", "o_orderkey")
 
 
+def text_positions(spark, sf_dir):
+    """CSV and JSON copies of a table, in many files, numbered again without a position column."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    ordered = orders.repartitionByRange(12, "o_orderkey").sortWithinPartitions("o_orderkey")
+    found = []
+    for fmt in ("csv", "json"):
+        path = scratch_path(spark, fmt)
+        ordered.write.format(fmt).option("header", "true").save(path)
+        rows = listing_source.read_listings(spark, path, fmt, schema="o_orderkey BIGINT, o_orderstatus STRING", header="true")
+        found.append(rows.select(F.lit(fmt).alias("format"), "row_index", "o_orderkey"))
+    return found[0].union(found[1])
+
+
+def replaced_snapshot(spark, sf_dir):
+    """A stored catalog, a rebuild that fails after its catalog is written, and a rebuild that replaces it."""
+    root = scratch_path(spark, "replaced")
+    store = catalog(spark, sf_dir)
+    counted = lambda stored: stored.agg(F.count("*").alias("n_stored"))
+
+    def failing(stored):
+        raise InterruptedError
+
+    snapshot.replace_snapshot(store.where("id < '8'"), counted, root)
+    try:
+        snapshot.replace_snapshot(store.where("id >= '8'"), failing, root)
+    except InterruptedError:
+        before = snapshot.read_snapshot(spark, root)
+        snapshot.replace_snapshot(before.unionByName(store.where("id >= '8'")), counted, root)
+    stats = snapshot.read_snapshot_stats(spark, root).first()["n_stored"]
+    return _cards(snapshot.read_snapshot(spark, root)).withColumn("n_stored", F.lit(stats))
+
+
 def csv_export(spark, sf_dir):
     path = exports.write_csv(catalog(spark, sf_dir), scratch_path(spark, "csv"))
     return exports.read_csv_export(spark, path)
@@ -403,6 +435,8 @@ def result_metadata(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "scan_positions": scan_positions,
+    "text_positions": text_positions,
+    "replaced_snapshot": replaced_snapshot,
     "csv_export": csv_export,
     "parquet_export": parquet_export,
     "json_sample": json_sample,

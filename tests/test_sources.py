@@ -13,7 +13,7 @@ from venuematch.config import CATALOG_COLUMNS
 from venuematch.operators.normalize import normalize_listings
 from venuematch.plans.catalog import build_catalog, open_catalog
 from venuematch.sources import exports, snapshot
-from venuematch.sources.listings import ListingsError, read_listings
+from venuematch.sources.listings import read_listings
 from venuematch.storage import modified_at
 from venuematch.streaming.listings import read_listing_stream, write_clean_stream
 
@@ -40,8 +40,12 @@ def test_text_formats_carry_their_position(spark, tmp_path):
     (tmp_path / "raw.json").write_text(json.dumps({"at": 7, "name": "A", "rate": "4/5"}), encoding="utf-8")
     row = read_listings(spark, str(tmp_path / "raw.json"), "json", position_column="at").first()
     assert (row.row_index, row.name, row.address) == (7, "A", None)
-    with pytest.raises(ListingsError):
-        read_listings(spark, str(target), "csv")
+    # Without a position column rows are numbered, and columns found by their names.
+    row = read_listings(spark, str(target), "csv", header="true").first()
+    assert (row.row_index, row.name, row["approx_cost(for two people)"], row.at) == (0, "A, B", "1,200", "5")
+    (tmp_path / "few.csv").write_text("rate,name\n4/5,A\n", encoding="utf-8")
+    row = read_listings(spark, str(tmp_path / "few.csv"), "csv", header="true").first()
+    assert (row.row_index, row.name, row.rate, row.address) == (0, "A", "4/5", None)
 
 
 def test_exports_round_trip(spark, tmp_path):
@@ -128,3 +132,51 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows_of(streamed) == rows_of(normalize_listings(raw))
     assert streamed.where(F.col("name") == "").isEmpty()
     assert build_catalog(raw).count() == 20
+
+
+def test_a_failed_rebuild_leaves_the_stored_build(spark, tmp_path):
+    root, catalog = str(tmp_path / "store"), samples.catalog(spark, samples.VENUES)
+    counted = lambda stored: stored.agg(F.count("*").alias("n"))
+    few = catalog.where("id <= '3'")
+    snapshot.replace_snapshot(few, counted, root)
+    opened = snapshot.read_snapshot(spark, root)
+
+    def killed(stored):
+        # The new catalog is written, its counters are not; readers still see the old build as a whole.
+        assert rows_of(stored.select(*opened.columns)) == rows_of(catalog.select(*opened.columns))
+        assert rows_of(snapshot.read_snapshot(spark, root)) == rows_of(few)
+        assert snapshot.read_snapshot_stats(spark, root).first()["n"] == few.count()
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        snapshot.replace_snapshot(catalog, killed, root)
+    assert rows_of(snapshot.read_snapshot(spark, root)) == rows_of(few)
+    assert len(list((tmp_path / "store").glob("version=*/builds/*"))) == 1
+    # A rebuild may read the build that it replaces, and a reader that opened it goes on.
+    snapshot.replace_snapshot(snapshot.read_snapshot(spark, root).unionByName(catalog.where("id > '3'").select(*opened.columns)), counted, root)
+    assert rows_of(opened) == rows_of(few)
+    assert rows_of(snapshot.read_snapshot(spark, root)) == rows_of(catalog)
+    assert snapshot.read_snapshot_stats(spark, root).first()["n"] == catalog.count()
+    snapshot.replace_snapshot(few, counted, root)
+    assert len(list((tmp_path / "store").glob("version=*/builds/*"))) == snapshot.KEPT_BUILDS
+    assert rows_of(snapshot.read_snapshot(spark, root)) == rows_of(few)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_rows_of_text_files_are_numbered_in_their_order(spark, tmp_path, fmt):
+    sizes = {"b": 700, "a": 1, "c": 0, "d": 2500, "e": 1}
+    n = 0
+    for name in sorted(sizes):
+        numbers = range(n, n := n + sizes[name])
+        lines = [json.dumps({"name": f"v{i}", "rate": str(i), "row_index": "own"}) if fmt == "json" else f'v{i},{i},"own, x"' for i in numbers]
+        head = ["name,rate,row_index"] if fmt == "csv" else []
+        (tmp_path / f"{name}.{fmt}").write_text("".join(f"{line}\n" for line in head + lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    try:
+        frame = spark.read.option("header", "true").schema("name STRING, rate STRING").format(fmt).load(str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 20
+        got = read_listings(spark, str(tmp_path), fmt, schema="name STRING, rate STRING", header="true").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["row_index"], r["name"], r["rate"]) for r in got) == [(i, f"v{i}", str(i)) for i in range(n)]

@@ -17,8 +17,6 @@ from venuematch.storage import scratch_path
 
 logger = logging.getLogger(__name__)
 
-SUMMARY_CITIES = 1000
-
 
 def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Raw listings to one row per venue: one narrow stage, one shuffle."""
@@ -28,20 +26,23 @@ def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def store_catalog(raw: DataFrame, root: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Build, check and snapshot the catalog; returns the stored table.
 
-    No listings, or none with a name, is an error; a low share of normalised rows is only logged.
+    No listings, or none with a name, is an error; a low share of normalised rows is only logged. An error leaves the
+    catalog that was stored before as it was.
     """
     spark = raw.sparkSession
     require_rows(raw, "the source has no rows")
     root = root or scratch_path(spark, "catalog")
-    snapshot.write_snapshot(build_catalog(raw, settings), root)
-    stored = snapshot.read_snapshot(spark, root)
-    if stored is None or stored.isEmpty():
-        raise ListingsError("no listing is left after normalisation")
-    snapshot.write_snapshot_stats(catalog_counters(stored, raw), root)
+
+    def counted(stored: DataFrame) -> DataFrame:
+        if stored.isEmpty():
+            raise ListingsError("no listing is left after normalisation")
+        return catalog_counters(stored, raw)
+
+    snapshot.replace_snapshot(build_catalog(raw, settings), counted, root)
     rate = snapshot.read_snapshot_stats(spark, root).first()["success_rate"]
     if rate < SUCCESS_RATE_FLOOR:
         logger.warning("only %.1f%% of the listings could be normalised", rate * 100)
-    return stored
+    return snapshot.read_snapshot(spark, root)
 
 
 def open_catalog(
@@ -77,12 +78,12 @@ def preview(catalog: DataFrame, n: int) -> DataFrame:
 def data_summary(catalog: DataFrame, stats: DataFrame, city: str, sample: int = 5) -> DataFrame:
     """One row: totals, cities, counters, rows in the given city and its first few rows.
 
-    ``cities`` names the first :data:`SUMMARY_CITIES` for display; ``n_cities`` counts all.
+    ``cities`` names all of them.
     """
     local = by_city(catalog, city)
     shown = preview(local, sample).agg(F.collect_list("name").alias("sample_names"))
     cities = city_list(catalog)
-    named = cities.limit(SUMMARY_CITIES).agg(F.array_sort(F.collect_list("city")).alias("cities"))
+    named = cities.agg(F.array_sort(F.collect_list("city")).alias("cities"))
     in_city = local.agg(F.count("*").alias("in_city"))
     return stats.select(
         "*",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from venuematch import schemas
 from venuematch.storage import materialize
@@ -21,22 +22,23 @@ def read_listings(
     path: str | list[str],
     fmt: str = "parquet",
     position_column: str | None = None,
+    schema: str = schemas.RAW,
     **options: str,
 ) -> DataFrame:
     """Listings plus ``row_index``, their 0-based position over all files in path order.
 
-    Parquet knows each row's place in its file. Text formats do not, and the order in which splits are
-    read is not the file's order, so CSV and JSON sources must carry the position in a column.
+    Parquet knows each row's place in its file. CSV and JSON lines with the columns of ``schema`` either carry the
+    position in a column, or are numbered by the splits they are read in, see :func:`with_text_positions`.
     """
     if fmt == "parquet":
         frame = spark.read.options(**options).parquet(*([path] if isinstance(path, str) else path))
         if position_column is None:
             return with_positions(frame)
     elif position_column is None:
-        raise ListingsError(f"{fmt} listings need a position_column")
+        return _by_name(with_text_positions(_text_rows(spark, path, fmt, schema, options)), schema)
     else:
-        schema = f"`{position_column}` BIGINT, {schemas.RAW}"
-        frame = spark.read.options(**options).schema(schema).format(fmt).load(path)
+        placed = f"`{position_column}` BIGINT, {schema}"
+        frame = spark.read.options(**options).schema(placed).format(fmt).load(path)
     kept = [f"`{c}`" for c in frame.columns if c != position_column]
     return frame.select(F.col(f"`{position_column}`").cast("bigint").alias("row_index"), *kept)
 
@@ -67,6 +69,42 @@ def with_positions(frame: DataFrame, names: list[str] | None = None) -> DataFram
     )
 
 
+def _text_rows(spark: SparkSession, path: str | list[str], fmt: str, schema: str, options: dict[str, str]) -> DataFrame:
+    """JSON lines by the names of ``schema``; CSV with a header by its own names, and else in the order of ``schema``."""
+    reader = spark.read.options(**options).format(fmt)
+    headed = fmt == "csv" and str(options.get("header", "false")).lower() == "true"
+    return (reader if headed else reader.schema(schema)).load(path)
+
+
+def _by_name(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` in its types, null where a source has none, and all others as they are."""
+    wanted = {field.name: field.dataType for field in StructType.fromDDL(schema)}
+    there = [F.col(f"`{c}`").try_cast(wanted[c]).alias(c) if c in wanted else F.col(f"`{c}`") for c in rows.columns]
+    return rows.select(*there, *(F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in rows.columns))
+
+
+def with_text_positions(frame: DataFrame) -> DataFrame:
+    """``row_index`` for rows of text files: place in the split plus the rows of all splits before it.
+
+    A task reads a split from its start to its end, but which splits it reads, and in which order, is up to the
+    scheduler. So the rows are stored once with their split, (path, start), and their number in the task; the least
+    number of a split and its count of rows come from the stored table, and the running sum goes over one row per
+    split. Lines must not be broken by quoted line ends (``multiLine`` files are not split, and are numbered as well). A
+    column ``row_index`` of the source gives way.
+    """
+    columns = [f"`{c}`" for c in frame.columns if c != "row_index"]
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    # The nested row keeps the columns apart from these names.
+    numbered = frame.select(*split, F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("row"))
+    stored = materialize(numbered, "text-rows")
+    splits = stored.groupBy("file", "start").agg(F.min("number").alias("least"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "start", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
+    return stored.join(materialize(offsets, "offsets"), ["file", "start"]).select(
+        (F.col("number") - F.col("least") + F.col("skipped")).alias("row_index"), "row.*"
+    )
+
+
 def require_rows(frame: DataFrame, message: str) -> DataFrame:
     """The same frame, or an error when it is empty; looks at one row only."""
     if frame.isEmpty():

@@ -3,47 +3,118 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from venuematch.config import BUDGETS, CATALOG_COLUMNS, SNAPSHOT_VERSION, UNKNOWN
 from venuematch.operators.normalize import with_match_keys
 from venuematch.sources.listings import with_positions
-from venuematch.storage import UNREADABLE, modified_at
+from venuematch.storage import UNREADABLE, child_names, modified_at, remove, touch
 
 logger = logging.getLogger(__name__)
 
+# Builds that stay readable after they are replaced, the newest included.
+KEPT_BUILDS = 2
+
+
+def _home(root: str, version: int) -> str:
+    return f"{root}/version={version}"
+
+
+def _commits(spark: SparkSession, root: str, version: int) -> list[tuple[int, str]]:
+    """(number, build) of the committed builds, the newest last."""
+    found = [name.split("-", 1) for name in child_names(spark, f"{_home(root, version)}/commits")]
+    return sorted((int(number), build) for number, build in found if number.isdigit())
 
-def write_snapshot(catalog: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
-    """Store the catalog under ``root/version=N``.
 
-    One folder per budget band, because every full match asks for one band. Range partitioning keeps each
+def _current(spark: SparkSession, root: str, version: int) -> str | None:
+    """The folder of the newest committed build."""
+    commits = _commits(spark, root, version)
+    return f"{_home(root, version)}/builds/{commits[-1][1]}" if commits else None
+
+
+def _commit(spark: SparkSession, root: str, version: int, build: str) -> None:
+    """Make a finished build the one that readers see, by one empty file with the next number and the build's name.
+
+    The file is never changed, so a reader sees the build before or this one. The last :data:`KEPT_BUILDS` stay for
+    readers that have opened them; older ones, and what failed builds left behind before them, are removed.
+    """
+    earlier = _commits(spark, root, version)
+    number = earlier[-1][0] + 1 if earlier else 1
+    touch(spark, f"{_home(root, version)}/commits/{number:019d}-{build}")
+    kept = {name for _, name in _commits(spark, root, version)[-KEPT_BUILDS:]}
+    for gone, name in earlier:
+        if name not in kept:
+            remove(spark, f"{_home(root, version)}/builds/{name}")
+            remove(spark, f"{_home(root, version)}/commits/{gone:019d}-{name}")
+
+
+def _write_catalog(catalog: DataFrame, path: str) -> None:
+    """One folder per budget band, because every full match asks for one band. Range partitioning keeps each
     city in neighbouring files, so that file statistics skip the others; the id among its keys lets a place
     that holds most of the rows spread over many files.
     """
-    path = f"{root}/version={version}/catalog"
     keys = ["budget_band", "city_lc", "location_lc", "id"]
-    laid_out = catalog.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    laid_out.write.mode("overwrite").partitionBy("budget_band").parquet(path)
+    catalog.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("budget_band").parquet(path)
+
+
+def replace_snapshot(
+    catalog: DataFrame, stats_of: Callable[[DataFrame], DataFrame], root: str, version: int = SNAPSHOT_VERSION
+) -> str:
+    """Store the catalog and its counters in a folder of their own below ``root/version=N``, then show both at once.
+
+    ``stats_of`` makes the counters from the stored catalog. A failure before the end changes nothing for readers: they
+    keep the last finished build, and never see a catalog with other counters. Returns the build's folder.
+    """
+    spark = catalog.sparkSession
+    build = uuid.uuid4().hex
+    path = f"{_home(root, version)}/builds/{build}"
+    try:
+        _write_catalog(catalog, f"{path}/catalog")
+        # An empty catalog has no files to learn the columns from.
+        stats_of(spark.read.schema(catalog.schema).parquet(f"{path}/catalog")).write.parquet(f"{path}/stats")
+    except BaseException:
+        remove(spark, path)
+        raise
+    _commit(spark, root, version, build)
+    return path
+
+
+def write_snapshot(catalog: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
+    """Store the catalog without counters and show it; returns the path of the catalog."""
+    build = uuid.uuid4().hex
+    path = f"{_home(root, version)}/builds/{build}/catalog"
+    _write_catalog(catalog, path)
+    _commit(catalog.sparkSession, root, version, build)
     return path
 
 
 def write_snapshot_stats(stats: DataFrame, root: str, version: int = SNAPSHOT_VERSION) -> str:
-    path = f"{root}/version={version}/stats"
+    """Counters of the newest build, in place of those it has; without a build they are one of their own."""
+    spark = stats.sparkSession
+    current = _current(spark, root, version)
+    build = uuid.uuid4().hex
+    path = f"{current or f'{_home(root, version)}/builds/{build}'}/stats"
     stats.write.mode("overwrite").parquet(path)
+    if current is None:
+        _commit(spark, root, version, build)
     return path
 
 
 def snapshot_time(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSION) -> int | None:
-    return modified_at(spark, f"{root}/version={version}/catalog")
+    current = _current(spark, root, version)
+    return current and modified_at(spark, f"{current}/catalog")
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSION) -> DataFrame | None:
     """The catalog of this version; null when it is absent, unfinished, unreadable or another version."""
-    if snapshot_time(spark, root, version) is None:
+    current = _current(spark, root, version)
+    if current is None or modified_at(spark, f"{current}/catalog") is None:
         return None
     try:
-        stored = spark.read.parquet(f"{root}/version={version}/catalog")
+        stored = spark.read.parquet(f"{current}/catalog")
         keys = [c for c in stored.columns if c not in CATALOG_COLUMNS]
         return stored.select(*CATALOG_COLUMNS, *keys)
     except UNREADABLE as error:
@@ -52,8 +123,9 @@ def read_snapshot(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSIO
 
 
 def read_snapshot_stats(spark: SparkSession, root: str, version: int = SNAPSHOT_VERSION) -> DataFrame | None:
-    path = f"{root}/version={version}/stats"
-    return None if modified_at(spark, path) is None else spark.read.parquet(path)
+    current = _current(spark, root, version)
+    path = f"{current}/stats"
+    return None if current is None or modified_at(spark, path) is None else spark.read.parquet(path)
 
 
 def _text(name: str) -> Column:

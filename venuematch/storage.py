@@ -72,6 +72,22 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none when there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and its folders; one that is there already is an error."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(file.getParent())
+    if not fs.createNewFile(file):
+        raise FileExistsError(path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write once and read back, so later branches neither recompute nor depend on live executors.
 
