@@ -95,7 +95,8 @@ def test_main_text_rows(spark):
     rows = [(1, "u", ARTICLE, "t"), (1, "u", ARTICLE, "t"), (2, None, None, "t"), (None, "v", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted(((r["page_id"] or 0, r["n_chars"]) for r in maintext.main_text(pages).collect()))
-    assert got == [(0, 0), (1, 49), (1, 49), (2, 0)]
+    n = len("Title & more\nFirst line\nSecond <line> of the text.")
+    assert got == [(0, 0), (1, n), (1, n), (2, 0)]
     assert maintext.main_text(pages.limit(0)).count() == 0
 
 
@@ -203,6 +204,40 @@ def test_short_items_are_found_as_a_whole(spark):
     assert found == {(i, i % 3): True for i in range(6)} | {(6, 2): False}
 
 
+def test_tiny_items_are_found_as_a_line_or_sentence_only(spark):
+    items = ["Yes", "42 km", "Paris, France", "Is this it?"]
+    docs = ["Yes", "well yes of course", "First.\nYes.\nLast", "It took a while. Yes! So it was", "he ran 42 km today", "One\n 42 km \ntwo", "So is this it? No", "a\nis this it?\nb", ""]
+    assert {d: i for d, i in found_pairs(spark, docs, items)} == {0: 0, 2: 0, 3: 0, 5: 1, 7: 3}
+
+
+def runs_of_template_words(spark, docs, known):
+    """Documents that hold a window, by marking all of them."""
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    short = sorted({r["item_words"] for r in known.collect() if r["item_words"] < decontam.WINDOW})
+    marked = decontam._windowed(texts, ["doc_id"], decontam.WINDOW, short)
+    met = decontam._windows(marked, ["doc_id", "form"], decontam.WINDOW, short).join(known, ["form", "hash"])
+    return {r["doc_id"] for r in met.select("doc_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_text_with_a_window_is_passed_over(spark, seed):
+    rng = random.Random(seed)
+    words = ["the", "Anna", "berta", "5", "12,5", "km", "5km", "%", "covid-19", "n=100", "don't", "end.Next", "-", "...", "US$5", "e\u0301", "ΟΔΟΣ", "οδος",
+             "ǅ", "Ⅷ", "Ⓐb", "5%of", "10mi/5km", "a\ue000b", "O'Neil", "\u00a0x", "x\u00a0", "of", "(5)", "kg.", "5\n", "\"Who", "STRASSE", "straße", "İx", "1st"]
+    ends = [" ", " ", " ", "  ", "\n", ", ", ". ", "\t"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice(ends) for _ in range(n))
+    items = [text(rng.randrange(4, 24)) for _ in range(12)]
+    changed = lambda t: rng.choice([str, str.upper, str.lower, str.title])(t)
+    docs = [text(rng.randrange(1, 6)) + changed(rng.choice(items)) + text(rng.randrange(1, 6)) for _ in range(150)]
+    docs += [text(rng.randrange(1, 40)) for _ in range(150)] + [prose(rng, 60) for _ in range(50)]
+    known = decontam.benchmark_windows(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    known = known.filter(F.col("item_words") >= decontam.MIN_WORDS).cache()
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    passed = {r["doc_id"] for r in decontam.passing(texts, known).select("doc_id").collect()}
+    held = runs_of_template_words(spark, docs, known)
+    assert len(held) > 50 and held <= passed and not passed & set(range(300, 350))
+
+
 def test_only_the_contaminated_text_of_an_id_goes(spark):
     docs = frame(spark, [(None, f"so {OTHER}"), (None, "a clean text"), (5, f"so {OTHER}"), (5, "another clean text")])
     benchmark = spark.createDataFrame([(1, OTHER)], "item_id long, text string")

@@ -12,17 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuematch.llm.rows import packed, unpacked
 from venuematch.storage import materialize
 
 WINDOW = 8
 MIN_RUN = 13
-FILTER_BITS = 19
+# Items of fewer words are looked for as a whole line or sentence only.
+MIN_WORDS = 4
+# Bits of a filter for each of its entries, and the greatest size of one: beyond, more is let through.
+BITS_EACH = 64
+MOST_BITS = 1 << 23
 
 # Marks in front of a slot's value; private-use characters, taken out of the texts first.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 # Between the words of one name.
 JOINED = "\ue003"
 _SLOT = f"[{NUMBER}{UNIT}{NAME}]"
+_LINE_END = r"[\r\n]+|(?<=[.!?])\s+"
 
 # Units that may follow a number.
 UNITS = (
@@ -71,13 +77,11 @@ def _word_hashes(marked: Column) -> Column:
     return F.transform(_split(_without_values(marked)), lambda w: F.xxhash64(w))
 
 
-def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int], may_hold=None) -> DataFrame:
+def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int]) -> DataFrame:
     """``texts(keys, text)`` as (keys, form, words, found, singles): found has the hash of each window, in order.
     Singles has the hashes of single words, if there are ``short`` lengths below the window to look for.
 
     Form 0 has no names; form 1, of texts with names only, has a slot for each.
-    Where ``may_hold(word hashes)`` is false, there are no words and no windows. It is no filter, since Spark would move a filter below
-    the marking of the text and mark it twice.
 
     Hashes of 1, 2, 4, ... words are each made from two of the half length. Every step uses the one before twice,
     which keeps Spark from folding them into one expression that would be evaluated again and again.
@@ -88,9 +92,8 @@ def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int],
     named = F.when(F.contains("marked", F.lit(NAME)), F.array(_nameless(F.col("marked")), "marked"))
     out = out.select(*keys, F.posexplode(named.otherwise(F.array("marked"))).alias("form", "marked"))
     out = out.select(*keys, "form", "marked", _word_hashes(F.col("marked")).alias("found"))
-    if may_hold is not None:
-        out = out.withColumn("found", F.when(may_hold(F.col("found")), F.col("found")).otherwise(F.array().cast("array<bigint>")))
-    out = out.select(*keys, "form", F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found", (F.col("found") if short else F.lit(None).cast("array<bigint>")).alias("singles"))
+    singles = F.col("found") if short else F.lit(None).cast("array<bigint>")
+    out = out.select(*keys, "form", F.when(F.size("found") > 0, _split(F.col("marked"))).alias("words"), "found", singles.alias("singles"))
     size = 1
     while size < window:
         later = F.slice("found", size + 1, F.greatest(F.size("found") - size, F.lit(0)))
@@ -100,26 +103,59 @@ def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int],
     return out
 
 
-def _filter_table(hashes: DataFrame, bits: int) -> Column:
-    """A bit for each of ``hashes(hash)`` among 2**bits, as an array of longs; its size is fixed, whatever is put in."""
-    slot = F.col("hash").bitwiseAND((1 << bits) - 1)
-    longs = hashes.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-    table = [0] * (1 << (bits - 6))
-    for at, value in longs.groupBy("at").agg(F.bit_or("bit")).collect():
-        table[at] = value
-    return F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in table)})")
+class _Filter:
+    """Bits for hashes, two for each, as an array of longs. It may take other hashes for known ones, never the reverse."""
 
+    def __init__(self, hashes: DataFrame):
+        """The size follows the number of ``hashes(hash)``, so about one unknown hash of a thousand passes."""
+        distinct = hashes.distinct()
+        self.bits = min(max(6, (BITS_EACH * distinct.count()).bit_length()), MOST_BITS.bit_length() - 1)
+        place = F.explode(F.array(*(F.expr(f"shiftrightunsigned(hash, {32 * i}) & {(1 << self.bits) - 1}L") for i in (0, 1))))
+        longs = distinct.select(place.alias("place")).select(
+            F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
+        )
+        table = [0] * (1 << (self.bits - 6))
+        for at, value in longs.groupBy("at").agg(F.bit_or("bit")).collect():
+            table[at] = value
+        self.table = F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in table)})")
 
-def _may_be(hash_: Column, table: Column, bits: int) -> Column:
-    """False only for a hash that was not put into the table."""
-    at = F.shiftright(hash_, 6).bitwiseAND((1 << (bits - 6)) - 1).cast("int")
-    return F.getbit(F.get(table, at), hash_.bitwiseAND(63).cast("int")) == 1
+    def may_hold(self, hash_: Column) -> Column:
+        def bit(shift: int) -> Column:
+            place = F.shiftrightunsigned(hash_, shift)
+            at = F.shiftright(place, 6).bitwiseAND((1 << (self.bits - 6)) - 1).cast("int")
+            return F.getbit(F.get(self.table, at), place.bitwiseAND(63).cast("int")) == 1
 
+        return bit(0) & bit(32)
 
-def _may_hold_window(hashes: Column, table: Column, bits: int, window: int) -> Column:
-    """False only for word hashes without ``window`` in a row that may all be words of the benchmark."""
-    known = F.transform(hashes, lambda h: F.when(_may_be(h, table, bits), "1").otherwise("0"))
-    return F.contains(F.array_join(known, ""), F.lit("1" * window))
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _may_hold_run(text: Column, words: _Filter, pairs: _Filter, least: int) -> Column:
+    """False only for texts that, marked in either form, have no ``least`` words in a row as the benchmark has them.
+
+    It costs a part of the marking. A word is taken without its punctuation and in lower case. One with a capital, a digit
+    or a per cent sign may be anything, since it may be part of a slot; so may what follows a digit, which is a word of
+    its own if it is a unit. All other words are in the marked text as they are here, so each must be a word of the
+    benchmark, and two neighbours must be neighbours there.
+    """
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}\s%]+", "")
+    plain = F.regexp_replace(plain, r"(\p{N})(?:\s+|(?=[\p{L}%]))", "$1 %")
+    plain = F.lower(F.regexp_replace(plain, r"[\p{N}\p{Lu}\p{Lt}]+", "%"))
+    parts = F.array_remove(F.split(plain, r"\s+"), "")
+    free, unknown = F.lit(0).cast("long"), F.lit(1).cast("long")
+    named = lambda w: _bound(F.xxhash64(w), lambda h: F.when(words.may_hold(h), h).otherwise(unknown))
+    hashes = F.transform(parts, lambda w: F.when(F.contains(w, F.lit("%")), free).otherwise(named(w)))
+    known = lambda a, b: (
+        F.when((a == unknown) | (b == unknown), "0").when((a == free) | (b == free), "1")
+        .when(pairs.may_hold(F.xxhash64(a, b)), "1").otherwise("0")
+    )
+    flags = lambda found: F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), known)
+    run = F.contains(F.array_join(_bound(hashes, flags), ""), F.lit("1" * (least - 1)))
+    odd = [F.contains(text, F.lit(mark)) for mark in (NUMBER, UNIT, NAME, JOINED)]
+    return odd[0] | odd[1] | odd[2] | odd[3] | run
 
 
 def _typed(words: Column) -> Column:
@@ -184,17 +220,40 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return parts.select("hash", "form", "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part"), "item_words")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int, filter_bits: int) -> DataFrame:
+def _unmarked(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hashes (hash) of the words of windows that are no slots, and of two of them that follow each other."""
+    words = known.select(F.explode("item_part").alias("word")).filter(~F.col("word").rlike(_SLOT))
+    two = F.transform(F.sequence(F.lit(1), F.size("item_part") - 1), lambda i: F.slice("item_part", i, 2))
+    pairs = known.filter(F.size("item_part") > 1).select(F.explode(two).alias("two")).filter(~F.exists("two", lambda w: w.rlike(_SLOT)))
+    hashed = F.xxhash64(F.xxhash64(F.col("two")[0]), F.xxhash64(F.col("two")[1]))
+    return words.select(F.xxhash64("word").alias("hash")), pairs.select(hashed.alias("hash"))
+
+
+def passing(docs: DataFrame, known: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs(text, ...)`` whose text may hold a window of ``known``, or an item of fewer words as a whole."""
+    least = known.agg(F.min(F.least(F.col("item_words"), F.lit(window)))).first()[0] or window
+    return docs.filter(_may_hold_run(F.col("text"), *map(_Filter, _unmarked(known)), least))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, same): the alignments that count, each text of a doc_id by itself."""
     known = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
-    table = _filter_table(known.select("hash"), filter_bits)
-    words = _filter_table(known.select(F.explode(F.transform(_typed(F.col("item_part")), lambda w: F.xxhash64(w))).alias("hash")), filter_bits)
-    short = sorted(n for n, in known.filter(F.col("item_words") < window).select("item_words").distinct().collect())
-    least = min([window, *short])
+    keys = ["doc_id", "text_hash"]
     texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    windowed = _windowed(texts, ["doc_id", "text_hash"], window, short, lambda hashes: _may_hold_window(hashes, words, filter_bits, least))
-    parts = _windows(windowed, ["doc_id", "text_hash", "form"], window, short, keep=lambda h: _may_be(h, table, filter_bits))
-    met = parts.join(known, ["form", "hash"]).filter(_typed(F.col("part")) == _typed(F.col("item_part")))
+    usual, tiny = known.filter(F.col("item_words") >= MIN_WORDS), known.filter(F.col("item_words") < MIN_WORDS)
+    lengths = lambda windows: sorted(n for n, in windows.filter(F.col("item_words") < window).select("item_words").distinct().collect())
+    short = lengths(usual)
+    held = _Filter(usual.select("hash"))
+    windowed = _windowed(passing(texts, usual, window), keys, window, short)
+    parts = _windows(windowed, [*keys, "form"], window, short, keep=held.may_hold)
+    met = parts.join(usual, ["form", "hash"])
+    fewest = lengths(tiny)
+    if fewest:
+        # Each line and sentence of so few words, words with units in them included, as a text of its own.
+        lines = F.filter(F.split("text", _LINE_END), lambda s: F.size(_split(s)) <= fewest[-1] * 2)
+        alone = _windowed(texts.select(*keys, F.explode(lines).alias("text")), keys, window, fewest)
+        met = met.union(_windows(alone, [*keys, "form"], window, fewest, whole=True).join(tiny, ["form", "hash"]))
+    met = met.filter(_typed(F.col("part")) == _typed(F.col("item_part")))
     slots = F.filter(
         F.zip_with("item_part", "part", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike(_SLOT)
     )
@@ -215,31 +274,33 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int, filt
     return aligned.withColumn("same", same).filter(F.col("same") | template | F.coalesce(long_run, F.lit(False)))
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN, filter_bits: int = FILTER_BITS
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, same_values): documents of ``docs(doc_id, text)`` that hold an item's question.
 
     A pair is returned once if along one alignment the matching windows cover ``min_run`` words (or the whole item,
     if shorter) and hold the item's own values (``same_values``), or if all that match are consistent and at least
     half of the words are no slots. Where they aren't, a run of twice ``min_run`` words that is consistent by itself
     is enough: a shorter one may well be chance. Items with equal texts count once, under their smallest item_id; an item
-    of fewer than ``window`` words is looked for as a whole. Null and empty texts match nothing; repeated rows give one pair; null
+    of fewer than ``window`` words is looked for as a whole, and one of fewer than ``MIN_WORDS`` only where it is a whole line
+    or sentence, as such a word is in many texts. Null and empty texts match nothing; repeated rows give one pair; null
     ids are returned as they are. Other columns are not read.
 
-    Documents pass a filter of fixed size made from the benchmark's words, and their windows one made from its
-    windows; only what may match is joined, and Spark splits a hot window. The filters may let too much through, never
-    too little. Stores the benchmark's windows in the shared folder.
+    Documents pass a filter made from the benchmark's neighbouring words before they are marked, and their windows one
+    made from its windows; only what may match is joined, and Spark splits a hot window. The filters grow with the
+    benchmark up to ``MOST_BITS`` and may let too much through, never too little. Stores the benchmark's windows in the
+    shared folder.
     """
-    hits = _hits(docs, benchmark, window, min_run, filter_bits)
+    hits = _hits(docs, benchmark, window, min_run)
     return hits.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("same").alias("same_values")
     )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document holds a benchmark item; all other columns are kept."""
-    hits = _hits(docs.select("doc_id", "text"), benchmark, WINDOW, MIN_RUN, FILTER_BITS)
-    hits = materialize(hits.select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hit_hash")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hit_hash"))
-    return docs.join(hits, same, "left_anti")
+    """``docs`` without the rows whose document holds a benchmark item; all other columns are kept, whatever their names."""
+    hits = _hits(docs.select("doc_id", "text"), benchmark, WINDOW, MIN_RUN)
+    hits = hits.select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("hit")).distinct()
+    hits = materialize(hits, "contaminated").select("hit.doc_id", "hit.text_hash")
+    row = packed(docs)
+    same = row["row.doc_id"].eqNullSafe(hits["doc_id"]) & (F.xxhash64(row["row.text"].cast("string")) == hits["text_hash"])
+    return unpacked(row.join(hits, same, "left_anti"))
