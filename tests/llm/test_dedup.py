@@ -88,6 +88,22 @@ def test_null_and_repeated_ids_stand_for_no_other_document(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, d), (2, e)])
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rng = random.Random(3)
+    names = ["_hash", "_kept", "_kept_hash", "_hit", "_hit_hash", "_row", "row", "text_hash", "hit", "a.b", "copies", "slice", "ta`rget"]
+    docs = frame(spark, [(i, prose(rng, 40)) for i in range(12)] + [(20, "one two three")] * 2)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    from venuematch.llm import decontam, mixing
+
+    item = spark.createDataFrame([(1, docs.filter("doc_id = 5").first()["text"])], "item_id long, text string")
+    for stage in (simhash.one_of_each, lambda d: decontam.without_benchmark(d, item), mixing.mix):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[name] == name for r in rows for name in names)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -58,6 +58,65 @@ def test_a_mix_comes_near_its_targets(spark):
     assert {(r["doc_id"], r["source"]): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()} == {k: n for k, n in copies.items() if n}
 
 
+def plain_copies(spark, docs):
+    """Copies of each (doc_id, text, source), by ranking all documents of a source at once."""
+    sizes = mixing._sized(docs, "text").cache()
+    plan = mixing.mix_plan(docs).cache()
+    drawn = mixing._drawn(sizes, plan.drop("cut", "last_row"), mixing.SEED).collect()
+    found = Counter()
+    for source in {r["source"] for r in drawn}:
+        own = [r for r in drawn if r["source"] == source]
+        ranked = [r for r in own if r["rank"] is not None]
+        ranked.sort(key=lambda r: (r["rank"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"] is not None, r["text_hash"] or 0, r["row"]))
+        before, extra = 0, set()
+        for r in ranked:
+            if before + r["size"] / 2 > own[0]["rest"]:
+                break
+            extra.add(r["row"])
+            before += r["size"]
+        for r in own:
+            found[r["doc_id"], r["text"], source, (r["certain"] if r["size"] else 0) + (r["row"] in extra)] += 1
+    return found
+
+
+def test_the_lowest_ranks_are_taken(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 90)), rng.choice(["a", "a", "b", "c", None])) for i in range(500)]
+    rows += [(None, prose(rng, 12), "a") for _ in range(60)] + [(7, "same words in here", "b")] * 150 + [(None, None, "c"), (3, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    want = plain_copies(spark, docs)
+    got = mixing.mix(docs).groupBy("doc_id", "text", "source").count().collect()
+    total = Counter()
+    for (doc_id, text, source, copies), n in want.items():
+        total[doc_id, text, source] += copies * n
+    assert {(r["doc_id"], r["text"], r["source"]): r["count"] for r in got} == {k: n for k, n in total.items() if n}
+    assert Counter(r["copies"] for r in mixing.mixed(docs).collect()) == Counter(c for *_, c in want.elements())
+
+
+@pytest.mark.parametrize("ids", [[None], [1, 2], [4]])
+def test_equal_and_missing_ids_come_near_their_targets(spark, ids):
+    rng = random.Random(5)
+    different = [(ids[i % len(ids)], prose(rng, 10), "abc"[i % 3]) for i in range(120)]
+    equal = [(ids[0], "ten words that are the same in all rows here", "abc"[i % 3]) for i in range(120)]
+    for rows in (different, equal):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        taken, targets = Counter(), {}
+        for r in mixing.mixed(docs).collect():
+            taken[r["source"]] += r["taken"]
+            targets[r["source"]] = r["target"]
+        assert all(abs(taken[s] - targets[s]) <= 5 for s in targets) and len(set(targets.values())) == 3
+        again = Counter(r["source"] for r in mixing.mix(docs).collect())
+        assert {s: 10 * n for s, n in again.items()} == dict(taken)
+
+
+def test_longer_documents_have_better_odds(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 400 if i % 2 else 40), "a" if i % 5 else "b") for i in range(1500)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    mean = lambda size: np.mean([r["copies"] for r in got if r["size"] == size and r["source"] == "a"])
+    assert mean(400) > mean(40) + 0.05
+
+
 def test_word_counts_and_empty_mix(spark):
     got = {r["doc_id"]: r["size"] for r in mixing.mixed(frame(spark)).collect()}
     assert got == {d: len(WORD.findall(t or "")) for d, t in texts()}

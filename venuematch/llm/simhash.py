@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from venuematch.llm.components import connected_components
+from venuematch.llm.rows import packed, unpacked
 from venuematch.llm.shipping import workers_ready
 from venuematch.storage import materialize
 
@@ -280,7 +281,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     """
     prints = materialize(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     kept = _rooted(prints, max_bits).groupBy("root").agg(F.min("first").alias("first"))
-    kept = materialize(kept.select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash")), "kept")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    kept = materialize(kept.select("first.doc_id", "first.text_hash"), "kept")
+    rows = packed(docs).select(
+        "row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash")
+    )
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
+    return unpacked(rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
