@@ -286,6 +286,10 @@ ORACLES = {
         CASE WHEN raw_response IS NULL THEN 'parse' WHEN error = 'LLMParseError' THEN 'parse' WHEN error = 'Exception' THEN 'rank' END AS reply_error
         FROM reply_state"""),
     # envelopes
+    "resumed_replies": using("responses", """SELECT pref_id, raw_response, CASE WHEN pref_id % 2 = 0
+          THEN (SELECT count(*) FROM responses WHERE pref_id % 2 = 0)
+          ELSE (SELECT count(*) FROM responses WHERE pref_id % 2 = 1 OR error_type IS NOT NULL) END AS asked
+        FROM responses WHERE error_type IS NULL"""),
     "recommend_batch": using("answers", """SELECT pref_id, status, message,
         CASE WHEN status IN ('success', 'partial') THEN reply_summary END AS summary,
         CASE WHEN status IN ('success', 'partial') THEN n_known ELSE 0 END AS n_recommendations,

@@ -405,6 +405,29 @@ def reconcile(spark, sf_dir):
     )
 
 
+def resumed_replies(spark, sf_dir):
+    """Two runs of a ranker that remembers; ``asked`` is the number of prompts that reached it in the run of a row.
+
+    The first run has the even preferences, and the second all; a prompt says whose it is, so all differ.
+    """
+    store, asked = scratch_path(spark, "remembered"), []
+    replies = materialize(responses(spark, sf_dir), "replies")
+    prompts_ = replies.select("pref_id", F.lit("").alias("system"), F.concat(F.lit("for "), "pref_id").alias("prompt"))
+
+    def counting(open_prompts):
+        seen = materialize(open_prompts, "seen")
+        asked[-1] += seen.count()
+        return recommend.stored_ranker(replies)(seen)
+
+    ranker = recommend.resumable_ranker(counting, store, batches=3)
+    for part in (prompts_.where("pref_id % 2 = 0"), prompts_):
+        asked.append(0)
+        answered = ranker(part)
+    run = F.when(F.col("pref_id") % 2 == 0, 0).otherwise(1)
+    numbers = F.when(run == 0, asked[0]).otherwise(asked[1]).cast("bigint")
+    return answered.where("error_type is null").select("pref_id", "raw_response", numbers.alias("asked"))
+
+
 def recommend_batch(spark, sf_dir):
     """The whole job, with a ranker that looks stored replies up."""
     stored = responses(spark, sf_dir)
@@ -503,6 +526,7 @@ QUERIES: dict[str, Query] = {
     "unknown_ids": unknown_ids,
     "rerank": rerank,
     "reconcile": reconcile,
+    "resumed_replies": resumed_replies,
     "recommend_batch": recommend_batch,
     "error_envelope": error_envelope,
     "result_metadata": result_metadata,

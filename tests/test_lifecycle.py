@@ -25,6 +25,7 @@ from venuematch.operators.preferences import check_preferences, valid_preference
 from venuematch.operators.replies import reconcile_replies
 from venuematch.operators.single import top_candidates
 from venuematch.plans.catalog import data_summary, open_catalog
+from venuematch.plans.recommend import resumable_ranker
 from venuematch.sources import exports, snapshot
 from venuematch.sources.listings import read_listings
 from venuematch.storage import materialize, scratch_folder, shared_dir
@@ -140,3 +141,32 @@ def test_missing_snapshot_and_odd_caps_are_named(spark, tmp_path, caplog):
 def test_summary_names_cities_and_first_rows(spark):
     row = data_summary(samples.catalog(spark, samples.VENUES), spark.range(1), "bengaluru", 2).first()
     assert (row.total, row.n_cities, row.cities, row.in_city, row.sample_names) == (6, 2, ["Bangalore", "Delhi"], 4, ["Salt Harbour", "Old Clay Oven"])
+
+
+REPLIES = "pref_id long, raw_response string, error_type string, error_message string, latency_ms double"
+
+
+def test_a_ranker_that_fails_is_asked_for_the_rest_only(spark, tmp_path):
+    rows = [(i, "be kind", f"prompt {i % 20}") for i in range(40)] + [(50, "be", " kindprompt 1"), (51, "", "odd")]
+    prompts, asked = spark.createDataFrame(rows, "pref_id long, system string, prompt string"), []
+
+    def ranker(open_prompts, dies_after=None):
+        found = open_prompts.collect()
+        asked.append([(r.system, r.prompt) for r in found])
+        if dies_after is not None and len(asked) > dies_after:
+            raise ConnectionError
+        return spark.createDataFrame([(r.pref_id, f"re {r.prompt}", "Timeout" if r.prompt == "odd" else None, None, 1.5) for r in found], REPLIES)
+
+    store = str(tmp_path / "replies")
+    with pytest.raises(ConnectionError):
+        resumable_ranker(lambda p: ranker(p, 2), store, batches=4)(prompts).collect()
+    kept = {x for batch in asked[:2] for x in batch if x[1] != "odd"}
+    asked.clear()
+    got = resumable_ranker(ranker, store, batches=4)(prompts).collect()
+    again = [x for batch in asked for x in batch]
+    assert len(again) == len(set(again)) and not kept & set(again) and kept | set(again) == {(s, p) for _, s, p in rows}
+    assert sorted((r.pref_id, r.raw_response) for r in got) == sorted((i, f"re {p}") for i, _, p in rows)
+    assert set(got[0].asDict()) == {"pref_id", "raw_response", "error_type", "error_message", "latency_ms"}
+    asked.clear()
+    assert len(resumable_ranker(ranker, store)(prompts).collect()) == len(rows) and asked == [[("", "odd")]]
+    assert resumable_ranker(ranker, str(tmp_path / "none"))(prompts.limit(0)).count() == 0
