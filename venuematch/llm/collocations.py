@@ -172,18 +172,37 @@ def _routes(leaves: np.ndarray, heavy: list[np.ndarray]) -> tuple[list[np.ndarra
     return routes, depth
 
 
+def _may_be_heavy(leaves: np.ndarray, heavy: list[np.ndarray]) -> np.ndarray:
+    """Whether a prefix one word longer than the last heavy level may be heavy: so are both its shorter parts.
+
+    No word at its end counts as one that is.
+    """
+    depth = len(heavy) + 1
+    _, own = _routes(leaves[:depth], heavy)
+    later = _held(leaves[1], heavy[0])
+    route = leaves[1]
+    for level in range(1, depth - 1):
+        route = _next_route(route, leaves[level + 1])
+        later &= _held(route, heavy[level])
+    return (own == depth) & (later | (leaves[depth - 1] == 0))
+
+
 def _prefix_counts(texts: DataFrame, seed: int, longest: int, heavy: list[np.ndarray]) -> DataFrame:
-    """(route, names, n) of the prefixes that are one word longer than those of the last heavy level."""
+    """(route, names, n) of the prefixes one word longer than those of the last heavy level that may be heavy, too."""
     depth = len(heavy) + 1
     ddl = ", ".join(f"k{i + 1} long" for i in range(depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share in _shares(batches, seed, longest):
             for leaves, counts in share.suffixes():
-                routes, own = _routes(leaves, heavy)
-                kept = own == depth
+                kept = _may_be_heavy(leaves, heavy)
+                leaves, counts = leaves[:depth, kept], counts[kept]
+                # Leaves are in order, so equal prefixes stand together.
+                first = np.flatnonzero(np.concatenate([[True], (leaves[:, 1:] != leaves[:, :-1]).any(axis=0)])[: len(counts)])
+                totals = np.add.reduceat(counts, first) if len(first) else counts
+                routes, _ = _routes(leaves[:, first], heavy)
                 yield pa.record_batch(
-                    [pa.array(x[kept].view(np.int64)) for x in (routes[depth - 1], *leaves[:depth])] + [pa.array(counts[kept])],
+                    [pa.array(x.view(np.int64)) for x in (routes[-1], *leaves[:, first])] + [pa.array(totals)],
                     ["route", *(f"k{i + 1}" for i in range(depth)), "n"],
                 )
 
@@ -198,9 +217,11 @@ def _group(route, groups: int):
 
 
 def _partitioned(texts: DataFrame, words: DataFrame, seed: int, longest: int, budget: int) -> tuple[list[np.ndarray], list[DataFrame], int]:
-    """The heavy prefixes by length, the counts of the prefixes that took their place, and the number of groups.
+    """The heavy prefixes by length, the counts of those that may be heavy from two words on, and the number of groups.
 
-    Heavy prefixes are collected; there are at most ``HEAVY_SHARE / budget`` of them for each word of the texts and length.
+    A prefix of more suffixes than its share of the budget is heavy. These are collected; there are at most
+    ``HEAVY_SHARE / budget`` of them for each word of the texts and length. All other prefixes are light, and the hash
+    gives groups of half the budget on average; the number of groups is doubled while those of single words pass it.
     """
     limit = budget // HEAVY_SHARE
     heavy, counted = [], []
@@ -214,7 +235,6 @@ def _partitioned(texts: DataFrame, words: DataFrame, seed: int, longest: int, bu
         if len(heavy) < longest - 1:
             level = materialize(_prefix_counts(texts, seed, longest, heavy), "prefixes")
             counted.append(level)
-            loads = loads.union(level.filter(F.col("n") <= limit).select("route", "n"))
     total = words.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-2 * total // budget))
     while (loads.groupBy(_group(F.col("route"), groups)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > budget:
