@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from venuematch.llm import decontam, mixing, quality, simhash, tokenfile
 from venuematch.llm.queries import BYTE_BPE, table
-from venuematch.storage import scratch_path
+from venuematch.storage import remove, scratch_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each written to the shared folder and read again.
+
+    A stage's folder is removed when the next one is written; the last one stays.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
