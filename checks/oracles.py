@@ -167,6 +167,8 @@ ORACLES = {
     "json_sample": using("catalog", f"SELECT {CARD} FROM catalog ORDER BY first_index LIMIT 100"),
     "export_preview": using("catalog", """SELECT 'csv' AS format, count(*) AS n FROM catalog UNION ALL
         SELECT 'parquet', count(*) FROM catalog UNION ALL SELECT 'json', least(count(*), 100) FROM catalog"""),
+    "merged_catalog": using("catalog", f"SELECT {CARD}, first_index AS position FROM catalog"),
+    "merged_counters": using("annotated", f"SELECT {QUALITY}"),
     "snapshot": using("catalog", f"SELECT {CARD} FROM catalog"),
     "snapshot_stats": using("annotated", f"SELECT {QUALITY}"),
     "seed_repair": using("catalog", f"SELECT {CARD} FROM catalog"),

@@ -122,6 +122,20 @@ def replaced_snapshot(spark, sf_dir):
     return _cards(snapshot.read_snapshot(spark, root)).withColumn("n_stored", F.lit(stats))
 
 
+def merged_root(spark: SparkSession, sf_dir: str) -> str:
+    """A catalog of the listings with odd positions, to which the others are added in two parts."""
+
+    def build() -> str:
+        root = scratch_path(spark, "merged")
+        rows = inputs.listings(spark, sf_dir)
+        catalog_plan.store_catalog(rows.where("row_index % 2 = 1"), root)
+        for part in ("row_index % 4 = 2", "row_index % 4 = 0"):
+            catalog_plan.add_listings(rows.where(part), root)
+        return root
+
+    return _shared("merged", spark, sf_dir, build)
+
+
 def csv_export(spark, sf_dir):
     path = exports.write_csv(catalog(spark, sf_dir), scratch_path(spark, "csv"))
     return exports.read_csv_export(spark, path)
@@ -460,6 +474,10 @@ QUERIES: dict[str, Query] = {
     "scan_positions": scan_positions,
     "text_positions": text_positions,
     "replaced_snapshot": replaced_snapshot,
+    "merged_catalog": lambda spark, sf_dir: snapshot.read_snapshot(spark, merged_root(spark, sf_dir)).select(
+        *CATALOG_COLUMNS, "position"
+    ),
+    "merged_counters": lambda spark, sf_dir: snapshot.read_snapshot_stats(spark, merged_root(spark, sf_dir)),
     "csv_export": csv_export,
     "parquet_export": parquet_export,
     "json_sample": json_sample,

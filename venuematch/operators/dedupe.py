@@ -25,21 +25,36 @@ def dedupe_listings(clean: DataFrame) -> DataFrame:
     ``max_by`` is aggregated on the map side, so a key that owns a third of all rows still sends only one
     row per map task through the single shuffle. ``position`` is the first appearance of the venue, which
     is its place in catalog order even when a later duplicate replaces the row; ``n_rows`` and
-    ``n_defaulted`` let the counters be read off the result.
+    ``n_defaulted`` let the counters be read off the result. With ``best_index``, where the kept row
+    stands, two results for different listings can be merged.
     """
+    return merge_venues(
+        clean.select(
+            *CATALOG_COLUMNS,
+            *MATCH_KEYS,
+            F.col("row_index").alias("position"),
+            F.lit(1).cast("bigint").alias("n_rows"),
+            F.col("city_defaulted").cast("bigint").alias("n_defaulted"),
+            F.col("row_index").alias("best_index"),
+        )
+    )
+
+
+def merge_venues(parts: DataFrame) -> DataFrame:
+    """One row per venue from results of :func:`dedupe_listings` for different listings, in any order."""
     best = F.max_by(
-        F.struct(*CATALOG_COLUMNS),
-        F.struct(F.coalesce("rating", F.lit(0.0)), -F.col("row_index")),
+        F.struct(*CATALOG_COLUMNS, "best_index"),
+        F.struct(F.coalesce("rating", F.lit(0.0)), -F.col("best_index")),
     )
     return (
-        clean.groupBy(*MATCH_KEYS)
+        parts.groupBy(*MATCH_KEYS)
         .agg(
             best.alias("best"),
-            F.min("row_index").alias("position"),
-            F.count("*").alias("n_rows"),
-            F.count_if("city_defaulted").alias("n_defaulted"),
+            F.min("position").alias("position"),
+            F.sum("n_rows").alias("n_rows"),
+            F.sum("n_defaulted").alias("n_defaulted"),
         )
-        .select("best.*", *MATCH_KEYS, "position", "n_rows", "n_defaulted")
+        .select(*[f"best.{c}" for c in CATALOG_COLUMNS], *MATCH_KEYS, "position", "n_rows", "n_defaulted", "best.best_index")
     )
 
 
@@ -92,3 +107,18 @@ def catalog_counters(catalog: DataFrame, raw: DataFrame) -> DataFrame:
             F.count("*").alias("output_rows"),
         )
     )
+
+
+def counters_after(stats: DataFrame, added: DataFrame, raw: DataFrame, n_fresh: int) -> DataFrame:
+    """The stored counter row brought up to date with ``added``, the venues of the listings ``raw``, of which
+    ``n_fresh`` were not stored before. Reads the added listings only."""
+    unnamed = map_raw_columns(raw).where(blank_to_null(F.col("name")).isNull())
+    sums = added.agg(_sum(F.col("n_rows")).alias("rows"), _sum(F.col("n_defaulted")).alias("defaulted"))
+    return _report(
+        stats.select(
+            (F.col("rows_normalized") + sums.select("rows").scalar()).alias("rows_normalized"),
+            (F.col("dropped_missing_name") + unnamed.agg(F.count("*")).scalar()).alias("dropped_missing_name"),
+            (F.col("defaulted_city") + sums.select("defaulted").scalar()).alias("defaulted_city"),
+            (F.col("output_rows") + F.lit(n_fresh)).alias("output_rows"),
+        )
+    )

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuematch.config import DEFAULTS, SUCCESS_RATE_FLOOR, Settings
-from venuematch.operators.dedupe import catalog_counters, dedupe_listings
+from venuematch.operators.dedupe import catalog_counters, counters_after, dedupe_listings, merge_venues
 from venuematch.operators.facets import by_city, city_list
-from venuematch.operators.normalize import normalize_listings
+from venuematch.operators.normalize import MATCH_KEYS, normalize_listings
 from venuematch.sources import exports, snapshot
 from venuematch.sources.listings import ListingsError, require_rows
 from venuematch.storage import scratch_path
@@ -23,7 +23,9 @@ def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return dedupe_listings(normalize_listings(raw, settings))
 
 
-def store_catalog(raw: DataFrame, root: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def store_catalog(
+    raw: DataFrame, root: str | None = None, settings: Settings = DEFAULTS, batch: tuple[str, int] | None = None
+) -> DataFrame:
     """Build, check and snapshot the catalog; returns the stored table.
 
     No listings, or none with a name, is an error; a low share of normalised rows is only logged. An error leaves the
@@ -38,13 +40,49 @@ def store_catalog(raw: DataFrame, root: str | None = None, settings: Settings =
             raise ListingsError("no listing is left after normalisation")
         return catalog_counters(stored, raw)
 
-    snapshot.replace_snapshot(build_catalog(raw, settings), counted, root)
+    snapshot.replace_snapshot(build_catalog(raw, settings), counted, root, batch=batch)
     rate = snapshot.read_snapshot_stats(spark, root).first()["success_rate"]
     if rate < SUCCESS_RATE_FLOOR:
         logger.warning("only %.1f%% of the listings could be normalised", rate * 100)
     return snapshot.read_snapshot(spark, root)
 
 
+def add_listings(
+    raw: DataFrame,
+    root: str,
+    settings: Settings = DEFAULTS,
+    continued: bool = False,
+    batch: tuple[str, int] | None = None,
+) -> DataFrame:
+    """Bring further listings into the stored catalog and its counters; returns the stored table.
+
+    The result is that of one build from all listings, in whatever parts and order they come. ``continued`` counts the
+    positions on from the listings that are stored; otherwise they are those of the listings among all. ``batch`` is the
+    name of a stream and the number of its batch: one that is stored already changes nothing. Only files that hold a
+    venue of these listings are written again. Without a stored catalog the listings are the first.
+    """
+    spark = raw.sparkSession
+    if batch is not None and batch[1] <= snapshot.merged_batch(spark, root, batch[0]):
+        return snapshot.read_snapshot(spark, root)
+    stored = snapshot.read_snapshot(spark, root)
+    if stored is None:
+        return store_catalog(raw, root, settings, batch)
+    stats = snapshot.read_snapshot_stats(spark, root)
+    if stats is None or "best_index" not in stored.columns:
+        raise ListingsError("the stored catalog has no counters or an earlier layout; build it again")
+    if continued:
+        raw = raw.withColumn("row_index", F.col("row_index") + F.lit(stats.first()["input_rows"]))
+    snapshot.merge_snapshot(
+        build_catalog(raw, settings),
+        MATCH_KEYS,
+        merge_venues,
+        lambda before, added, n_fresh: counters_after(before, added, raw, n_fresh),
+        root,
+        batch=batch,
+    )
+    return snapshot.read_snapshot(spark, root)
+
+
 def open_catalog(
     spark: SparkSession,
     read_raw: Callable[[], DataFrame],

@@ -1,4 +1,4 @@
-"""Row normalisation on a stream: the same stateless projection as the batch job."""
+"""Listings that keep coming: the stateless normalisation of the batch job, and a catalog that is kept up."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from venuematch import schemas
 from venuematch.config import DEFAULTS, Settings
 from venuematch.operators.normalize import normalize_listings
+from venuematch.plans.catalog import add_listings
 
 
 def read_listing_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -28,3 +29,21 @@ def write_clean_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def merge_listing_stream(
+    raw: DataFrame, root: str, checkpoint: str, name: str = "listings", settings: Settings = DEFAULTS
+) -> StreamingQuery:
+    """Bring everything that is there into the stored catalog, then stop. A batch that is run again after a failure is
+    not counted twice, because the stored catalog names the last batch in it."""
+
+    def merge(rows: DataFrame, number: int) -> None:
+        if not rows.isEmpty():
+            add_listings(rows, root, settings, batch=(name, number))
+
+    return (
+        raw.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
