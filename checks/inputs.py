@@ -57,7 +57,7 @@ FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 # Replies built from the first four candidates; the remainder of pref_id picks the kind of reply.
 RESPONSES = """
 SELECT pref_id,
-  CASE WHEN kind < 16 THEN
+  CASE WHEN kind < 16 OR kind > 20 THEN
     CASE kind
     WHEN 0 THEN concat('{{"summary":" Top picks ","recommendations":[{{"id":"', b, '","rank":2,"explanation":"Second"}},{{"id":"', a, '","rank":1,"explanation":" First "}}]}}')
     WHEN 1 THEN concat('```json ', '{{"summary":"Fenced","recommendations":[{{"id":"', a, '","rank":1}}]}}', ' ```')
@@ -74,6 +74,10 @@ SELECT pref_id,
     WHEN 12 THEN concat('{{"summary":[1],"recommendations":[{{"id":"', a, '","rank":true,"explanation":"  "}},{{"id":"', b, '","rank":2,"explanation":5}}]}}')
     WHEN 13 THEN concat('{{"recommendations":[{{"id":"', a, '","rank":3,"explanation":"again"}},{{"id":"', a, '","rank":3,"explanation":"once"}}]}}')
     WHEN 14 THEN concat('{{"recommendations":[{{"id":"', a, '","rank":1}}]}} Enjoy!')
+    WHEN 21 THEN concat('{{"summary":"NaN, -Infinity","recommendations":[{{"id":"', a, '","rank":NaN}},{{"id":NaN}},{{"id":"', b, '","rank":2,"x":[-Infinity,NaN]}},{{"id":-Infinity}}]}}')
+    WHEN 22 THEN concat('{{"recommendations":[{{"id":["', a, '",1,null,[true,{{"z":2,"b":"x"}}]]}},{{"id":{{"id":"', b, '"}}}},{{"id":[]}},{{"id":"', a, '"}}]}}')
+    WHEN 23 THEN concat('{{"summary":NaN,"recommendations":', CASE WHEN pref_id % 2 = 0 THEN 'Infinity' ELSE '[NaN]' END, '}}')
+    WHEN 24 THEN concat('{{"recommendations":[{{"id":"', a, '","rank":-NaN}}]}}')
     ELSE concat('[{{"id":"', a, '","rank":1}}]') END
   END AS raw_response,
   CASE kind WHEN 16 THEN 'LLMTimeoutError' WHEN 17 THEN 'LLMRateLimitError' WHEN 18 THEN 'LLMConfigurationError'
@@ -81,7 +85,7 @@ SELECT pref_id,
   CASE WHEN kind = 18 THEN 'no key configured' WHEN kind = 20 THEN 'connection reset' END AS error_message,
   CAST(pref_id AS DOUBLE) * 1.375 AS latency_ms
 FROM (
-  SELECT pref_id, CAST(pref_id % 21 AS INT) AS kind,
+  SELECT pref_id, CAST(pref_id % 25 AS INT) AS kind,
     max(CASE WHEN position = 1 THEN id END) AS a,
     coalesce(max(CASE WHEN position = 2 THEN id END), 'none') AS b,
     coalesce(max(CASE WHEN position = 3 THEN id END), 'none') AS c,

@@ -84,15 +84,20 @@ STEPS = {
     "responses": inputs.for_oracle(inputs.RESPONSES, candidates="ranked"),
     "unfenced": """SELECT *, trim(regexp_replace(regexp_replace(trim(raw_response), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', '')) AS body
       FROM responses""",
-    "documents_in": "SELECT *, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS doc FROM unfenced",
+    # Bare numbers that JSON lacks, as texts that no reply holds.
+    "readable": r"""SELECT * EXCLUDE (body), regexp_replace(regexp_replace(body, '([:,\[])NaN', '\1"~nan"', 'g'),
+        '([:,\[])(-?)Infinity', '\1"~\2inf"', 'g') AS body FROM unfenced""",
+    "documents_in": "SELECT *, TRY_CAST(CASE WHEN json_valid(body) AND NOT contains(body, ':-NaN') THEN body END AS JSON) AS doc FROM readable",
     "parsed_replies": """SELECT *, CASE WHEN doc IS NULL THEN 'not_json' WHEN json_type(doc) <> 'OBJECT' THEN 'not_object'
         WHEN coalesce(json_type(doc, '$.recommendations'), '') <> 'ARRAY' THEN 'no_list' END AS parse_error,
-      CASE WHEN json_type(doc, '$.summary') = 'VARCHAR' THEN nullif(trim(doc->>'$.summary'), '') END AS summary
+      CASE WHEN json_type(doc, '$.summary') = 'VARCHAR' THEN nullif(trim(CASE WHEN starts_with(doc->>'$.summary', '~') THEN '' ELSE doc->>'$.summary' END), '') END AS summary
       FROM documents_in""",
     "listed": """SELECT pref_id, CAST(idx AS INTEGER) AS item_position, json_extract(doc, '$.recommendations[' || idx || ']') AS item
       FROM (SELECT pref_id, doc, unnest(range(CAST(json_array_length(doc, '$.recommendations') AS BIGINT))) AS idx
         FROM parsed_replies WHERE parse_error IS NULL) u""",
-    "items": """SELECT pref_id, item_position, trim(item->>'$.id') AS id,
+    "items": """SELECT pref_id, item_position, CASE WHEN json_type(item, '$.id') IN ('ARRAY', 'OBJECT')
+        THEN replace(replace(replace(replace(replace(CAST(item->'$.id' AS VARCHAR), '"', chr(39)), 'true', 'True'), 'null', 'None'),
+          ':', ': '), ',', ', ') ELSE ltrim(trim(item->>'$.id'), '~') END AS id,
       coalesce(CASE json_type(item, '$.rank') WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(item->>'$.rank'), '[+-]?[0-9]+')
           THEN TRY_CAST(trim(item->>'$.rank') AS BIGINT) END
         WHEN 'BOOLEAN' THEN CASE WHEN item->>'$.rank' = 'true' THEN 1 ELSE 0 END
@@ -272,6 +277,18 @@ ORACLES = {
         string_agg(r.location, '|' ORDER BY r.position) AS card_location,
         CAST(least(5, count(*)) AS INTEGER) AS request_top_k
         FROM valid v JOIN ranked r USING (pref_id) GROUP BY ALL"""),
+    "prompt_text": using("ranked", """SELECT v.pref_id, sha256('{' || chr(10) || '  "preferences": {' || chr(10)
+        || '    "location": ' || to_json(v.location) || ',' || chr(10) || '    "budget": ' || to_json(v.budget) || ',' || chr(10)
+        || '    "cuisine": ' || to_json(v.cuisine) || ',' || chr(10) || '    "min_rating": ' || CAST(v.min_rating AS VARCHAR)
+        || coalesce(',' || chr(10) || '    "additional_preferences": ' || to_json(v.additional_preferences), '') || chr(10) || '  },' || chr(10)
+        || '  "candidates": [' || chr(10) || string_agg('    {' || chr(10) || '      "id": ' || to_json(r.id) || ',' || chr(10)
+          || '      "name": ' || to_json(r.name) || ',' || chr(10) || '      "cuisine": ' || to_json(r.cuisine) || ',' || chr(10)
+          || '      "rating": ' || coalesce(CAST(r.rating AS VARCHAR), '"N/A"') || ',' || chr(10)
+          || '      "cost_for_two": ' || coalesce(CAST(r.cost_for_two AS VARCHAR), '"N/A"') || ',' || chr(10)
+          || '      "location": ' || to_json(r.location) || chr(10) || '    }', ',' || chr(10) ORDER BY r.position)
+        || chr(10) || '  ],' || chr(10) || '  "request_top_k": ' || least(5, count(*)) || chr(10) || '}') AS prompt_sha256
+        FROM valid v JOIN ranked r USING (pref_id)
+        GROUP BY v.pref_id, v.location, v.budget, v.cuisine, v.min_rating, v.additional_preferences"""),
     "effective_top_k": using("ranked", """SELECT pref_id, CAST(greatest(1, least(5, count(*))) AS INTEGER) AS top_k
         FROM ranked GROUP BY pref_id"""),
     "system_text": using("ranked", f"""SELECT pref_id, replace('{SYSTEM_TEMPLATE.replace("'", "''")}', '%d',

@@ -373,6 +373,11 @@ def prompt_payload(spark, sf_dir):
     )
 
 
+def prompt_text(spark, sf_dir):
+    read = prompts.build_prompts(matched(spark, sf_dir))
+    return read.select("pref_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 def effective_top_k(spark, sf_dir):
     asked = prompts.effective_top_k(F.size("candidates"), 5)
     return matched(spark, sf_dir).where(F.col("returned") > 0).select("pref_id", asked.alias("top_k"))
@@ -536,6 +541,7 @@ QUERIES: dict[str, Query] = {
     "root_cause": root_cause,
     "filters_applied": filters_applied,
     "prompt_payload": prompt_payload,
+    "prompt_text": prompt_text,
     "effective_top_k": effective_top_k,
     "system_text": lambda spark, sf_dir: prompts.build_prompts(matched(spark, sf_dir)).select("pref_id", "system"),
     "strip_fences": strip_fences,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuematch.config import MISSING_RANK, MSG_DEFAULT_EXPLANATION, MSG_UNKNOWN_ID
+from venuematch.functions.python_text import MARKERS, NO_NUMBER, float_text, readable_json, value_text
 from venuematch.functions.text import blank_to_null, strip
 
 BIGGEST_RANK = 2**63 - 1
@@ -42,12 +43,15 @@ def _text_or_null(value: Column) -> Column:
     return F.when(_type(value) == "STRING", blank_to_null(value.try_cast("string")))
 
 
-def _id_text(value: Column) -> Column:
-    """``str()`` of a JSON scalar, stripped. A missing or null id is null."""
+def _id_text(value: Column, json_text: Column) -> Column:
+    """``str()`` of a JSON value, stripped; of a list or an object it is read off its text, in the order written there.
+    A missing or null id is null."""
     text = value.try_cast("string")
     kind = _type(value)
     return strip(
         F.when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind.rlike("^(ARRAY|OBJECT)"), value_text(json_text))
+        .when(kind == "DOUBLE", float_text(value.try_cast("double")))
         .when(kind.rlike(r"^DECIMAL\((1?[0-9]),0\)$"), F.concat(text, F.lit(".0")))
         .otherwise(text)
     )
@@ -63,7 +67,7 @@ def _rank_number(value: Column) -> Column:
     kind = _type(value)
     double = value.try_cast("double")
     number = (
-        F.when(F.abs(double) == float("inf"), 0)
+        F.when((F.abs(double) == float("inf")) | _field(value, NO_NUMBER).try_cast("string").isin("inf", "-inf"), 0)
         .when(double >= float(BIGGEST_RANK), BIGGEST_RANK)
         .when(double <= -float(BIGGEST_RANK), -BIGGEST_RANK)
         .otherwise(value.try_cast("bigint"))
@@ -97,7 +101,7 @@ def _rank_beyond(value: Column) -> Column:
 
 
 def _field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
+    return F.try_variant_get(value, f"$['{name}']", "variant")
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
@@ -106,22 +110,25 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     ``parse_error`` is ``not_json``, ``not_object``, ``no_list`` or null. Items without an id, among them
     everything that is not an object, are skipped; ``item_position`` still counts them.
     """
-    document = replies.withColumn("document", parse_strict(strip_fences(F.col("raw_response"))))
+    body = replies.withColumn("body", readable_json(strip_fences(F.col("raw_response"))))
+    document = body.withColumn("document", parse_strict(F.col("body")))
     opened = document.select(
         *replies.columns,
+        F.from_json("body", "recommendations ARRAY<STRING>")["recommendations"].alias("item_texts"),
         F.col("document").isNull().alias("is_broken"),
-        F.try_variant_get("document", "$", "map<string,variant>").isNotNull().alias("is_object"),
+        (F.try_variant_get("document", "$", "map<string,variant>").isNotNull() & ~F.col("body").isin(MARKERS)).alias("is_object"),
         _field(F.col("document"), "summary").alias("summary_value"),
         F.try_variant_get("document", "$.recommendations", "array<variant>").alias("listed"),
     )
+    # One array, so that the texts are read once and not for each item.
     items = F.transform(
-        "listed",
-        lambda item, at: F.struct(
+        F.arrays_zip(F.col("listed").alias("item"), F.col("item_texts").alias("text")),
+        lambda entry, at: F.struct(
             at.cast("int").alias("item_position"),
-            _id_text(_field(item, "id")).alias("id"),
-            _rank_number(_field(item, "rank")).alias("rank"),
-            _rank_beyond(_field(item, "rank")).alias("beyond"),
-            F.coalesce(_text_or_null(_field(item, "explanation")), F.lit(MSG_DEFAULT_EXPLANATION)).alias(
+            _id_text(_field(entry["item"], "id"), F.from_json(entry["text"], "id STRING")["id"]).alias("id"),
+            _rank_number(_field(entry["item"], "rank")).alias("rank"),
+            _rank_beyond(_field(entry["item"], "rank")).alias("beyond"),
+            F.coalesce(_text_or_null(_field(entry["item"], "explanation")), F.lit(MSG_DEFAULT_EXPLANATION)).alias(
                 "explanation"
             ),
         ),
@@ -133,7 +140,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         .when(F.col("listed").isNull(), "no_list")
         .alias("parse_error"),
         _text_or_null(F.col("summary_value")).alias("summary"),
-        F.filter(items, lambda item: item["id"].isNotNull()).alias("items"),
+        F.when(F.col("listed").isNotNull(), F.filter(items, lambda item: item["id"].isNotNull())).alias("items"),
     )
 
 
