@@ -12,8 +12,8 @@ from venuematch import schemas
 from venuematch.config import CATALOG_COLUMNS
 from venuematch.operators.normalize import normalize_listings
 from venuematch.plans.catalog import build_catalog, open_catalog
-from venuematch.sources import exports, snapshot
-from venuematch.sources.listings import read_listings
+from venuematch.sources import exports, listings as listing_source, snapshot
+from venuematch.sources.listings import ListingsError, read_listings, read_with_retries
 from venuematch.storage import modified_at
 from venuematch.streaming.listings import read_listing_stream, write_clean_stream
 
@@ -180,3 +180,41 @@ def test_rows_of_text_files_are_numbered_in_their_order(spark, tmp_path, fmt):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r["row_index"], r["name"], r["rate"]) for r in got) == [(i, f"v{i}", str(i)) for i in range(n)]
+
+
+def test_a_source_is_tried_again_only_when_it_fails(spark, tmp_path):
+    good, waits, asked = samples.listings(spark, [listing("A")]), [], []
+
+    def failing(times, then):
+        asked.clear(), waits.clear()
+
+        def read():
+            asked.append(1)
+            if len(asked) <= times:
+                # Read by the probe only: the folder is there when the frame is made, its file isn't a Parquet file.
+                (tmp_path / "broken").mkdir(exist_ok=True)
+                (tmp_path / "broken" / "part.parquet").write_text("no table")
+                return spark.read.schema(schemas.RAW).parquet(str(tmp_path / "broken")).withColumn("row_index", F.lit(0))
+            return then
+
+        return read
+
+    assert read_with_retries(failing(2, good), wait=waits.append).count() == 1
+    assert (len(asked), waits) == (3, [2.0, 4.0])
+    with pytest.raises(ListingsError, match="3 attempts"):
+        read_with_retries(failing(5, good), wait=waits.append)
+    assert (len(asked), waits) == (3, [2.0, 4.0])
+    with pytest.raises(ListingsError, match="no rows"):
+        read_with_retries(failing(0, good.limit(0)), wait=waits.append)
+    assert (len(asked), waits) == (1, [])
+    with pytest.raises(ListingsError):
+        read_with_retries(lambda: spark.read.parquet(str(tmp_path / "absent")), attempts=2, wait=waits.append)
+    assert waits == [2.0]
+
+
+def test_positions_without_a_broadcast_are_the_same(spark, tmp_path, monkeypatch):
+    for part in range(4):
+        spark.range(part * 5, part * 5 + 5, numPartitions=1).write.parquet(str(tmp_path / f"part={part}"))
+    monkeypatch.setattr(listing_source, "BROADCAST_FILES", 3)
+    rows = read_listings(spark, [str(tmp_path / f"part={part}") for part in range(4)]).collect()
+    assert sorted((r.row_index, r.id) for r in rows) == [(i, i) for i in range(20)]

@@ -12,7 +12,7 @@ from venuematch.operators.dedupe import catalog_counters, counters_after, dedupe
 from venuematch.operators.facets import by_city, city_list
 from venuematch.operators.normalize import MATCH_KEYS, normalize_listings
 from venuematch.sources import exports, snapshot
-from venuematch.sources.listings import ListingsError, require_rows
+from venuematch.sources.listings import ListingsError, read_with_retries, require_rows
 from venuematch.storage import scratch_path
 
 logger = logging.getLogger(__name__)
@@ -92,7 +92,8 @@ def open_catalog(
     force_reload: bool = False,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Snapshot, else seed file, else the raw source; ``force_reload`` goes straight to the raw source."""
+    """Snapshot, else seed file, else the raw source; ``force_reload`` goes straight to the raw source, which is tried
+    again when it fails to be read."""
     if not force_reload:
         stored = snapshot.read_snapshot(spark, root)
         if stored is not None:
@@ -102,7 +103,7 @@ def open_catalog(
         seeded = snapshot.read_clean_parquet(spark, seed) if seed else None
         if seeded is not None:
             return seeded
-    stored = store_catalog(read_raw(), root, settings)
+    stored = store_catalog(read_with_retries(read_raw), root, settings)
     if export_root:
         exports.refresh_exports(stored, export_root, snapshot.snapshot_time(spark, root))
     return stored

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from venuematch import schemas
 from venuematch.storage import materialize
 
-# A file's entry in the broadcast table of offsets is a hash of its path and a number, about 40 bytes in memory. This
-# many stay below 2 GB; a source of more files has to be merged into larger ones first.
-MAX_FILES = 50_000_000
+logger = logging.getLogger(__name__)
+
+# A file's entry in the table of offsets is a hash of its path and a number, about 40 bytes in memory. Up to this many,
+# 20 MB, are broadcast; a source of more files is joined with them the way that Spark chooses.
+BROADCAST_FILES = 500_000
 
 
 class ListingsError(Exception):
@@ -47,8 +53,8 @@ def with_positions(frame: DataFrame, names: list[str] | None = None) -> DataFram
     """Place in the file plus the number of rows in all files before it, as ``row_index``, with the named columns.
 
     The row counts come from a scan without columns and are stored, so that their number is known before
-    they are broadcast, whatever it is: listings are never moved for their position. The running sum goes over one
-    row per file. Files are told apart by a hash of their path, checked to be unique.
+    they are broadcast. Up to :data:`BROADCAST_FILES` files, listings are not moved for their position. The running sum
+    goes over one row per file. Files are told apart by a hash of their path, checked to be unique.
     """
     columns = [f"`{c}`" for c in names or frame.columns]
     path = F.col("_metadata.file_path").alias("file_path")
@@ -59,12 +65,10 @@ def with_positions(frame: DataFrame, names: list[str] | None = None) -> DataFram
     )
     offsets = materialize(skipped, "offsets")
     files, hashes = offsets.agg(F.count("*"), F.count_distinct("file")).first()
-    if files > MAX_FILES:
-        raise ListingsError(f"{files} files are more than the {MAX_FILES} whose offsets fit in memory")
     if hashes < files:
         raise ListingsError("two file paths have the same hash; rename one of the files")
     placed = frame.select(F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("in_file"), *columns)
-    return placed.join(F.broadcast(offsets), "file").select(
+    return placed.join(F.broadcast(offsets) if files <= BROADCAST_FILES else offsets, "file").select(
         (F.col("in_file") + F.col("skipped")).alias("row_index"), *columns
     )
 
@@ -110,3 +114,25 @@ def require_rows(frame: DataFrame, message: str) -> DataFrame:
     if frame.isEmpty():
         raise ListingsError(message)
     return frame
+
+
+def read_with_retries(
+    read: Callable[[], DataFrame], attempts: int = 3, wait: Callable[[float], object] = time.sleep
+) -> DataFrame:
+    """What ``read`` gives, once a job has found a row in it.
+
+    A source that can't be listed or read is tried again after 2, 4, ... seconds, and after the last attempt it is an
+    error. One that has no rows, or that ``read`` itself refuses, is an error at once.
+    """
+    if attempts < 1:
+        raise ValueError("attempts must be positive")
+    for attempt in range(1, attempts + 1):
+        try:
+            return require_rows(read(), "the source has no rows")
+        except ListingsError:
+            raise
+        except Exception as error:  # any kind of source may fail for a while in its own way
+            logger.warning("attempt %d of %d to read the source failed: %s", attempt, attempts, type(error).__name__)
+            if attempt == attempts:
+                raise ListingsError(f"the source could not be read in {attempts} attempts") from error
+        wait(2.0**attempt)
