@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,59 @@ def test_weights_are_learnt_from_marked_pages():
     assert all(model.extract(p).endswith("mid\ntail") for p in pages)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>Der Artikel ist kurz.</p></article><div class='kommentare'><p>{long}</p></div>", "Der Artikel ist kurz."),
+    ("<article><p>Der Artikel ist kurz.</p></article><div class='xyz'><p>{long}</p></div>", "Der Artikel ist kurz."),
+    ("<main><article><p>First one.</p></article><article><p>Second one.</p></article></main><p>{long}", "First one.\nSecond one."),
+    ("<main><h1>Head</h1><article><p>A b c d.</p></article><div class=x1><p>e f</p></div></main>", "Head\nA b c d."),
+    ("<article><p>One.</p><section class='social'><p>On social policy.</p></section><p class='alert'>Read this.</p><p>Two.</p></article>", "One.\nOn social policy.\nRead this.\nTwo."),
+    ("<article><p>One.</p><div class='ad-box'>{long}</div><p>Two.</p><section id=comments>{long}</section></article>", "One.\nTwo."),
+    ("<div role=main><p>One two.</p></div><div><p>{long}</p></div>", "One two."),
+    ("<article><ul><li class=share>a<li>b</ul><p class=newsletter>c<p>d<table><tr><td class=ads>e<td>f<tr><td>g</table></article>", "b\nd\nf\ng"),
+    ("<article><p title='a > b'>One</p><!-- <p>no --><p>t&wo;&nbsp;&amp;  3</p></article>", "One\nt&wo; & 3"),
+    ("<article>" + "<img src=x><span></span>" * 40 + "<p>One.</p>" + "<img src=x>" * 200 + "<p>Two.</p></article>", "One.\nTwo."),
+])
+def test_the_marked_main_element_is_taken_whole(page, want):
+    assert maintext.START.extract(page.replace("{long}", "many more words than that " * 20)) == want
+
+
+@pytest.mark.parametrize("odd", ["<nav><p>word here", "<div class=ad>", "<a ", "<a '", '<a ">" ', "<![CDATA[", "<title>x", "<li><ul>", "<p><b> ", "<form><p>a b", "<svg ", "x<", "<main>"])
+def test_odd_pages_take_time_in_proportion(odd):
+    def seconds(n):
+        began = time.process_time()
+        assert isinstance(maintext.START.extract(odd * n), str)
+        return time.process_time() - began
+
+    # Sixteen times the page would take 256 times as long if places were searched again.
+    assert seconds(16 * 1500) < 80 * max(0.01, min(seconds(1500) for _ in range(3)))
+
+
+def test_the_scan_finds_the_greatest_sum():
+    rng = random.Random(4)
+    for _ in range(300):
+        tokens = [(k, rng.randrange(1, 4) if "word" in k else 0) for k in rng.choices(["word", "link word", "p", "div", "q7"], k=rng.randrange(0, 14))]
+        within = None
+        if rng.random() < 0.5:
+            within = tuple(sorted(rng.randrange(0, len(tokens) + 1) for _ in range(2)))
+        start, stop = within or (0, len(tokens))
+        one = lambda t: maintext.START.weight(t) if t[1] or within is None else 0.0
+        total = lambda a, b: sum(one(t) for t in tokens[a:b])
+        first, end = maintext.START.region(tokens, within)
+        best = max((total(a, b) for a in range(start, stop + 1) for b in range(a, stop + 1)), default=0)
+        assert start <= first <= end <= stop and abs(total(first, end) - best) < 1e-9
+
+
+def test_what_class_words_say_is_learnt():
+    box = "<div class='teaser-box'><p>other things</p></div>"
+    marked = [f"<body>{box}<article><h2 class='social'>On</h2><p>{'good ' * n}</p></article>{box}</body>" for n in range(20, 60)]
+    page = f"<body>{box}<div><h2 class='social'>On</h2><p>{'good ' * 9}</p></div>{box}</body>"
+    model = maintext.learnt(marked)
+    assert model.extract(page) == "On\n" + ("good " * 9).strip()
+    assert maintext.START.extract(page) != model.extract(page)
+    # In a marked main element nothing is passed over for a word that was learnt.
+    assert model.extract(f"<article><p>One.</p>{box}</article>") == "One.\nother things"
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", ARTICLE, "t"), (1, "u", ARTICLE, "t"), (2, None, None, "t"), (None, "v", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
