@@ -54,6 +54,26 @@ SELECT c.c_custkey AS pref_id,
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
+# Addresses that name suppliers, nations and regions, and the dictionary of those names. A third names a supplier.
+ADDRESSES = """
+SELECT o.o_orderkey AS row_index,
+  CASE WHEN o.o_orderkey % 11 = 0 THEN NULL WHEN o.o_orderkey % 7 = 0 THEN concat('Plot ', CAST(o.o_orderkey AS STRING))
+       WHEN o.o_orderkey % 3 = 0 THEN concat('Unit of ', coalesce(lower(s.s_name), 'nobody'), '5 House, ', n.n_name)
+       WHEN o.o_orderkey % 5 = 0 THEN concat(CAST(o.o_orderkey % 90 AS STRING), ' Main Road', r.r_name)
+       ELSE concat('No. ', CAST(o.o_orderkey % 40 AS STRING), ', ', r.r_name, ' Street, ', lower(n.n_name)) END AS address
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+  JOIN {region} r ON n.n_regionkey = r.r_regionkey LEFT JOIN {supplier} s ON s.s_suppkey * 15 = o.o_custkey - o.o_custkey % 15
+"""
+
+PLACES = """
+SELECT n_name AS name, concat('nation ', CAST(n_nationkey AS STRING)) AS place, n_nationkey + 100 AS position FROM {nation}
+UNION ALL SELECT r_name, concat('region ', CAST(r_regionkey AS STRING)), r_regionkey FROM {region}
+UNION ALL SELECT s_name, concat('seller ', CAST(s_suppkey AS STRING)), s_suppkey + 1000 FROM {supplier}
+UNION ALL SELECT upper(n_name), 'twice', n_nationkey + 200 FROM {nation}
+"""
+
+PLACE_TABLES = ["orders", "customer", "nation", "region", "supplier"]
+
 # Replies built from the first four candidates; the remainder of pref_id picks the kind of reply.
 RESPONSES = """
 SELECT pref_id,
@@ -109,6 +129,12 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PREFERENCES, **{name: table(spark, sf_dir, name) for name in names})
 
 
+def addresses_and_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tables = {name: table(spark, sf_dir, name) for name in PLACE_TABLES}
+    dictionary = {name: tables[name] for name in ["nation", "region", "supplier"]}
+    return spark.sql(ADDRESSES, **tables), spark.sql(PLACES, **dictionary)
+
+
 def responses(candidates: DataFrame) -> DataFrame:
     return candidates.sparkSession.sql(RESPONSES, candidates=candidates)
 

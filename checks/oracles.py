@@ -10,6 +10,7 @@ from checks import inputs
 from venuematch.operators.prompts import SYSTEM_TEMPLATE
 
 TABLES = {name: name for name in ["orders", "customer", "nation"]}
+PLACE_TABLES = {name: name for name in inputs.PLACE_TABLES}
 
 
 def alias(key: str, fallback: str) -> str:
@@ -184,6 +185,10 @@ ORACLES = {
     "parse_rating": using("annotated", "SELECT row_index, rating FROM annotated"),
     "parse_cost": using("annotated", "SELECT row_index, cost_for_two FROM annotated"),
     "extract_city": using("parsed", "SELECT row_index, found_city AS city FROM parsed"),
+    "find_places": f"""WITH a AS ({inputs.for_oracle(inputs.ADDRESSES, **PLACE_TABLES)}), d AS ({inputs.for_oracle(inputs.PLACES, **PLACE_TABLES)})
+        SELECT row_index, address, place FROM (SELECT row_index, address, place,
+            row_number() OVER (PARTITION BY row_index ORDER BY length(name) DESC, position) AS rn
+          FROM a LEFT JOIN d ON contains(lower(address), lower(name))) ranked WHERE rn = 1""",
     "alias_location": using("prefs", f"""SELECT pref_id,
         {alias("lower(trim(location))", title("trim(location)"))} AS normalized_location FROM prefs"""),
     "budget_band": using("annotated", "SELECT row_index, budget_band FROM annotated"),

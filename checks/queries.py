@@ -20,6 +20,7 @@ from venuematch.operators import diagnose, display, envelope, facets, predicates
 from venuematch.operators.batch import COUNTS, MatchIndex, build_match_index, candidate_rows, match_batch
 from venuematch.operators.dedupe import catalog_counters, quality_counters
 from venuematch.operators.normalize import annotate_listings, map_raw_columns, normalize_listings
+from venuematch.operators.places import with_place
 from venuematch.operators.single import funnel_counts, match_one, top_candidates
 from venuematch.plans import catalog as catalog_plan, recommend
 from venuematch.sources import exports, listings as listing_source, snapshot
@@ -236,6 +237,11 @@ def parse_cost(spark, sf_dir):
     return parsing.with_cost(raw, F.col("cost")).select("row_index", "cost_for_two")
 
 
+def find_places(spark, sf_dir):
+    rows, places = inputs.addresses_and_places(spark, sf_dir)
+    return with_place(rows, F.col("address"), places)
+
+
 def alias_location(spark, sf_dir):
     location = parsing.normalize_location(F.col("location"))
     return inputs.preferences(spark, sf_dir).select("pref_id", location.alias("normalized_location"))
@@ -496,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "parse_rating": parse_rating,
     "parse_cost": parse_cost,
     "extract_city": _raw(city=lambda: parsing.extract_city(F.lower("address"))),
+    "find_places": find_places,
     "alias_location": alias_location,
     "budget_band": _annotated("budget_band"),
     "normalize_cuisine": _raw(cuisine=lambda: parsing.normalize_cuisine(F.col("cuisines"))),

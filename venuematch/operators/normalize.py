@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from venuematch.config import CATALOG_COLUMNS, DEFAULT_CITY, DEFAULTS, RAW_COLUMNS, Settings
 from venuematch.functions import parsing
 from venuematch.functions.text import blank_to_null
+from venuematch.operators.places import with_place
 
 MATCH_KEYS = ["name_lc", "city_lc", "location_lc"]
 CLEAN_COLUMNS = ["row_index", *CATALOG_COLUMNS, *MATCH_KEYS, "city_defaulted"]
@@ -22,9 +23,11 @@ def map_raw_columns(raw: DataFrame) -> DataFrame:
     return raw.select("row_index", *mapped)
 
 
-def annotate_listings(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def annotate_listings(raw: DataFrame, settings: Settings = DEFAULTS, places: DataFrame | None = None) -> DataFrame:
     """Every row normalised, unnamed ones included (``name`` is null there), plus ``city_defaulted``.
 
+    Cities are the known ones, or those of a dictionary ``places(name, place, position)``.
+
     Written as a chain of projections so that each parser runs once although its result is used often.
     """
     stripped = map_raw_columns(raw).select(
@@ -37,7 +40,10 @@ def annotate_listings(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         "cost",
     )
     parsed = parsing.with_cost(parsing.with_rating(stripped, F.col("rate")), F.col("cost"))
-    located = parsed.withColumn("found_city", parsing.extract_city(F.col("address_lc")))
+    if places is None:
+        located = parsed.withColumn("found_city", parsing.extract_city(F.col("address_lc")))
+    else:
+        located = with_place(parsed, F.col("address_lc"), places, "found_city")
     settled = located.withColumns({
         "city": F.coalesce("found_city", F.lit(DEFAULT_CITY)),
         "city_defaulted": F.col("found_city").isNull(),
@@ -66,9 +72,9 @@ def with_match_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def normalize_listings(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def normalize_listings(raw: DataFrame, settings: Settings = DEFAULTS, places: DataFrame | None = None) -> DataFrame:
     """Named rows only, with their stable id and match keys."""
-    named = annotate_listings(raw, settings).where(F.col("name").isNotNull())
+    named = annotate_listings(raw, settings, places).where(F.col("name").isNotNull())
     identified = named.withColumn(
         "id", parsing.stable_id(F.col("name"), F.col("city"), F.col("location"), F.col("row_index"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 GRAM = 3
 
 
-def _grams(text: Column, size: Column) -> Column:
+def substrings(text: Column, size: Column) -> Column:
     """Distinct substrings of the given length; none when the text is shorter."""
     last = F.length(text) - size + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last))
@@ -24,7 +24,7 @@ def gram_index(texts: DataFrame) -> DataFrame:
     """``(kind, text, gram)`` for all grams of up to three characters; shorter ones serve short needles."""
     sizes = F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("size")
     sized = texts.select("kind", "text", sizes)
-    return sized.select("kind", "text", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
+    return sized.select("kind", "text", F.explode(substrings(F.col("text"), F.col("size"))).alias("gram"))
 
 
 def gram_frequencies(grams: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def substring_matches(grams: DataFrame, frequencies: DataFrame, needles: DataFra
     """All ``(kind, text, needle)`` where the text contains the non-empty needle of the same kind."""
     size = F.least(F.length("needle"), F.lit(GRAM))
     sought = needles.where(F.length("needle") > 0).select(
-        "kind", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram")
+        "kind", "needle", F.explode(substrings(F.col("needle"), size)).alias("gram")
     )
     rarest = (
         sought.join(frequencies, ["kind", "gram"])

@@ -18,9 +18,12 @@ from venuematch.storage import scratch_path
 logger = logging.getLogger(__name__)
 
 
-def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Raw listings to one row per venue: one narrow stage, one shuffle."""
-    return dedupe_listings(normalize_listings(raw, settings))
+def build_catalog(raw: DataFrame, settings: Settings = DEFAULTS, places: DataFrame | None = None) -> DataFrame:
+    """Raw listings to one row per venue: one narrow stage, one shuffle.
+
+    With a dictionary of ``places`` the different addresses are joined with it before.
+    """
+    return dedupe_listings(normalize_listings(raw, settings, places))
 
 
 def store_catalog(
