@@ -49,8 +49,16 @@ def places_in(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def with_place(rows: DataFrame, address: Column, places: DataFrame, name: str = "place") -> DataFrame:
-    """``rows`` with the place that their address names, or null; an address that many rows share is read once."""
+    """``rows`` with the place that their address names, or null; an address that many rows share is read once.
+
+    Rows without an address join nothing and are dealt out by their other columns.
+    """
     columns = rows.columns
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.lower(address).alias("text"))
-    placed = packed.join(places_in(packed, places), "text", "left")
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    packed = rows.select(
+        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"),
+        F.lower(address).alias("text"),
+        F.when(address.isNull(), F.xxhash64(*hashed) if hashed else F.lit(1)).otherwise(F.lit(0)).cast("long").alias("spread"),
+    )
+    placed = packed.join(places_in(packed, places).withColumn("spread", F.lit(0).cast("long")), ["text", "spread"], "left")
     return placed.select(*(F.col("row").getField(c).alias(c) for c in columns if c != name), F.col("place").alias(name))
