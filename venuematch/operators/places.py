@@ -60,5 +60,8 @@ def with_place(rows: DataFrame, address: Column, places: DataFrame, name: str =
         F.lower(address).alias("text"),
         F.when(address.isNull(), F.xxhash64(*hashed) if hashed else F.lit(1)).otherwise(F.lit(0)).cast("long").alias("spread"),
     )
-    placed = packed.join(places_in(packed, places).withColumn("spread", F.lit(0).cast("long")), ["text", "spread"], "left")
+    # One key of both, or Spark would deal the rows out by the text alone, as the places already are.
+    keyed = packed.select("row", F.struct("text", "spread").alias("key"))
+    found = places_in(packed, places).select(F.struct("text", F.lit(0).cast("long").alias("spread")).alias("key"), "place")
+    placed = keyed.join(found, "key", "left")
     return placed.select(*(F.col("row").getField(c).alias(c) for c in columns if c != name), F.col("place").alias(name))
