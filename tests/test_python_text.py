@@ -97,3 +97,14 @@ def test_long_texts_are_read_in_one_pass(spark):
     text = json.dumps({"summary": 'x\\"' * 100_000, "recommendations": [item(["y" * 100_000, math.nan])]})
     row = parse_replies(replies(spark, [text])).first()
     assert row.parse_error is None and len(row.summary) == 300_000 and row["items"][0].id == str(["y" * 100_000, math.nan])
+
+
+def test_plain_texts_are_written_without_formatting(spark):
+    """Numbers of the JVM's own text, and those just outside of it; each is written once, so a plan holds few patterns."""
+    numbers = [4.1, 0.0, -0.0, 0.001, 0.0009999, 9999999.0, 1e7, 1234567.89012345, 1234567.890123456, 2.0e-3, 0.1 + 0.2, 100.5, -3.25]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x DOUBLE").select("x", float_text(F.col("x")).alias("text"))
+    assert all(row["text"] == repr(row["x"]) for row in rows.collect())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("format_string(") <= 6
+    texts = ["plain", "", 'a "b"', "\\", "\x01", "\x7f", "Café", "tab\t"]
+    shown = spark.createDataFrame([(x,) for x in texts], "x STRING").select("x", json_string(F.col("x")).alias("text"))
+    assert all(row["text"] == json.dumps(row["x"], ensure_ascii=False) for row in shown.collect())

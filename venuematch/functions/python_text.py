@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from venuematch.functions.once import bound
+
 # A JSON string, its closing quote missing at the end of a broken text.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+'
 
@@ -24,9 +26,25 @@ def float_text(number: Column) -> Column:
     The digits are the fewest, up to 17, that read back as the same number; those of the least numbers, below 1e-307, are
     the JVM's and may be one more.
     """
+    return bound(number, lambda n: F.when(_is_plain(n), n.cast("string")).otherwise(_any_float_text(n)))
+
+
+def _is_plain(number: Column) -> Column:
+    """Whether the JVM's text is Python's: no exponent in either, and at most 15 digits, of which no two texts are the same
+    number, so that none is shorter. A digit more is allowed for where the text has its sign, zero and dot."""
+    size = F.abs(number)
+    return ((size >= 0.001) & (size < 1e7) | (size == 0.0)) & (F.length(number.cast("string")) <= 16)
+
+
+def _any_float_text(number: Column) -> Column:
     size = F.abs(number)
     written = [F.format_string(f"%.{n}e", size) for n in (14, 15, 16)]
-    scientific = F.coalesce(*[F.when(text.try_cast("double") == size, text) for text in written[:-1]], written[-1])
+    chosen = F.coalesce(*[F.when(text.try_cast("double") == size, text) for text in written[:-1]], written[-1])
+    return bound(chosen, lambda scientific: _decimal_text(number, scientific))
+
+
+def _decimal_text(number: Column, scientific: Column) -> Column:
+    """The number from its digits and power as Java writes them with an exponent."""
     power = F.substring_index(scientific, "e", -1).try_cast("int")
     digits = F.regexp_replace(F.replace(F.substring_index(scientific, "e", 1), F.lit(".")), r"(?<=[0-9])0+$", "")
     padded = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
@@ -67,6 +85,10 @@ def _hex(number: Column, length: int) -> Column:
 
 def json_string(text: Column) -> Column:
     """A JSON string as ``json.dumps(..., ensure_ascii=False)`` writes it; null for a null."""
+    return bound(text, lambda t: F.when(t.rlike(r'[\x00-\x1f"\\]'), _escaped(t)).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
+
+
+def _escaped(text: Column) -> Column:
     named = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
     body = _each_sign(_replaced(text, named), r"[\x00-\x1f]", lambda n: F.concat(F.lit("\\u"), _hex(n, 4)))
     return F.concat(F.lit('"'), body, F.lit('"'))
