@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tests import samples
 from venuematch.operators.batch import build_match_index, match_batch, match_lookup
+from venuematch.operators.display import result_badges, result_cards
+from venuematch.operators.envelope import envelopes
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.replies import reconcile_replies
 from venuematch.operators.single import top_candidates
@@ -115,3 +117,13 @@ def test_a_hot_request_is_split(spark, index, tmp_path):
 def test_replies_are_reconciled_without_a_shuffle(spark, matched):
     replies = matched.selectExpr("pref_id", "candidates", "cast(null as string) raw_response")
     assert exchanges(plan(reconcile_replies(replies))) == exchanges(plan(replies))
+
+
+def test_filters_do_not_repeat_the_reconciliation(spark, matched):
+    """A filter on the status, or one made from an explode, reads finished columns."""
+    replies = spark.createDataFrame([(1, "{}", None, None, 1.0)], "pref_id BIGINT, raw_response STRING, error_type STRING, error_message STRING, latency_ms DOUBLE")
+    answers = envelopes(matched, replies)
+    for asked in (answers.where(F.col("status") == "error"), result_cards(answers), result_badges(answers)):
+        optimized = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("sort_array(") <= 1 and optimized.count("try_parse_json(") + optimized.count("tryparsejson(") <= 1
+        assert optimized.count("arrays_zip(") <= 1

@@ -43,6 +43,9 @@ COUNTS = [
 ]
 SALTS = 16
 
+# Rows of a file of stored matches or replies. A match holds up to N cards, which repeat and so take little room on disk.
+FILE_ROWS = 2_000
+
 
 @dataclass(frozen=True)
 class MatchIndex:
@@ -259,7 +262,8 @@ def match_batch(
     requests = materialize(prefs.select(*keys).distinct(), "requests")
     lookup = materialize(match_lookup(index, requests, n), "answers")
     considered = index.cells.where("whole_city and any_cuisine").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    joined = prefs.join(lookup, keys, "left")
+    # A file of preferences is small and would be one task, which writes N cards for each of them.
+    joined = prefs.repartition(*prefs.columns).join(lookup, keys, "left")
     floor = F.col("min_rating")
     kept = F.when(floor <= 0.0, F.col("ranked")).otherwise(
         F.filter("ranked", lambda card: F.coalesce(card["rating"] >= floor, F.lit(False)))

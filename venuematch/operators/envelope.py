@@ -54,9 +54,10 @@ def envelopes(matched: DataFrame, responses: DataFrame) -> DataFrame:
     """One envelope per matched preference.
 
     ``responses`` is the ranker's table ``(pref_id, raw_response, error_type, error_message, latency_ms)``,
-    one row per asked preference. It is joined once on ``pref_id``; all else happens within the row.
+    one row per asked preference. It is joined once on ``pref_id``; all else happens within the row. Replies are small
+    beside the cards of a match, so they are hashed and the matches stream by, instead of both being sorted.
     """
-    joined = matched.join(responses, "pref_id", "left")
+    joined = matched.join(responses.hint("shuffle_hash"), "pref_id", "left")
     empty = F.size("candidates") == 0
     answered = reconcile_replies(joined)
     error = error_class(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuematch.config import MISSING_RANK, MSG_DEFAULT_EXPLANATION, MSG_UNKNOWN_ID
+from venuematch.functions.once import bound, settled
 from venuematch.functions.python_text import MARKERS, NO_NUMBER, float_text, readable_json, value_text
 from venuematch.functions.text import blank_to_null, strip
 
@@ -48,6 +49,11 @@ def _id_text(value: Column, json_text: Column) -> Column:
     A missing or null id is null."""
     text = value.try_cast("string")
     kind = _type(value)
+    # Most ids are texts or whole numbers, which need nothing further.
+    return F.when(kind.isin("STRING", "BIGINT"), strip(text)).otherwise(_odd_id_text(value, json_text, text, kind))
+
+
+def _odd_id_text(value: Column, json_text: Column, text: Column, kind: Column) -> Column:
     return strip(
         F.when(kind == "BOOLEAN", F.initcap(text))
         .when(kind.rlike("^(ARRAY|OBJECT)"), value_text(json_text))
@@ -110,8 +116,8 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     ``parse_error`` is ``not_json``, ``not_object``, ``no_list`` or null. Items without an id, among them
     everything that is not an object, are skipped; ``item_position`` still counts them.
     """
-    body = replies.withColumn("body", readable_json(strip_fences(F.col("raw_response"))))
-    document = body.withColumn("document", parse_strict(F.col("body")))
+    body = settled(replies.withColumn("body", readable_json(strip_fences(F.col("raw_response")))), "body")
+    document = settled(body.withColumn("document", parse_strict(F.col("body"))), "document")
     opened = document.select(
         *replies.columns,
         F.from_json("body", "recommendations ARRAY<STRING>")["recommendations"].alias("item_texts"),
@@ -120,15 +126,18 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         _field(F.col("document"), "summary").alias("summary_value"),
         F.try_variant_get("document", "$.recommendations", "array<variant>").alias("listed"),
     )
+    opened = settled(opened, *[c for c in opened.columns if c not in replies.columns])
     # One array, so that the texts are read once and not for each item.
     items = F.transform(
         F.arrays_zip(F.col("listed").alias("item"), F.col("item_texts").alias("text")),
         lambda entry, at: F.struct(
             at.cast("int").alias("item_position"),
-            _id_text(_field(entry["item"], "id"), F.from_json(entry["text"], "id STRING")["id"]).alias("id"),
-            _rank_number(_field(entry["item"], "rank")).alias("rank"),
-            _rank_beyond(_field(entry["item"], "rank")).alias("beyond"),
-            F.coalesce(_text_or_null(_field(entry["item"], "explanation")), F.lit(MSG_DEFAULT_EXPLANATION)).alias(
+            bound(
+                _field(entry["item"], "id"), lambda value: _id_text(value, F.from_json(entry["text"], "id STRING")["id"])
+            ).alias("id"),
+            bound(_field(entry["item"], "rank"), _rank_number).alias("rank"),
+            bound(_field(entry["item"], "rank"), _rank_beyond).alias("beyond"),
+            F.coalesce(bound(_field(entry["item"], "explanation"), _text_or_null), F.lit(MSG_DEFAULT_EXPLANATION)).alias(
                 "explanation"
             ),
         ),
@@ -151,7 +160,7 @@ def reconcile_replies(replies: DataFrame) -> DataFrame:
     rank, then id, then position), ``warnings`` for unknown ids in reply order, and ``reply_error``: null,
     ``parse`` (unreadable, or nothing valid in it) or ``rank`` (a valid item ranked below one).
     """
-    parsed = parse_replies(replies)
+    parsed = settled(parse_replies(replies), "items")
     resolved = parsed.withColumn(
         "resolved",
         F.transform(
@@ -164,6 +173,7 @@ def reconcile_replies(replies: DataFrame) -> DataFrame:
             ),
         ),
     )
+    resolved = settled(resolved, "resolved")
     unknown = F.filter("resolved", lambda entry: entry["card"].isNull())
     known = F.filter("resolved", lambda entry: entry["card"].isNotNull())
     sortable = F.transform(
@@ -192,7 +202,8 @@ def reconcile_replies(replies: DataFrame) -> DataFrame:
             entry["explanation"].alias("explanation"),
         ),
     )
-    return ordered.select(
+    ordered = settled(ordered, "ordered", "warnings")
+    answered = ordered.select(
         *[c for c in ordered.columns if c != "ordered"],
         renumbered.alias("recommendations"),
         F.when(F.col("parse_error").isNotNull(), "parse")
@@ -200,3 +211,4 @@ def reconcile_replies(replies: DataFrame) -> DataFrame:
         .when(F.try_element_at("ordered", F.lit(1))["rank"] < 1, "rank")
         .alias("reply_error"),
     )
+    return settled(answered, "recommendations", "reply_error")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from venuematch.config import DEFAULTS, Settings
-from venuematch.operators.batch import MatchIndex, build_match_index, match_batch
+from venuematch.operators.batch import FILE_ROWS, MatchIndex, build_match_index, match_batch
 from venuematch.operators.envelope import envelopes
 from venuematch.operators.preferences import check_preferences, valid_preferences
 from venuematch.operators.prompts import build_prompts
@@ -89,8 +89,8 @@ def answer_matches(
     written to the shared folder, so a lost executor never repeats a paid call. Preferences without
     candidates do not reach the ranker.
     """
-    stored = materialize(matched, "matched")
-    replies = materialize(ranker(build_prompts(stored, top_k, settings)), "replies")
+    stored = materialize(matched, "matched", FILE_ROWS)
+    replies = materialize(ranker(build_prompts(stored, top_k, settings)), "replies", FILE_ROWS)
     return envelopes(stored, replies)
 
 
