@@ -35,7 +35,7 @@ HEAVY_SHARE = 8
 NO_LANG = "und"
 
 _CHUNK_BYTES = 1 << 20
-_HELD_WORDS = 2_000_000
+_HELD_WORDS = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLANK, _END = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -45,7 +45,10 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Share:
-    """The words of some texts in order: names, how many words of the piece follow each, and where each is."""
+    """The words of some texts in order: names, how many words of the piece follow each, and where each is.
+
+    Suffixes of several words need names only; the texts and places are kept where words are read.
+    """
 
     def __init__(self, seed: int, longest: int):
         self.seed, self.longest = seed, longest
@@ -74,9 +77,10 @@ class Share:
             follow[: max(0, len(names) - k)] += piece[k:] == piece[: max(0, len(names) - k)]
         self.names.append(names)
         self.follow.append(follow)
-        self.spans.append((starts, ends, doc))
-        self.data.append(data)
-        self.langs.append(langs)
+        if self.longest == 1:
+            self.spans.append((starts, ends, doc))
+            self.data.append(data)
+            self.langs.append(langs)
         self.size += len(names)
 
     def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -103,8 +107,11 @@ class Share:
             counts = np.diff(np.append(first, n))
             packed = packed[first]
             low = np.uint64((1 << bits) - 1)
-            columns = [known[(packed >> np.uint64(bits * k) & low).astype(np.int64)] for k in reversed(range(self.longest))]
-            yield np.stack(columns), counts
+            del place, first
+            leaves = np.empty((self.longest, len(packed)), np.uint64)
+            for row, k in zip(leaves, reversed(range(self.longest))):
+                row[:] = known[(packed >> np.uint64(bits * k) & low).astype(np.int64)]
+            yield leaves, counts
 
 
 def _shares(batches: Iterator[pa.RecordBatch], seed: int, longest: int) -> Iterator[Share]:
