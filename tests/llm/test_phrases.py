@@ -107,3 +107,10 @@ def test_shares_know_what_follows_each_word():
     share = collocations.Share(0, 3)
     share.add([b"A b, c\nd e", b"", b"f  g\th"], ["en", "en", "de"])
     assert len(set(share.names[0].tolist())) == 8 and share.follow[0].tolist() == [1, 0, 0, 1, 0, 2, 1, 0]
+
+
+def test_suffixes_hold_names_only():
+    share = collocations.Share(0, 3)
+    share.add([b"a b c", b"d"], ["en", "en"])
+    assert share.size == 4 and not share.data and not share.spans
+    assert sum(int(counts.sum()) for _, counts in share.suffixes()) == 4
