@@ -170,3 +170,8 @@ def test_a_ranker_that_fails_is_asked_for_the_rest_only(spark, tmp_path):
     asked.clear()
     assert len(resumable_ranker(ranker, store)(prompts).collect()) == len(rows) and asked == [[("", "odd")]]
     assert resumable_ranker(ranker, str(tmp_path / "none"))(prompts.limit(0)).count() == 0
+
+
+def test_stored_rows_are_cut_into_files(spark):
+    stored = materialize(spark.range(10).coalesce(1), "cut", 4)
+    assert len(stored.inputFiles()) == 3 and stored.count() == 10
