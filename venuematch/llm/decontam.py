@@ -104,7 +104,11 @@ def _windowed(texts: DataFrame, keys: list[str], window: int, short: list[int])
 
 
 class _Filter:
-    """Bits for hashes, two for each, as an array of longs. It may take other hashes for known ones, never the reverse."""
+    """Bits for hashes, two for each, as an array of longs. It may take other hashes for known ones, never the reverse.
+
+    The array is the one row of a stored table, broadcast to where it is used. In the text of a query it would be parsed,
+    planned, shown and kept by the driver at each of its places.
+    """
 
     def __init__(self, hashes: DataFrame):
         """The size follows the number of ``hashes(hash)``, so about one unknown hash of a thousand passes."""
@@ -114,16 +118,19 @@ class _Filter:
         longs = distinct.select(place.alias("place")).select(
             F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
         )
-        table = [0] * (1 << (self.bits - 6))
-        for at, value in longs.groupBy("at").agg(F.bit_or("bit")).collect():
-            table[at] = value
-        self.table = F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in table)})")
+        every = hashes.sparkSession.range(1 << (self.bits - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bit"))
+        table = longs.union(every).groupBy("at").agg(F.bit_or("bit").alias("value"))
+        in_order = F.array_sort(F.collect_list(F.struct("at", "value")))
+        stored = materialize(table.agg(F.transform(in_order, lambda x: x["value"]).alias("table")), "filter")
+        self.row, self.table = F.broadcast(stored), stored["table"]
+
+    def may_hold(self, hash_: Column, table: Column) -> Column:
+        """For rows joined with ``row``; ``table`` is its array, bound where many hashes are looked up."""
 
-    def may_hold(self, hash_: Column) -> Column:
         def bit(shift: int) -> Column:
             place = F.shiftrightunsigned(hash_, shift)
             at = F.shiftright(place, 6).bitwiseAND((1 << (self.bits - 6)) - 1).cast("int")
-            return F.getbit(F.get(self.table, at), place.bitwiseAND(63).cast("int")) == 1
+            return F.getbit(F.get(table, at), place.bitwiseAND(63).cast("int")) == 1
 
         return bit(0) & bit(32)
 
@@ -146,14 +153,15 @@ def _may_hold_run(text: Column, words: _Filter, pairs: _Filter, least: int) -> C
     plain = F.lower(F.regexp_replace(plain, r"[\p{N}\p{Lu}\p{Lt}]+", "%"))
     parts = F.array_remove(F.split(plain, r"\s+"), "")
     free, unknown = F.lit(0).cast("long"), F.lit(1).cast("long")
-    named = lambda w: _bound(F.xxhash64(w), lambda h: F.when(words.may_hold(h), h).otherwise(unknown))
-    hashes = F.transform(parts, lambda w: F.when(F.contains(w, F.lit("%")), free).otherwise(named(w)))
-    known = lambda a, b: (
+    named = lambda w, t: _bound(F.xxhash64(w), lambda h: F.when(words.may_hold(h, t), h).otherwise(unknown))
+    hashes = _bound(words.table, lambda t: F.transform(parts, lambda w: F.when(F.contains(w, F.lit("%")), free).otherwise(named(w, t))))
+    known = lambda a, b, t: (
         F.when((a == unknown) | (b == unknown), "0").when((a == free) | (b == free), "1")
-        .when(pairs.may_hold(F.xxhash64(a, b)), "1").otherwise("0")
+        .when(pairs.may_hold(F.xxhash64(a, b), t), "1").otherwise("0")
     )
-    flags = lambda found: F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), known)
-    run = F.contains(F.array_join(_bound(hashes, flags), ""), F.lit("1" * (least - 1)))
+    follow = lambda found, t: F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: known(a, b, t))
+    flags = _bound(hashes, lambda found: _bound(pairs.table, lambda t: follow(found, t)))
+    run = F.contains(F.array_join(flags, ""), F.lit("1" * (least - 1)))
     odd = [F.contains(text, F.lit(mark)) for mark in (NUMBER, UNIT, NAME, JOINED)]
     return odd[0] | odd[1] | odd[2] | odd[3] | run
 
@@ -189,13 +197,14 @@ def _short_spots(places: Column, n: int, spot) -> Column:
     return F.transform(places, lambda i: spot(F.xxhash64(F.slice("singles", i + 1, n)), i, n))
 
 
-def _windows(windowed: DataFrame, keys: list[str], window: int, short: list[int], whole: bool = False, keep=None) -> DataFrame:
-    """(keys, hash, at, part): each window with its place and words; ``keep(hash)`` chooses before they are built.
+def _windows(windowed: DataFrame, keys: list[str], window: int, short: list[int], whole: bool = False, keep: _Filter | None = None) -> DataFrame:
+    """(keys, hash, at, part): each window with its place and words; the filter ``keep`` chooses before they are built.
 
     A ``short`` length gives further windows of so many words: at each place, or if ``whole`` where these are all words.
     """
     spot = lambda h, i, n: F.struct(h.alias("hash"), i.alias("at"), F.lit(n).alias("n"))
-    chosen = lambda spots: spots if keep is None else F.filter(spots, lambda s: keep(s["hash"]))
+    kept = lambda spots: _bound(keep.table, lambda t: F.filter(spots, lambda s: keep.may_hold(s["hash"], t)))
+    chosen = lambda spots: spots if keep is None else kept(spots)
     spots = chosen(F.transform("found", lambda h, i: spot(h, i, window)))
     for n in short:
         fits = F.size("singles") == n if whole else F.size("singles") >= n
@@ -204,7 +213,7 @@ def _windows(windowed: DataFrame, keys: list[str], window: int, short: list[int]
     with_words = F.transform(
         spots, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), F.slice("words", s["at"] + 1, s["n"]).alias("part"))
     )
-    return windowed.select(*keys, F.inline(with_words))
+    return (windowed if keep is None else windowed.crossJoin(keep.row)).select(*keys, F.inline(with_words))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -232,7 +241,9 @@ def _unmarked(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def passing(docs: DataFrame, known: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs(text, ...)`` whose text may hold a window of ``known``, or an item of fewer words as a whole."""
     least = known.agg(F.min(F.least(F.col("item_words"), F.lit(window)))).first()[0] or window
-    return docs.filter(_may_hold_run(F.col("text"), *map(_Filter, _unmarked(known)), least))
+    words, pairs = map(_Filter, _unmarked(known))
+    both = F.broadcast(words.row.crossJoin(pairs.row))
+    return docs.join(both, _may_hold_run(docs["text"], words, pairs, least), "left_semi")
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int) -> DataFrame:
@@ -245,7 +256,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_run: int) -> D
     short = lengths(usual)
     held = _Filter(usual.select("hash"))
     windowed = _windowed(passing(texts, usual, window), keys, window, short)
-    parts = _windows(windowed, [*keys, "form"], window, short, keep=held.may_hold)
+    parts = _windows(windowed, [*keys, "form"], window, short, keep=held)
     met = parts.join(usual, ["form", "hash"])
     fewest = lengths(tiny)
     if fewest:
